@@ -19,7 +19,8 @@ _NOT_ALIAS = (
     r"union|intersect|except|qualify|window|offset|asof|positional)\b)"
 )
 _TABLE = rf"{_NAME}(?:\s+(?:as\s+)?{_NOT_ALIAS}{_NAME})?+"
-_FROM_LIST = rf"\bfrom\s+{_TABLE}(?:\s*,\s*{_TABLE})*+"
+# A FROM list starts with a table; a derived table may end it (tables after it are not seen).
+_FROM_LIST = rf"\bfrom\s+{_TABLE}(?:\s*,\s*{_TABLE})*+(?:\s*,\s*\()?+"
 # Aggregate functions that count as such in the reports.
 AGGREGATES = (
     "count", "sum", "avg", "mean", "min", "max", "median", "mode", "stddev", "stddev_pop",
@@ -108,7 +109,9 @@ def table_names(sql: Column) -> Column:
             visible(sql), F.lit(r'(?:\bwith\s+(?:recursive\s+)?|,\s*)("[^"]+"|[a-z_][a-z0-9_]*)\s+as\s*\('), F.lit(1)
         ),
     ).otherwise(F.array().cast("array<string>"))
-    names = F.transform(F.concat(listed, joined), _strip_quotes)
+    names = F.transform(
+        F.filter(F.concat(listed, joined), lambda n: n != ""), _strip_quotes
+    )
     return F.array_sort(F.array_distinct(F.array_except(names, F.transform(ctes, _strip_quotes))))
 
 

@@ -84,17 +84,18 @@ def pivot_indicators(
     indicators: dict[str, int],
     entity: str = "iso3",
     period: str = "year",
+    order: str = "seq",
 ) -> DataFrame:
     """Long ``(entity, period, indicator, value)`` → one column per indicator.
 
     ``indicators`` maps each name to the decimals kept; 0 gives BIGINT. Rows without any
-    value and entities that are not listed are dropped; of repeated observations the one
-    with the largest value stays.
+    value and entities that are not listed are dropped; the last of repeated observations
+    (by ``order``) stays.
     """
     known = observations.join(entities.select(entity).distinct(), entity, "left_semi")
     cells = []
     for name, digits in indicators.items():
-        value = F.max(F.when(F.col("indicator") == name, F.col("value")))
+        value = F.max_by("value", F.when(F.col("indicator") == name, F.col(order)))
         rounded = F.bround(value, digits)
         cells.append((rounded.cast("bigint") if digits == 0 else rounded).alias(name))
     wide = known.groupBy(entity, period).agg(*cells)

@@ -2,5 +2,8 @@
 
 from pairlake.plans import (  # noqa: F401
     results,
+    sources,
+    tables,
+    text,
 )
 from pairlake.plans.registry import ORACLES, QUERIES, Tables  # noqa: F401

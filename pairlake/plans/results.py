@@ -399,8 +399,9 @@ def order_by_ties(t: Tables) -> DataFrame:
     lines = None
     for name, columns, (key, desc), limit in _TIE_CASES:
         df = t.orders.select(*dict.fromkeys([*columns, key]))
-        order = [F.desc(key) if desc else F.asc(key)]
-        for side in R.order_ties(df.select(*columns, F.col(key).alias("_key")), [o for o in [F.desc("_key") if desc else F.asc("_key")]], limit):
+        order = [F.desc("_key") if desc else F.asc("_key")]
+        keyed = df.select(*columns, F.col(key).alias("_key"))
+        for side in R.order_ties(keyed, order, limit):
             rows = side.withColumn("query_id", F.lit(name))
             lines = rows if lines is None else lines.unionByName(rows)
     asked = R.query_list(t.spark, {c[0]: True for c in _TIE_CASES})
@@ -466,7 +467,7 @@ def gold_audit(t: Tables) -> DataFrame:
         F.when(F.col("source") == "src5", "Binder Error").alias("error"),
         F.when(F.col("n_chars") < 400, 0).otherwise(1).alias("n_rows"),
         (F.col("n_chars") < 500).alias("all_null"),
-        ~((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("deterministic"),
+        (~((F.col("quality") == 0) & (F.col("toxic") == 1))).alias("deterministic"),
         (F.col("toxic") == 1).alias("ties"),
         F.substring(F.sha2(F.concat("source", F.col("doc_id").cast("string")), 256), 1, 16).alias(
             "result_hash"

@@ -19,7 +19,7 @@ TEST_ITEMS = (
 )
 PREDICTIONS = "id string, sql string, latency_ms double, tokens_out bigint, tokens_in bigint"
 # ``model__runtime__set.jsonl``, as a file or as the folder that Spark writes.
-_STEM = r"([^/]+?)__([^/]+?)__([^/]+?)\.jsonl"
+_STEM = r"([^/=]+?)__([^/]+?)__([^/]+?)\.jsonl"
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -39,13 +39,14 @@ def read_predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     lines = spark.read.schema(PREDICTIONS).option("recursiveFileLookup", "true").json(path)
     named = (
         lines.withColumn("_path", F.url_decode(F.col("_metadata.file_path")))
+        .withColumn("_written", F.col("_metadata.file_modification_time"))
         .withColumn("_block", F.col("_metadata.file_block_start"))
         .withColumn("_line", F.monotonically_increasing_id())
     )
     for i, column in enumerate(("model", "runtime", "set"), 1):
         named = named.withColumn(column, F.regexp_extract("_path", _STEM, i))
     values = [f.strip().split()[0] for f in PREDICTIONS.split(",")]
-    last = F.max_by(F.struct(*values), F.struct("_path", "_block", "_line"))
+    last = F.max_by(F.struct(*values), F.struct("_written", "_path", "_block", "_line"))
     return (
         named.groupBy("model", "runtime", "set", F.col("id").alias("_id"))
         .agg(last.alias("p"))
