@@ -1,6 +1,7 @@
 """All registered queries; importing the modules fills the registry."""
 
 from pairlake.plans import (  # noqa: F401
+    curation,
     results,
     sources,
     tables,
