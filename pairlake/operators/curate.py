@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlake.functions.numbers import exact_round
 from pairlake.functions.text import normalize_question, normalize_sql
 from pairlake.operators.positions import first_per_group, with_positions, with_running_total
 from pairlake.operators.results import DIFFICULTIES
@@ -182,7 +183,7 @@ def retention(outcomes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return outcomes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pairs"),
         kept.alias("kept"),
-        F.round(kept / F.count(F.lit(1)), 4).alias("retention"),
+        exact_round(kept / F.count(F.lit(1)), 4).alias("retention"),
     )
 
 
@@ -241,7 +242,7 @@ def review_acceptance(verdicts: DataFrame, group: str = "db_id") -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             accepted.alias("accepted"),
-            F.round(accepted / F.count(F.lit(1)), 4).alias("accept_rate"),
+            exact_round(accepted / F.count(F.lit(1)), 4).alias("accept_rate"),
             F.grouping(group).alias("_all"),
         )
         .withColumn(group, F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col(group)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlake.operators.scoring import percent
+from pairlake.functions.numbers import exact_round, percent
 
 # Which reasons escalate under which rule, gate tolerances.
 RULES = {"valid": ("error", "empty"), "agree": ("error", "empty", "disagree")}
@@ -79,13 +79,13 @@ def cascade_summary(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         .groupBy(*keys, F.col("_rule.rule").alias("rule"))
         .agg(
             n.alias("n"),
-            F.round(n_local / n, 4).alias("answered_locally"),
-            F.round(F.try_divide(local_right, n_local), 4).alias("local_precision"),
-            F.round((local_right + big_right) / n, 4).alias("ex"),
-            F.round(F.count_if("local_ex") / n, 4).alias("local_ex"),
-            F.round(F.count_if("big_ex") / n, 4).alias("big_ex"),
-            F.round(100 * n_up / n, 1).alias("api_calls_per_100"),
-            F.round(cost.cast("double") / n, 6).alias("cost_per_query_usd"),
+            exact_round(n_local / n, 4).alias("answered_locally"),
+            exact_round(F.try_divide(local_right, n_local), 4).alias("local_precision"),
+            exact_round((local_right + big_right) / n, 4).alias("ex"),
+            exact_round(F.count_if("local_ex") / n, 4).alias("local_ex"),
+            exact_round(F.count_if("big_ex") / n, 4).alias("big_ex"),
+            exact_round(100 * n_up / n, 1).alias("api_calls_per_100"),
+            exact_round(cost.cast("double") / n, 6).alias("cost_per_query_usd"),
             *[
                 F.count_if(F.col("_up") & (F.col("reason") == r)).alias(f"escalated_{r}")
                 for r in RULES["agree"]

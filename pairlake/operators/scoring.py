@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlake.functions.numbers import exact_round
 from pairlake.functions.sqltext import (
     aggregate_names,
     date_functions,
@@ -132,13 +133,13 @@ def error_tag(sql: Column, error: Column, gold_sql: Column, n_cols: Column) -> C
 
 
 def _mean(flag: str) -> Column:
-    return F.round(F.count_if(F.col(flag)) / F.count(F.lit(1)), 4)
+    return exact_round(F.count_if(F.col(flag)) / F.count(F.lit(1)), 4)
 
 
 def score_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts and means per run, EX per difficulty, one count per error tag."""
     by_difficulty = [
-        F.round(
+        exact_round(
             F.try_divide(
                 F.count_if((F.col("difficulty") == d) & F.col("ex")),
                 F.count_if(F.col("difficulty") == d),
@@ -153,7 +154,7 @@ def score_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         _mean("ex").alias("ex"),
         _mean("valid").alias("valid_sql"),
         _mean("exact").alias("exact_match"),
-        F.round(F.avg("tokens_out"), 1).alias("tokens_out_mean"),
+        exact_round(F.avg("tokens_out"), 1).alias("tokens_out_mean"),
         *by_difficulty,
         *[F.count_if(~F.col("ex") & (F.col("tag") == t)).alias(f"tag: {t}") for t in TAGS],
     )
@@ -169,7 +170,7 @@ def latency_percentiles(
     """
     counts = (
         rows.filter(F.col(latency).isNotNull())
-        .groupBy(*keys, F.round(latency, 1).alias("_value"))
+        .groupBy(*keys, exact_round(F.col(latency), 1).alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     by_value = Window.partitionBy(*keys).orderBy("_value")
@@ -203,7 +204,7 @@ def cost_per_query(predictions: DataFrame, prices: DataFrame, model: str = "mode
     return totals.join(prices, model, "left").select(
         model,
         F.col("_n").alias("n"),
-        F.round(spent / 1e6 / F.col("_n"), 6).alias("cost_per_query_usd"),
+        exact_round(spent / 1e6 / F.col("_n"), 6).alias("cost_per_query_usd"),
     )
 
 
@@ -234,7 +235,7 @@ def comparison(rows: DataFrame, row: str, column: str, columns: Sequence[str]) -
     )
     return cells.groupBy(row).agg(
         *[
-            F.round(
+            exact_round(
                 F.max(F.when(F.col(column) == c, F.col("_ok") / F.col("_n"))), 4
             ).alias(f"{c}")
             for c in columns
@@ -250,9 +251,5 @@ def tag_matrix(rows: DataFrame, columns: Sequence[str], column: str = "model") -
     )
 
 
-def percent(c: Column, decimals: int = 1) -> Column:
-    return F.concat(F.format_string(f"%.{decimals}f", c * 100), F.lit("%"))
-
-
 def markdown_row(*cells: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[c.cast("string") for c in cells]), F.lit(" |"))

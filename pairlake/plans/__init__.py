@@ -1,9 +1,14 @@
 """All registered queries; importing the modules fills the registry."""
 
 from pairlake.plans import (  # noqa: F401
+    consensus,
     curation,
+    families,
+    release,
     results,
+    scoring,
     sources,
+    streams,
     tables,
     text,
 )

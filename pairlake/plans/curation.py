@@ -55,12 +55,12 @@ def jaccard(t: Tables) -> DataFrame:
     return pairs.select("conv_id", "turn", score.alias("jaccard"))
 
 
-LEAKS = f"""sets AS (
+LEAKS = f"""sets AS MATERIALIZED (
   SELECT id, db_id, {roles.norm_question('question')} AS q, {roles.norm_sql('sql')} AS s,
          {roles.tokens('question')} AS ts FROM doc_pairs),
-tr AS (SELECT *, len(ts) AS n FROM sets WHERE id NOT IN (SELECT doc_id FROM labels)),
-te AS (SELECT *, len(ts) AS n FROM sets WHERE id IN (SELECT doc_id FROM labels)),
-near AS (
+tr AS MATERIALIZED (SELECT *, len(ts) AS n FROM sets WHERE id NOT IN (SELECT doc_id FROM labels)),
+te AS MATERIALIZED (SELECT *, len(ts) AS n FROM sets WHERE id IN (SELECT doc_id FROM labels)),
+near AS MATERIALIZED (
   SELECT DISTINCT tr.id FROM tr JOIN te ON tr.db_id = te.db_id
     AND 10 * tr.n >= 9 * te.n AND 10 * te.n >= 9 * tr.n
   WHERE 10 * len(list_intersect(tr.ts, te.ts)) >= 9 * (tr.n + te.n - len(list_intersect(tr.ts, te.ts)))),
@@ -93,17 +93,17 @@ def shared_databases(t: Tables) -> DataFrame:
     return K.shared_databases(train, val, "source")
 
 
-GREEDY = f"""keyed AS (
+GREEDY = f"""keyed AS MATERIALIZED (
   SELECT seq, db_id, {roles.norm_question('question')} AS q, {roles.norm_sql('sql')} AS s,
          {roles.tokens('question')} AS ts FROM doc_pairs),
-sized AS (SELECT *, len(ts) AS n FROM keyed),
-edges AS (
+sized AS MATERIALIZED (SELECT *, len(ts) AS n FROM keyed),
+edges AS MATERIALIZED (
   SELECT b.seq AS later, a.seq AS earlier,
          CASE WHEN a.q = b.q THEN 1 WHEN a.s = b.s THEN 2 ELSE 3 END AS rule
   FROM sized a JOIN sized b ON a.db_id = b.db_id AND a.seq < b.seq
   WHERE a.q = b.q OR a.s = b.s OR (10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
     AND 10 * len(list_intersect(a.ts, b.ts)) >= 9 * (a.n + b.n - len(list_intersect(a.ts, b.ts))))),
-contested AS (
+contested AS MATERIALIZED (
   SELECT later, list(earlier) AS earlier, row_number() OVER (ORDER BY later) AS i FROM edges GROUP BY later),
 walk AS (
   SELECT 0::BIGINT AS i, []::BIGINT[] AS gone
@@ -111,7 +111,7 @@ walk AS (
   SELECT w.i + 1, CASE WHEN len(list_filter(c.earlier, lambda e: NOT list_contains(w.gone, e))) > 0
                   THEN list_append(w.gone, c.later) ELSE w.gone END
   FROM walk w JOIN contested c ON c.i = w.i + 1),
-dropped AS (SELECT unnest(gone) AS seq FROM (SELECT gone FROM walk ORDER BY i DESC LIMIT 1)),
+dropped AS MATERIALIZED (SELECT unnest(gone) AS seq FROM (SELECT gone FROM walk ORDER BY i DESC LIMIT 1)),
 reasons AS (
   SELECT later AS seq, min(rule) AS rule FROM edges
   WHERE later IN (SELECT seq FROM dropped) AND earlier NOT IN (SELECT seq FROM dropped) GROUP BY later)"""
@@ -197,13 +197,13 @@ WITH RECURSIVE {roles.DOC_PAIRS.replace('doc_pairs AS (', 'doc_pairs_all AS (',
     .replace('FROM doc_pairs WHERE', 'FROM doc_pairs_all WHERE')},
 doc_pairs AS (SELECT * FROM train WHERE source <> 'src2'),
 {GREEDY},
-unique_rows AS (
+unique_rows AS MATERIALIZED (
   SELECT k.*, {_HASH.replace('source', 'd.source').replace('n_chars', 'd.n_chars')} AS h
   FROM sized k JOIN doc_pairs d USING (seq) WHERE k.seq NOT IN (SELECT seq FROM dropped)),
-te AS (
+te AS MATERIALIZED (
   SELECT db_id, {roles.norm_question('question')} AS q, {roles.norm_sql("sql || ' -- gold'")} AS s,
          {roles.tokens('question')} AS ts, len({roles.tokens('question')}) AS n, {_HASH} AS h FROM tests),
-leaking AS (
+leaking AS MATERIALIZED (
   SELECT DISTINCT u.seq FROM unique_rows u JOIN te ON u.db_id = te.db_id
   WHERE u.q = te.q OR u.s = te.s OR (10 * u.n >= 9 * te.n AND 10 * te.n >= 9 * u.n
     AND 10 * len(list_intersect(u.ts, te.ts)) >= 9 * (u.n + te.n - len(list_intersect(u.ts, te.ts))))),
@@ -350,7 +350,7 @@ FUNNEL = f"""funnel AS (
     "l15_retention",
     f"""WITH {FUNNEL}
 SELECT lang, source, count(*) AS pairs, count(*) - count(reason) AS kept,
-       round((count(*) - count(reason))::DOUBLE / count(*), 4) AS retention FROM funnel GROUP BY ALL""",
+       CAST(printf('%.4f', (count(*) - count(reason))::DOUBLE / count(*)) AS DOUBLE) AS retention FROM funnel GROUP BY ALL""",
 )
 def retention(t: Tables) -> DataFrame:
     """Pairs, kept and retention per language and source."""
@@ -406,7 +406,7 @@ def source_mix(t: Tables) -> DataFrame:
     """
 SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS db_id, count(*) AS n,
        count_if(quality = 1 AND toxic = 0)::BIGINT AS accepted,
-       round(count_if(quality = 1 AND toxic = 0)::DOUBLE / count(*), 4) AS accept_rate
+       CAST(printf('%.4f', count_if(quality = 1 AND toxic = 0)::DOUBLE / count(*)) AS DOUBLE) AS accept_rate
 FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)""",
 )
 def review_acceptance(t: Tables) -> DataFrame:
