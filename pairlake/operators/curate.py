@@ -112,10 +112,8 @@ def hold_out(
     target = rows.agg((F.lit(fraction) * F.count(F.lit(1))).alias("_target"))
     counted = per_db.filter(F.col("_own") > 0).withColumn("_order", seeded(seed, block))
     running = with_running_total(counted, [], ["_order", block], "_own", "_running")
-    # ``target`` is an aggregate without grouping: exactly one row.
-    return (
-        running.join(F.broadcast(target), F.col("_running") - F.col("_own") < F.col("_target"))
-        .select(block, F.col("_own").alias("n_rows"))
+    return running.filter(F.col("_running") - F.col("_own") < target.scalar()).select(
+        block, F.col("_own").alias("n_rows")
     )
 
 

@@ -85,6 +85,24 @@ def with_running_total(
     )
 
 
+def with_rank(
+    df: DataFrame, groups: Sequence[str], key: str, orders: Sequence[Column | str], name: str = "rank"
+) -> DataFrame:
+    """``rank()`` by ``key`` inside each group; ``orders`` sorts by ``key`` first."""
+    placed = with_positions(df, groups, orders, "_pos")
+    first = placed.groupBy(*groups, key).agg(F.min("_pos").alias(name))
+    return placed.drop("_pos").join(first, [*groups, key])
+
+
+def with_previous(
+    df: DataFrame, groups: Sequence[str], orders: Sequence[Column | str], value: str, name: str
+) -> DataFrame:
+    """``lag(value)`` inside each group: rows meet their predecessor by position."""
+    placed = with_positions(df, groups, orders, "_pos")
+    before = placed.select(*groups, (F.col("_pos") + 1).alias("_pos"), F.col(value).alias(name))
+    return placed.join(before, [*groups, "_pos"], "left").drop("_pos")
+
+
 def first_per_group(
     df: DataFrame, groups: Sequence[str], orders: Sequence[Column | str], n: int
 ) -> DataFrame:

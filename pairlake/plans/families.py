@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlake.operators.positions import with_previous, with_rank
 from pairlake.plans.registry import Tables, query
 
 MONEY = "decimal(12,2)"
@@ -287,9 +288,10 @@ def derived_table(t: Tables) -> DataFrame:
 SELECT p_partkey, p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) AS r FROM part""",
 )
 def rank_in_partition(t: Tables) -> DataFrame:
-    """Parts ranked by price inside their brand."""
-    w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"))
-    return t.part.select("p_partkey", "p_brand", F.rank().over(w).alias("r"))
+    """Parts ranked by price inside their brand, however large a brand is."""
+    order = [F.desc("p_retailprice"), F.asc("p_partkey")]
+    ranked = with_rank(t.part, ["p_brand"], "p_retailprice", order, "r")
+    return ranked.select("p_partkey", "p_brand", "r")
 
 
 @query(
@@ -300,9 +302,11 @@ FROM orders""",
 )
 def lag(t: Tables) -> DataFrame:
     """Change of the price from a customer's previous order."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return t.orders.select(
-        "o_custkey", "o_orderkey", (F.col("o_totalprice") - F.lag("o_totalprice").over(w)).alias("change")
+    rows = with_previous(
+        t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", "before"
+    )
+    return rows.select(
+        "o_custkey", "o_orderkey", (F.col("o_totalprice") - F.col("before")).alias("change")
     )
 
 

@@ -185,7 +185,7 @@ FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem)""",
 )
 def canonical_lineitem(t: Tables) -> DataFrame:
     """Every line item as one big result, hashed without holding it in one place."""
-    df = t.lineitem.select(
+    df = t.spread("lineitem").select(
         "l_orderkey",
         "l_extendedprice",
         (F.col("l_discount") * F.col("l_tax") / 3).alias("x"),

@@ -22,7 +22,7 @@ def doc_pairs(t: Tables) -> DataFrame:
         F.col("n_chars").cast("string"),
         F.lit(";"),
     )
-    return t.documents.select(
+    return t.spread("documents").select(
         F.col("doc_id").alias("id"),
         F.col("doc_id").alias("seq"),
         F.col("lang").alias("db_id"),

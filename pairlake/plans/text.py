@@ -20,7 +20,7 @@ from pairlake.plans.registry import Tables, query
 )
 def normalize_question(t: Tables) -> DataFrame:
     """Whole documents as lower-case words joined by one space."""
-    return t.documents.select("doc_id", text.normalize_question(F.col("text")).alias("normal"))
+    return t.spread("documents").select("doc_id", text.normalize_question(F.col("text")).alias("normal"))
 
 
 @query("n2_normalize_sql", f"SELECT page_id, {roles.norm_sql(chr(39) + ' ' + chr(39) + ' || html || ' + chr(39) + ' ;; ' + chr(39))} AS normal FROM pages")
@@ -40,7 +40,7 @@ FROM documents""",
 def token_set(t: Tables) -> DataFrame:
     """Distinct words of every document."""
     tokens = text.token_set(F.col("text"))
-    return t.documents.select(
+    return t.spread("documents").select(
         "doc_id",
         F.size(tokens).alias("n_tokens"),
         F.md5(F.array_join(F.array_sort(tokens), " ")).alias("tokens_md5"),

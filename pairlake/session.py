@@ -25,7 +25,6 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g") ->
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
@@ -52,11 +51,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from there (reliable checkpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and continue from there.
+
+    The written table cuts the lineage: lost executors reread it instead of recomputing
+    the steps before. Parquet keeps later reads narrow and tells the planner real sizes.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for a table written between two jobs."""
-    return os.path.join(shared_dir(spark), f"scratch-{name}-{uuid.uuid4().hex[:12]}")
+    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def scratch_root(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), f"pairlake-{spark.sparkContext.applicationId}")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete everything this application wrote under the shared folder."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pairlake.operators.merge import upsert
-from pairlake.operators.similarity import find_leaks
+from pairlake.operators.similarity import find_leaks, index_tests
 from pairlake.sources.files import PREDICTIONS
 
 # State grows with the number of ids, so it lives on disk next to the checkpoint.
@@ -51,8 +51,10 @@ def filter_new_pairs(
     per database.
     """
 
+    index = index_tests(tests)
+
     def check(batch: DataFrame, number: int) -> None:
-        leaks = find_leaks(batch, tests).select("id").withColumn("leak", F.lit(True))
+        leaks = find_leaks(batch, index).select("id").withColumn("leak", F.lit(True))
         judged = batch.join(leaks, "id", "left").withColumn(
             "leak", F.coalesce("leak", F.lit(False))
         )
