@@ -18,6 +18,8 @@ TEST_ITEMS = (
     "difficulty string"
 )
 PREDICTIONS = "id string, sql string, latency_ms double, tokens_out bigint, tokens_in bigint"
+# Stands for a quoted empty field while a CSV file is read; no text holds it.
+_QUOTED_EMPTY = "\x00empty\x00"
 # ``model__runtime__set.jsonl``, as a file or as the folder that Spark writes.
 _STEM = r"([^/=]+?)__([^/]+?)__([^/]+?)\.jsonl"
 
@@ -62,7 +64,15 @@ def read_csv(spark: SparkSession, path: str, null: str = "NA") -> DataFrame:
 def read_loose_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A headless CSV as text: a bare empty field is NULL, a quoted one is ''."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.csv(path, schema=schema, nullValue="", emptyValue="", escape='"', multiLine=True)
+    rows = spark.read.csv(
+        path, schema=schema, nullValue="", emptyValue=_QUOTED_EMPTY, escape='"', multiLine=True
+    )
+    return rows.select(
+        *[
+            F.when(F.col(f"`{c}`") == _QUOTED_EMPTY, F.lit("")).otherwise(F.col(f"`{c}`")).alias(c)
+            for c in columns
+        ]
+    )
 
 
 def open_upload(spark: SparkSession, path: str) -> str:
