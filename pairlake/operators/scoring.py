@@ -31,7 +31,6 @@ TAGS = (
     "other",
 )
 SQL_START = ("select", "with", "from", "(", "values")
-API_RUNTIMES = ("groq",)
 
 
 def outcomes(items: DataFrame, predictions: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -138,6 +137,7 @@ def _mean(flag: str) -> Column:
 
 def score_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts and means per run, EX per difficulty, one count per error tag."""
+    sizes = [F.count_if(F.col("difficulty") == d).alias(f"n_{d}") for d in DIFFICULTIES]
     by_difficulty = [
         exact_round(
             F.try_divide(
@@ -155,6 +155,7 @@ def score_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         _mean("valid").alias("valid_sql"),
         _mean("exact").alias("exact_match"),
         exact_round(F.avg("tokens_out"), 1).alias("tokens_out_mean"),
+        *sizes,
         *by_difficulty,
         *[F.count_if(~F.col("ex") & (F.col("tag") == t)).alias(f"tag: {t}") for t in TAGS],
     )
@@ -188,6 +189,14 @@ def latency_percentiles(
     )
 
 
+def _cost() -> Column:
+    """Mean price of a run from its token sums; no price means free."""
+    spent = F.col("_in") * F.coalesce("price_in", F.lit(0.0)) + F.col("_out") * F.coalesce(
+        "price_out", F.lit(0.0)
+    )
+    return exact_round(spent / 1e6 / F.col("_n"), 6)
+
+
 def cost_per_query(predictions: DataFrame, prices: DataFrame, model: str = "model") -> DataFrame:
     """Mean price per prediction in USD; models without a price cost nothing.
 
@@ -198,13 +207,33 @@ def cost_per_query(predictions: DataFrame, prices: DataFrame, model: str = "mode
         F.sum(F.coalesce("tokens_in", F.lit(0))).alias("_in"),
         F.sum(F.coalesce("tokens_out", F.lit(0))).alias("_out"),
     )
-    spent = F.col("_in") * F.coalesce("price_in", F.lit(0.0)) + F.col("_out") * F.coalesce(
-        "price_out", F.lit(0.0)
-    )
     return totals.join(prices, model, "left").select(
-        model,
-        F.col("_n").alias("n"),
-        exact_round(spent / 1e6 / F.col("_n"), 6).alias("cost_per_query_usd"),
+        model, F.col("_n").alias("n"), _cost().alias("cost_per_query_usd")
+    )
+
+
+def report_lines(
+    rows: DataFrame,
+    predictions: DataFrame,
+    prices: DataFrame,
+    api_runtimes: Sequence[str] = (),
+    keys: Sequence[str] = ("model", "runtime", "set"),
+) -> DataFrame:
+    """The whole report line of every run: scores, latencies, calls to an API, cost."""
+    keys = list(keys)
+    runs = predictions.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(F.coalesce("tokens_in", F.lit(0))).alias("_in"),
+        F.sum(F.coalesce("tokens_out", F.lit(0))).alias("_out"),
+    )
+    priced = runs.join(prices, "model", "left").select(*keys, _cost().alias("cost_per_query_usd"))
+    calls = F.when(F.col("runtime").isin(*api_runtimes), 100).otherwise(0) if api_runtimes else F.lit(0)
+    return (
+        score_summary(rows, keys)
+        .join(latency_percentiles(rows, keys), keys, "left")
+        .join(priced, keys, "left")
+        .withColumn("cost_per_query_usd", F.coalesce("cost_per_query_usd", F.lit(0.0)))
+        .withColumn("api_calls_per_100", calls)
     )
 
 

@@ -4,6 +4,7 @@ from pairlake.plans import (  # noqa: F401
     consensus,
     curation,
     families,
+    flows,
     release,
     results,
     scoring,

@@ -133,6 +133,8 @@ WITH {roles.OUTCOMES}
 SELECT model, runtime, set_name AS "set", count(*) AS n, count_if(missing)::BIGINT AS missing,
   CAST(printf('%.4f', count_if(ex)::DOUBLE / count(*)) AS DOUBLE) AS ex, CAST(printf('%.4f', count_if(valid)::DOUBLE / count(*)) AS DOUBLE) AS valid_sql,
   CAST(printf('%.4f', count_if(exact)::DOUBLE / count(*)) AS DOUBLE) AS exact_match, CAST(printf('%.1f', avg(tokens_out)) AS DOUBLE) AS tokens_out_mean, """
+    + ", ".join(f"count_if(difficulty = '{d}')::BIGINT AS n_{d}" for d in ("easy", "medium", "hard", "extra"))
+    + ", "
     + ", ".join(
         f"CAST(printf('%.4f', count_if(ex AND difficulty = '{d}')::DOUBLE / nullif(count_if(difficulty = '{d}'), 0)) AS DOUBLE) AS ex_{d}"
         for d in ("easy", "medium", "hard", "extra")
@@ -179,6 +181,28 @@ def cost_per_query(t: Tables) -> DataFrame:
     return E.cost_per_query(roles.prediction_log(t), prices)
 
 
+@query(
+    "e4_report_lines",
+    f"""
+WITH {roles.OUTCOMES}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY model, runtime ORDER BY latency_ms) - 1 AS i, count(*) OVER (PARTITION BY model, runtime) AS c FROM outcome_rows)
+SELECT model, runtime, set_name AS "set", count(*) AS n, CAST(printf('%.4f', count_if(ex)::DOUBLE / count(*)) AS DOUBLE) AS ex,
+  CAST(printf('%.1f', max(latency_ms) FILTER (i = least(c - 1, CAST(floor(0.5 * c) AS BIGINT)))) AS DOUBLE) AS latency_ms_p50,
+  CAST(printf('%.1f', max(latency_ms) FILTER (i = least(c - 1, CAST(floor(0.95 * c) AS BIGINT)))) AS DOUBLE) AS latency_ms_p95,
+  CASE WHEN runtime = 'en' THEN 100 ELSE 0 END::INTEGER AS api_calls_per_100,
+  CASE WHEN model = 'src1' THEN CAST(printf('%.6f', coalesce(sum(tokens_out), 0) * 0.6::DOUBLE / 1e6::DOUBLE / count(*)) AS DOUBLE) ELSE 0.0::DOUBLE END AS cost_per_query_usd
+FROM ranked GROUP BY model, runtime, set_name""",
+)
+def report_lines(t: Tables) -> DataFrame:
+    """Scores, latencies, API calls and cost of every run in one line."""
+    rows = roles.outcome_rows(t)
+    log = rows.withColumn("tokens_in", F.lit(None).cast("bigint"))
+    prices = t.spark.createDataFrame([("src1", 0.15, 0.6)], "model string, price_in double, price_out double")
+    return E.report_lines(rows, log, prices, ("en",)).select(
+        "model", "runtime", "set", "n", "ex", "latency_ms_p50", "latency_ms_p95", "api_calls_per_100", "cost_per_query_usd"
+    )
+
+
 @query(
     "e7_first_failures",
     f"""
