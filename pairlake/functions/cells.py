@@ -38,29 +38,36 @@ def _number(v: Column) -> Column:
 
 
 def _text(v: Column) -> Column:
-    none = F.lit(None)
     trimmed = F.btrim(v, F.lit(_TEXT_SPACE))
     return F.when(
         trimmed.rlike(NUMBER), _number(trimmed.try_cast("double"))
-    ).otherwise(
-        F.when(v.isNull(), _cell(F.lit(0), none, none)).otherwise(_cell(F.lit(2), none, v))
-    )
+    ).otherwise(_plain_text(v))
+
+
+def _plain_text(v: Column) -> Column:
+    none = F.lit(None)
+    return F.when(v.isNull(), _cell(F.lit(0), none, none)).otherwise(_cell(F.lit(2), none, v))
+
 
+def cell(c: Column, dtype: T.DataType, numeric_text: bool = True) -> Column:
+    """One value in canonical form; ``numeric_text`` reads text like ``" 4e1 "`` as a number.
 
-def cell(c: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, (T.BooleanType, T.NumericType)):
+    Without it, text stays text and booleans are no numbers, as a table on screen shows them.
+    """
+    if isinstance(dtype, T.NumericType) or (numeric_text and isinstance(dtype, T.BooleanType)):
         return _number(c.cast("double"))
-    if isinstance(dtype, T.StringType):
-        return _text(c)
     if isinstance(dtype, T.BinaryType):
-        return _text(F.lower(F.hex(c)))
-    return _text(c.cast("string"))
+        c = F.lower(F.hex(c))
+    text = c if isinstance(dtype, T.StringType) else c.cast("string")
+    return _text(text) if numeric_text else _plain_text(text)
 
 
-def row_cells(df: DataFrame, columns: list[str] | None = None) -> Column:
+def row_cells(
+    df: DataFrame, columns: list[str] | None = None, numeric_text: bool = True
+) -> Column:
     """All columns of ``df`` (in order) as one canonical row."""
     names = df.columns if columns is None else columns
-    return F.array(*[cell(F.col(f"`{n}`"), df.schema[n].dataType) for n in names])
+    return F.array(*[cell(F.col(f"`{n}`"), df.schema[n].dataType, numeric_text) for n in names])
 
 
 def row_key(cells: Column) -> Column:

@@ -12,6 +12,7 @@ from pairlake.functions.text import normalize_question, normalize_sql
 from pairlake.operators.positions import first_per_group, with_positions, with_running_total
 from pairlake.operators.results import DIFFICULTIES
 from pairlake.operators.similarity import find_leaks, greedy_dedupe
+from pairlake.session import cut
 
 
 def seeded(seed: str, key: str | Column) -> Column:
@@ -21,14 +22,27 @@ def seeded(seed: str, key: str | Column) -> Column:
 
 
 def exact_dedupe(pairs: DataFrame, block: str = "db_id") -> DataFrame:
-    """The first pair by id for each (database, normalised question, normalised SQL)."""
-    keyed = pairs.withColumn("_q", F.md5(normalize_question(F.col("question")))).withColumn(
-        "_s", F.md5(normalize_sql(F.col("sql")))
+    """The first pair by id for each (database, normalised question, normalised SQL).
+
+    Only digests are grouped. The pairs themselves meet the ids to drop, a short list
+    unless the corpus is mostly copies, so their text is not sorted or moved for nothing.
+    """
+    key = [block, "_q", "_s"]
+    digests = cut(
+        pairs.select(
+            "id",
+            block,
+            F.md5(normalize_question(F.col("question"))).alias("_q"),
+            F.md5(normalize_sql(F.col("sql"))).alias("_s"),
+        )
     )
-    firsts = keyed.groupBy(block, "_q", "_s").agg(
-        F.min_by(F.struct(*pairs.columns), "id").alias("_pair")
+    copied = (
+        digests.groupBy(*key)
+        .agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > 1)
     )
-    return firsts.select("_pair.*")
+    later = digests.join(copied, key).filter(F.col("id") != F.col("_first")).select("id")
+    return pairs.join(later, "id", "left_anti")
 
 
 def shared_databases(train: DataFrame, val: DataFrame, block: str = "db_id") -> DataFrame:

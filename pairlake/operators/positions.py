@@ -1,4 +1,4 @@
-"""Row numbers and running totals inside groups of any size.
+"""Row numbers, running totals and lookups for groups of any size.
 
 ``row_number`` over ``partitionBy(group)`` puts a whole group into one task. Here the
 rows are range-sorted by (group, order), so one group may span many tasks. Each task
@@ -117,3 +117,16 @@ def first_per_group(
         return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
     ranked = with_positions(df, groups, orders, "_rank")
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
+
+
+def attach(
+    rows: DataFrame, per_key: DataFrame, key: str, spread_by: str, parts: int = 32
+) -> DataFrame:
+    """Inner join of many rows with one line per key, the rows of a key dealt to ``parts``.
+
+    A plain join on the key would put all rows of a hot key into one task, and leave them
+    there for a following aggregation on the key and more columns.
+    """
+    dealt = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    part = F.pmod(F.xxhash64(spread_by), F.lit(parts)).cast("int")
+    return rows.withColumn("_part", part).join(dealt, [key, "_part"]).drop("_part")

@@ -98,31 +98,36 @@ def recent_context(
     )
 
 
-def json_object(text: Column, schema: str) -> Column:
+def json_object(text: Column) -> Column:
     """A JSON object, taken from the outermost braces when the whole text is not one."""
-    inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     whole = F.try_parse_json(text)
-    direct = F.when(
-        whole.isNotNull() & F.ltrim(text).startswith("{"), F.from_json(text, schema)
+    braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.when(F.schema_of_variant(whole).startswith("OBJECT"), whole).otherwise(
+        F.try_parse_json(F.when(braces != "", braces))
     )
-    return F.coalesce(direct, F.from_json(F.when(inner != "", inner), schema))
 
 
 def align_answers(batches: DataFrame, reply: str = "reply") -> DataFrame:
     """Replies ``{"answers": [{"n", "sql"}]}`` → one line per question, ``''`` when absent.
 
-    ``batches``: a key ``batch_id``, ``n`` questions and the reply text. Entries outside
-    1…n or without SQL text are ignored; the last entry for a number counts.
+    ``batches``: a key ``batch_id``, ``n`` questions and the reply text. Entries count only
+    with a whole number from 1 to n and SQL text; the last one for a number wins.
     """
-    schema = "struct<answers:array<struct<n:string,sql:string>>>"
-    answers = json_object(F.col(reply), schema)["answers"]
+    answers = F.try_variant_get(json_object(F.col(reply)), "$.answers", "array<variant>")
     asked = batches.select(
         "batch_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("n")
     )
+
+    def field(name: str, kind: str, dtype: str) -> Column:
+        value = F.try_variant_get("_a", f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(value) == kind, F.try_variant_get("_a", f"$.{name}", dtype))
+
     given = (
         batches.select("batch_id", F.posexplode(answers).alias("_i", "_a"))
-        .select("batch_id", "_i", F.col("_a.n").try_cast("int").alias("n"), F.col("_a.sql").alias("sql"))
-        .filter(F.col("sql").isNotNull())
+        .select(
+            "batch_id", "_i", field("n", "BIGINT", "int").alias("n"), field("sql", "STRING", "string").alias("sql")
+        )
+        .filter(F.col("n").isNotNull() & F.col("sql").isNotNull())
         .groupBy("batch_id", "n")
         .agg(F.max_by("sql", "_i").alias("sql"))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlake.functions.cells import row_cells, row_key, row_text, same_row
-from pairlake.operators.positions import first_per_group, with_positions
+from pairlake.operators.positions import attach, first_per_group, with_positions
 from pairlake.session import cut
 
 MAX_ROWS = 500
@@ -32,10 +32,11 @@ def result_rows(
     side: str = "a",
     order: Sequence[Column | str] | None = None,
     columns: list[str] | None = None,
+    numeric_text: bool = True,
 ) -> DataFrame:
     """``df`` as lines of a results table; ``order`` fixes ``row_ix`` for ordered results."""
     qid = F.lit(query_id) if isinstance(query_id, str) else query_id
-    cells = row_cells(df, columns)
+    cells = row_cells(df, columns, numeric_text)
     rows = df.withColumn("_qid", qid).withColumn("_cells", cells)
     if order is None:
         rows = rows.withColumn("_ix", F.monotonically_increasing_id())
@@ -65,7 +66,7 @@ def results_match(results: DataFrame, queries: DataFrame) -> DataFrame:
     has_nan = F.exists(F.col("cells"), lambda c: F.coalesce(F.isnan(c["num"]), F.lit(False)))
     slot = F.when(F.col("ordered"), F.col("row_ix"))
     sign = F.when(F.col("side") == "a", 1).otherwise(-1)
-    lines = results.join(queries.select("query_id", "ordered"), "query_id")
+    lines = attach(results, queries.select("query_id", "ordered"), "query_id", "row_ix")
     distinct_rows = (
         lines.withColumn("_slot", slot)
         .withColumn("_row", F.sha2(row_text(F.col("cells")), 256))
@@ -110,7 +111,7 @@ def results_match(results: DataFrame, queries: DataFrame) -> DataFrame:
 def _match_by_position(results: DataFrame, open_queries: DataFrame) -> DataFrame:
     if open_queries.isEmpty():
         return open_queries.select("query_id", F.lit(False).alias("_close"))
-    lines = results.join(open_queries, "query_id").withColumn("_key", row_key(F.col("cells")))
+    lines = attach(results, open_queries, "query_id", "row_ix").withColumn("_key", row_key(F.col("cells")))
     unordered = with_positions(
         lines.filter(~F.col("ordered")), ["query_id", "side"], ["_key", "cells", "row_ix"]
     ).select("query_id", "side", "cells", "pos")
@@ -136,7 +137,7 @@ def result_hash(results: DataFrame, queries: DataFrame) -> DataFrame:
     Row digests are added up, so no task ever holds a whole result. Ordered results put
     the row number into the digest. The bytes are this library's own encoding.
     """
-    lines = results.join(queries.select("query_id", "ordered"), "query_id")
+    lines = attach(results, queries.select("query_id", "ordered"), "query_id", "row_ix")
     text = F.concat(
         F.when(F.col("ordered"), F.concat(F.col("row_ix").cast("string"), F.lit("#"))).otherwise(
             F.lit("")
@@ -230,7 +231,8 @@ def capped(results: DataFrame, queries: DataFrame, limit: int = MAX_ROWS) -> Dat
 def chart_kind(results: DataFrame, queries: DataFrame) -> DataFrame:
     """``line``, ``bar`` or NULL for each result: two columns, 2 to 30 rows, one numeric.
 
-    A date-like x is text that starts with ``YYYY-MM``.
+    A date-like x is text that starts with ``YYYY-MM``. Lines come from ``result_rows`` with
+    ``numeric_text=False``: digits in a text column are no numbers here.
     """
     first, second = F.get("cells", F.lit(0)), F.get("cells", F.lit(1))
 
@@ -287,7 +289,11 @@ def determinism(
 
 def query_list(spark: SparkSession, ordered: dict[str, bool]) -> DataFrame:
     """The small ``queries`` table for results built by hand."""
-    return spark.createDataFrame(list(ordered.items()), "query_id string, ordered boolean")
+    entries = [
+        F.struct(F.lit(q).alias("query_id"), F.lit(o).alias("ordered")) for q, o in ordered.items()
+    ]
+    # A literal list has a known size, so joins with it need no shuffle.
+    return spark.range(1).select(F.explode(F.array(*entries)).alias("q")).select("q.*")
 
 
 def equivalence_filter(

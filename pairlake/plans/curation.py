@@ -22,7 +22,7 @@ SELECT min(id) AS id, db_id FROM keyed GROUP BY db_id, q, s""",
 )
 def exact_dedupe(t: Tables) -> DataFrame:
     """The first document per language, normalised text and query."""
-    return K.exact_dedupe(roles.doc_pairs(t)).select("id", "db_id")
+    return K.exact_dedupe(roles.doc_pairs(t, True)).select("id", "db_id")
 
 
 @query(
@@ -127,7 +127,7 @@ FROM doc_pairs d LEFT JOIN reasons r ON r.seq = d.seq""",
 )
 def greedy_dedupe(t: Tables) -> DataFrame:
     """All documents in order, dropped when too close to an earlier kept one."""
-    return S.greedy_dedupe(roles.doc_pairs(t)).select("id", "reason")
+    return S.greedy_dedupe(roles.doc_pairs(t, True)).select("id", "reason")
 
 
 def _hashed_rows(t: Tables) -> tuple[DataFrame, DataFrame]:

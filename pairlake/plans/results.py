@@ -598,7 +598,7 @@ def chart_kind(t: Tables) -> DataFrame:
         .agg((spent - 30000).alias("y"))
         .withColumn("qid", F.concat(F.lit("p"), F.col("o_custkey").cast("string")))
     )
-    rows = [R.result_rows(df, F.col("qid"), columns=["x", "y"]) for df in (by_month, by_priority)]
+    rows = [R.result_rows(df, F.col("qid"), columns=["x", "y"], numeric_text=False) for df in (by_month, by_priority)]
     lines = rows[0].unionByName(rows[1])
     return R.chart_kind(lines, lines.select("query_id").distinct())
 

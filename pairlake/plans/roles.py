@@ -13,8 +13,11 @@ STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 # --- Spark side ---------------------------------------------------------------------------
 
 
-def doc_pairs(t: Tables) -> DataFrame:
-    """Documents as question → SQL pairs; the language is the database."""
+def doc_pairs(t: Tables, heavy: bool = False) -> DataFrame:
+    """Documents as question → SQL pairs; the language is the database.
+
+    ``heavy`` marks jobs that work through the whole text of every row.
+    """
     sql = F.concat(
         F.lit("SELECT text FROM documents WHERE source = '"),
         F.col("source"),
@@ -22,7 +25,8 @@ def doc_pairs(t: Tables) -> DataFrame:
         F.col("n_chars").cast("string"),
         F.lit(";"),
     )
-    return t.spread("documents").select(
+    documents = t.spread("documents") if heavy else t.documents
+    return documents.select(
         F.col("doc_id").alias("id"),
         F.col("doc_id").alias("seq"),
         F.col("lang").alias("db_id"),
@@ -34,13 +38,13 @@ def doc_pairs(t: Tables) -> DataFrame:
 
 def train_pairs(t: Tables) -> DataFrame:
     """Documents without a label train …"""
-    return doc_pairs(t).join(t.labels.select(F.col("doc_id").alias("id")), "id", "left_anti")
+    return doc_pairs(t, True).join(t.labels.select(F.col("doc_id").alias("id")), "id", "left_anti")
 
 
 def test_items(t: Tables) -> DataFrame:
     """… and labelled documents test."""
     labelled = t.labels.select(F.col("doc_id").alias("id"))
-    return doc_pairs(t).join(labelled, "id", "left_semi").withColumnRenamed("sql", "gold_sql")
+    return doc_pairs(t, True).join(labelled, "id", "left_semi").withColumnRenamed("sql", "gold_sql")
 
 
 def chat_pairs(t: Tables) -> DataFrame:

@@ -180,6 +180,8 @@ def test_replies(spark):
         ("wrapped", 'Sure!\n```json\n{"answers": [{"n": 1, "sql": "A; {x}"}]}\n```'),
         ("bad_entries", '{"answers": [{"n": 7, "sql": "Z;"}, {"n": "x", "sql": "Y;"}, {"n": 2}, {"sql": "W;"}]}'),
         ("twice", '{"answers": [{"n": 1, "sql": "A;"}, {"n": 1, "sql": "B;"}]}'),
+        ("mistyped", '{"answers": [{"n": "1", "sql": "A;"}, {"n": 2, "sql": 5}, "x", 7]}'),
+        ("list", '[{"answers": [{"n": 1, "sql": "A;"}]}]'),
         ("broken", "no json here"),
         ("other", '{"items": []}'),
     ]
@@ -189,7 +191,7 @@ def test_replies(spark):
         got.setdefault(r["batch_id"], {})[r["n"]] = r["sql"]
     assert got == {
         "plain": {1: "A;", 2: "B;"}, "wrapped": {1: "A; {x}", 2: ""}, "bad_entries": {1: "", 2: ""},
-        "twice": {1: "B;", 2: ""}, "broken": {1: "", 2: ""}, "other": {1: "", 2: ""},
+        "twice": {1: "B;", 2: ""}, "mistyped": {1: "", 2: ""}, "list": {1: "A;", 2: ""}, "broken": {1: "", 2: ""}, "other": {1: "", 2: ""},
     }
 
 
