@@ -125,8 +125,34 @@ def attach(
     """Inner join of many rows with one line per key, the rows of a key dealt to ``parts``.
 
     A plain join on the key would put all rows of a hot key into one task, and leave them
-    there for a following aggregation on the key and more columns.
+    there for a following aggregation on the key and more columns. ``spread_by`` must be
+    content, not a number given at run time: a repeated task has to deal the same way.
     """
     dealt = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     part = F.pmod(F.xxhash64(spread_by), F.lit(parts)).cast("int")
     return rows.withColumn("_part", part).join(dealt, [key, "_part"]).drop("_part")
+
+
+def with_copy_positions(
+    df: DataFrame,
+    groups: Sequence[str],
+    orders: Sequence[str],
+    name: str = "pos",
+    chunk: int = 1_000_000,
+) -> DataFrame:
+    """Positions of rows without a unique key: ``orders`` and ``groups`` name all columns.
+
+    Equal rows are counted, numbered once and then listed again, so nothing depends on
+    which of them came first, and any number of copies spreads over tasks.
+    """
+    counted = df.groupBy(*groups, *orders).agg(F.count(F.lit(1)).alias("_copies"))
+    ends = with_running_total(counted, groups, orders, "_copies", "_end")
+    first, last = F.col("_end") - F.col("_copies") + 1, F.col("_end")
+    starts = F.sequence(first, last, F.lit(chunk).cast("bigint"))
+    return (
+        ends.withColumn("_from", F.explode(starts))
+        .withColumn(
+            name, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (chunk - 1), last)))
+        )
+        .drop("_copies", "_end", "_from")
+    )

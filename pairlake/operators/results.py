@@ -1,7 +1,7 @@
 """Query results held as long tables: compare, hash, audit and chart them.
 
 A results table has one line per result row: ``query_id, side, row_ix, cells``. ``row_ix``
-counts 0, 1, 2, … for ordered results and is any unique number otherwise. Queries with no
+counts 0, 1, 2, … for ordered results; unordered ones may leave it NULL. Queries with no
 rows have no lines, so every verdict starts from a ``queries`` table (``query_id``, and
 ``ordered`` where order matters).
 """
@@ -14,7 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlake.functions.cells import row_cells, row_key, row_text, same_row
-from pairlake.operators.positions import attach, first_per_group, with_positions
+from pairlake.operators.positions import (
+    attach,
+    first_per_group,
+    with_copy_positions,
+    with_positions,
+)
 from pairlake.session import cut
 
 MAX_ROWS = 500
@@ -39,7 +44,7 @@ def result_rows(
     cells = row_cells(df, columns, numeric_text)
     rows = df.withColumn("_qid", qid).withColumn("_cells", cells)
     if order is None:
-        rows = rows.withColumn("_ix", F.monotonically_increasing_id())
+        rows = rows.withColumn("_ix", F.lit(None).cast("bigint"))
     else:
         rows = with_positions(rows, ["_qid"], order, "_ix").withColumn("_ix", F.col("_ix") - 1)
     return rows.select(
@@ -52,8 +57,11 @@ def result_rows(
 
 def sorted_rows(results: DataFrame) -> DataFrame:
     """Multiset order: ``rn`` numbers each result's rows by canonical key."""
-    keyed = results.withColumn("_key", row_key(F.col("cells")))
-    return with_positions(keyed, ["query_id", "side"], ["_key", "cells", "row_ix"], "rn").drop("_key")
+    keyed = results.select("query_id", "side", row_key(F.col("cells")).alias("_key"), "cells")
+    placed = with_copy_positions(keyed, ["query_id", "side"], ["_key", "cells"], "rn")
+    # The rebuilt array keeps Spark from pruning single fields of ``cells`` through the two
+    # explodes before it, which its planner (4.1) gets wrong.
+    return placed.drop("_key").withColumn("cells", F.transform("cells", lambda c: c))
 
 
 def results_match(results: DataFrame, queries: DataFrame) -> DataFrame:
@@ -66,7 +74,7 @@ def results_match(results: DataFrame, queries: DataFrame) -> DataFrame:
     has_nan = F.exists(F.col("cells"), lambda c: F.coalesce(F.isnan(c["num"]), F.lit(False)))
     slot = F.when(F.col("ordered"), F.col("row_ix"))
     sign = F.when(F.col("side") == "a", 1).otherwise(-1)
-    lines = attach(results, queries.select("query_id", "ordered"), "query_id", "row_ix")
+    lines = attach(results, queries.select("query_id", "ordered"), "query_id", "cells")
     distinct_rows = (
         lines.withColumn("_slot", slot)
         .withColumn("_row", F.sha2(row_text(F.col("cells")), 256))
@@ -111,10 +119,8 @@ def results_match(results: DataFrame, queries: DataFrame) -> DataFrame:
 def _match_by_position(results: DataFrame, open_queries: DataFrame) -> DataFrame:
     if open_queries.isEmpty():
         return open_queries.select("query_id", F.lit(False).alias("_close"))
-    lines = attach(results, open_queries, "query_id", "row_ix").withColumn("_key", row_key(F.col("cells")))
-    unordered = with_positions(
-        lines.filter(~F.col("ordered")), ["query_id", "side"], ["_key", "cells", "row_ix"]
-    ).select("query_id", "side", "cells", "pos")
+    lines = attach(results, open_queries, "query_id", "cells")
+    unordered = sorted_rows(lines.filter(~F.col("ordered"))).withColumnRenamed("rn", "pos")
     ordered = lines.filter("ordered").select(
         "query_id", "side", "cells", F.col("row_ix").alias("pos")
     )
@@ -137,7 +143,7 @@ def result_hash(results: DataFrame, queries: DataFrame) -> DataFrame:
     Row digests are added up, so no task ever holds a whole result. Ordered results put
     the row number into the digest. The bytes are this library's own encoding.
     """
-    lines = attach(results, queries.select("query_id", "ordered"), "query_id", "row_ix")
+    lines = attach(results, queries.select("query_id", "ordered"), "query_id", "cells")
     text = F.concat(
         F.when(F.col("ordered"), F.concat(F.col("row_ix").cast("string"), F.lit("#"))).otherwise(
             F.lit("")
@@ -219,7 +225,7 @@ def has_order_ties(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def capped(results: DataFrame, queries: DataFrame, limit: int = MAX_ROWS) -> DataFrame:
     """The first ``limit`` rows of each result, with the full row count on every line."""
     counts = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("row_count"))
-    kept = first_per_group(results, ["query_id"], ["row_ix"], limit)
+    kept = first_per_group(results, ["query_id"], ["row_ix", "cells"], limit)
     return (
         queries.select("query_id")
         .join(counts, "query_id", "left")
@@ -266,7 +272,7 @@ def chart_kind(results: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def reversed_copy(df: DataFrame) -> DataFrame:
-    """The same rows in reverse stored order, for determinism checks."""
+    """The rows of a stored table in reverse order, for determinism checks."""
     marked = df.withColumn("_ix", F.monotonically_increasing_id())
     return marked.orderBy(F.desc("_ix")).drop("_ix")
 

@@ -61,3 +61,16 @@ def test_first_per_group(spark):
     for n in (3, 1200):
         got = {r["id"] for r in P.first_per_group(df, ["g"], ["v", "id"], n).collect()}
         assert got == {r[2] for rs in grouped(data).values() for r in rs[:n]}
+
+
+def test_copies_get_their_own_positions(spark):
+    rnd = random.Random(8)
+    data = [("hot", 5)] * 700 + [(rnd.choice("xyz"), rnd.randint(0, 9)) for _ in range(300)]
+    df = spark.createDataFrame(data, "g string, v int").repartition(6)
+    got = P.with_copy_positions(df, ["g"], ["v"], chunk=64).collect()
+    want = {}
+    for g, v in sorted(data):
+        want.setdefault(g, []).append(v)
+    assert sorted((r["g"], r["pos"], r["v"]) for r in got) == sorted(
+        (g, p, v) for g, vs in want.items() for p, v in enumerate(vs, 1)
+    )
