@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,12 +78,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+_SCOPES: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
-    return os.path.join(shared_dir(spark), f"pairlake-{spark.sparkContext.applicationId}")
+    app = f"pairlake-{spark.sparkContext.applicationId}"
+    return os.path.join(shared_dir(spark), app, *_SCOPES)
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete everything this application wrote under the shared folder."""
+    """Delete what this application wrote under the shared folder (in the current scope)."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside the scope are deleted at its end: for jobs that repeat for ever."""
+    _SCOPES.append(f"scope-{uuid.uuid4().hex[:12]}")
+    try:
+        yield
+    finally:
+        drop_scratch(spark)
+        _SCOPES.pop()

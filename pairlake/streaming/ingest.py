@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pairlake.operators.merge import upsert
 from pairlake.operators.similarity import find_leaks, index_tests
+from pairlake.session import cut, scratch_scope
 from pairlake.sources.files import PREDICTIONS
 
 # State grows with the number of ids, so it lives on disk next to the checkpoint.
@@ -54,16 +55,18 @@ def filter_new_pairs(
     index = index_tests(tests)
 
     def check(batch: DataFrame, number: int) -> None:
-        leaks = find_leaks(batch, index).select("id").withColumn("leak", F.lit(True))
-        judged = batch.join(leaks, "id", "left").withColumn(
-            "leak", F.coalesce("leak", F.lit(False))
-        )
-        judged.filter(~F.col("leak")).drop("leak").write.mode("overwrite").parquet(
-            f"{accepted}/batch={number}"
-        )
-        judged.groupBy("db_id").agg(
-            F.count(F.lit(1)).alias("pairs"), F.count_if("leak").alias("leaks")
-        ).write.mode("overwrite").parquet(f"{report}/batch={number}")
+        with scratch_scope(spark):
+            pairs = cut(batch)
+            leaks = find_leaks(pairs, index).select("id").withColumn("leak", F.lit(True))
+            judged = cut(
+                pairs.join(leaks, "id", "left").withColumn("leak", F.coalesce("leak", F.lit(False)))
+            )
+            judged.filter(~F.col("leak")).drop("leak").write.mode("overwrite").parquet(
+                f"{accepted}/batch={number}"
+            )
+            judged.groupBy("db_id").agg(
+                F.count(F.lit(1)).alias("pairs"), F.count_if("leak").alias("leaks")
+            ).write.mode("overwrite").parquet(f"{report}/batch={number}")
 
     arriving = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(source)
     return (

@@ -32,3 +32,17 @@ def test_arriving_pairs_are_checked(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(accepted).collect()) == ["b", "c"]
     latest = {r["db_id"]: (r["pairs"], r["leaks"]) for r in ingest.latest_report(spark, report).collect()}
     assert latest == {"db": (1, 0), "x": (1, 0)}
+
+
+def test_scoped_tables_are_deleted(spark):
+    import os
+
+    from pairlake.session import cut, scratch_root, scratch_scope
+
+    outside = cut(spark.range(3))
+    with scratch_scope(spark):
+        folder = scratch_root(spark)
+        assert cut(spark.range(5)).count() == 5
+        assert os.listdir(folder)
+    assert not os.path.exists(folder)
+    assert outside.count() == 3
