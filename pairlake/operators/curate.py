@@ -204,6 +204,19 @@ def drops_by_reason(outcomes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return dropped.groupBy(*keys, "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def corpus_totals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key: databases, output rows, duplicates removed, and outputs with empty results.
+
+    ``rows``: ``db_id, duplicate, empty`` per pair that passed the execution filter.
+    """
+    return rows.groupBy(*keys).agg(
+        F.count_distinct("db_id").alias("databases"),
+        F.count_if(~F.col("duplicate")).alias("outputs"),
+        F.count_if("duplicate").alias("duplicates_removed"),
+        F.count_if(~F.col("duplicate") & F.col("empty")).alias("empty_results"),
+    )
+
+
 def difficulty_histogram(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One column per difficulty, in the fixed order, zeros included."""
     return rows.groupBy(*keys).agg(

@@ -366,6 +366,26 @@ def drops_by_reason(t: Tables) -> DataFrame:
     return K.drops_by_reason(_funnel(t), ["lang"])
 
 
+@query(
+    "l15_corpus_totals",
+    f"""
+WITH {roles.DOC_PAIRS}, keyed AS MATERIALIZED (
+  SELECT id, db_id, source, n_chars, {roles.norm_question('question')} AS q, {roles.norm_sql('sql')} AS s FROM doc_pairs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY db_id, q, s ORDER BY id) AS r FROM keyed)
+SELECT source, count(DISTINCT db_id) AS databases, count_if(r = 1)::BIGINT AS outputs,
+       count_if(r > 1)::BIGINT AS duplicates_removed, count_if(r = 1 AND n_chars < 200)::BIGINT AS empty_results
+FROM ranked GROUP BY 1""",
+)
+def corpus_totals(t: Tables) -> DataFrame:
+    """Outputs, duplicates and short documents per source."""
+    pairs = roles.doc_pairs(t, True)
+    kept = K.exact_dedupe(pairs).select("id", F.lit(False).alias("duplicate"))
+    sizes = t.documents.select(F.col("doc_id").alias("id"), (F.col("n_chars") < 200).alias("empty"))
+    rows = pairs.select("id", "db_id", "source").join(kept, "id", "left").join(sizes, "id")
+    rows = rows.withColumn("duplicate", F.coalesce("duplicate", F.lit(True)))
+    return K.corpus_totals(rows, ["source"])
+
+
 @query(
     "l15_difficulty_histogram",
     f"""WITH {FUNNEL}

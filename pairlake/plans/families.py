@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlake.operators.merge import not_in
 from pairlake.operators.positions import with_previous, with_rank
 from pairlake.plans.registry import Tables, query
 
@@ -242,16 +243,16 @@ def scalar_subquery(t: Tables) -> DataFrame:
     return t.spark.sql(_SCALAR)
 
 
-_NOT_IN = """
+@query(
+    "q5_not_in",
+    """
 SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (
-  SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9800)"""
-
-
-@query("q5_not_in", _NOT_IN)
-def not_in(t: Tables) -> DataFrame:
+  SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9800)""",
+)
+def not_in_subquery(t: Tables) -> DataFrame:
     """Suppliers outside the nations of some customers."""
-    _views(t, "supplier", "customer")
-    return t.spark.sql(_NOT_IN)
+    rich = t.customer.filter("c_mktsegment = 'BUILDING' and c_acctbal > 9800")
+    return not_in(t.supplier, "s_nationkey", rich, "c_nationkey").select("s_suppkey")
 
 
 _EXISTS = """

@@ -168,3 +168,32 @@ def test_exact_dedupe_keeps_the_first_id(spark):
     )
     assert sorted(r["id"] for r in K.exact_dedupe(df).collect()) == [1, 2, 4]
     assert K.exact_dedupe(df).filter("id = 1").select(F.col("question")).first()[0] == "a, B!"
+
+
+def test_agreed_pairs_replace_the_old_synthetic_rows(spark):
+    from pairlake.operators import flows
+
+    questions = spark.createDataFrame(
+        [("q1", "c1", 1, "db", "Where is the lake?", "easy"), ("q2", "c2", 2, "db", "where is the lake", "easy"),
+         ("q3", "c3", 3, "db", "Who owns it?", "hard"), ("q4", "c4", 4, "x", "How deep is it?", "extra")],
+        "question_id string, id string, seq bigint, db_id string, question string, difficulty string",
+    )
+    answers = [("q1", "A1;", "h1"), ("q1", "A;", "h1"), ("q2", "B;", "h2"), ("q2", "B2;", "h2"),
+               ("q3", "C;", "h3"), ("q3", "D;", "h4"), ("q4", "E;", "h5"), ("q4", "", "h5"), ("q4", "EE;", "h5")]
+    candidates = spark.createDataFrame(
+        [(q, i, s, None, 1, False, True, False, False, False, h) for i, (q, s, h) in enumerate(answers)],
+        "question_id string, cand_ix int, sql string, error string, n_rows int, all_null boolean, "
+        "deterministic boolean, ties boolean, limit_without_order boolean, ordered boolean, hash string",
+    )
+    tests = spark.createDataFrame([("t", "db", "zzz", "zzz", None)], TESTS)
+    train = spark.createDataFrame(
+        [("old", "db", "q", "s", "synthetic", "easy"), ("kept", "db", "q", "s", "spider", "easy")],
+        "id string, db_id string, question string, sql string, source string, difficulty string",
+    )
+    out = flows.add_agreed_pairs(questions, candidates, tests, train, 5, ("db", "x"), "seed")
+    got = {r["id"]: r["sql"] for r in out.train.collect()}
+    assert got == {"kept": "s", "synth_db_0001": "A;", "synth_x_0001": "E;"}
+    stats = {r["db_id"]: (r["questions"], r["agreed"], r["no_agreement"], r["kept"]) for r in out.stats.collect()}
+    assert stats == {"db": (3, 2, 1, 1), "x": (1, 1, 0, 1)}
+    assert {r["reason"]: r["n"] for r in out.drops.collect()} == {"duplicate_question": 1}
+    assert out.review.count() == 2

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pairlake.operators import catalog as C
 from pairlake.operators import prompts as P
 from pairlake.operators import repair
-from pairlake.operators.merge import replace_source, upsert
+from pairlake.operators.merge import not_in, replace_source, upsert
 from pairlake.sources import files
 
 
@@ -205,3 +205,14 @@ def test_pending(spark):
     assert asked.filter("q = 'é'").first()["digest"] == want
     done = asked.filter("q = 'x'").select("digest")
     assert [r["q"] for r in P.pending(asked, done).collect()] == ["é"]
+
+
+def test_not_in_follows_sql(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    for listed in ([], [(2,), (2,)], [(2,), (None,)]):
+        other = spark.createDataFrame(listed, "v int")
+        df.createOrReplaceTempView("not_in_left")
+        other.createOrReplaceTempView("not_in_right")
+        want = spark.sql("SELECT k FROM not_in_left WHERE k NOT IN (SELECT v FROM not_in_right)")
+        got = not_in(df, "k", other, "v")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
