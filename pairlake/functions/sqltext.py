@@ -6,7 +6,7 @@ patterns read common query shapes; they are hints for reports, not a SQL grammar
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +29,17 @@ AGGREGATES = (
     "arg_min", "quantile", "quantile_cont", "quantile_disc", "percentile_cont",
     "percentile_disc", "approx_quantile", "approx_count_distinct", "bool_and", "bool_or",
 )
+# Names that count as date and time functions.
+DATE_FUNCTIONS = (
+    "year", "month", "day", "date_part", "datepart", "date_trunc", "datetrunc",
+    "strftime", "strptime", "extract", "julianday", "date", "datetime", "now",
+    "current_date", "date_diff", "datediff", "date_add", "age", "to_timestamp",
+)
+
+
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` computed once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def visible(sql: Column) -> Column:
@@ -36,9 +47,9 @@ def visible(sql: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(sql, F.lit("")), _SILENT, " "))
 
 
-def _outer(sql: Column) -> Column:
+def _outer(text: Column) -> Column:
     """What stands outside all parentheses: ORDER BY, LIMIT, and the SELECT list's width."""
-    marks = F.regexp_extract_all(visible(sql), F.lit(_MARKS), F.lit(0))
+    marks = F.regexp_extract_all(text, F.lit(_MARKS), F.lit(0))
     start = F.struct(
         F.lit(0).alias("depth"),
         F.lit(False).alias("order"),
@@ -66,19 +77,18 @@ def _outer(sql: Column) -> Column:
 
 def has_order_by(sql: Column) -> Column:
     """Does the outer query have an ORDER BY (subqueries and windows do not count)?"""
-    return _outer(sql)["order"]
+    return _outer(visible(sql))["order"]
 
 
 def unordered_limit(sql: Column) -> Column:
     """An outer LIMIT without an outer ORDER BY returns an arbitrary subset."""
-    outer = _outer(sql)
-    return outer["limit"] & ~outer["order"]
+    return bind(_outer(visible(sql)), lambda o: o["limit"] & ~o["order"])
 
 
-def _from_lists(sql: Column) -> Column:
+def _from_lists(text: Column) -> Column:
     # EXTRACT(year FROM x) and its like hold a FROM that names no table.
     no_arguments = F.regexp_replace(
-        visible(sql), r"\b(extract|trim|substring)\s*\(([^()]*?)\bfrom\b", "$1($2 "
+        text, r"\b(extract|trim|substring)\s*\(([^()]*?)\bfrom\b", "$1($2 "
     )
     return F.regexp_extract_all(no_arguments, F.lit(_FROM_LIST), F.lit(0))
 
@@ -88,11 +98,10 @@ def _strip_quotes(name: Column) -> Column:
     return F.regexp_replace(last, '"', "")
 
 
-def table_names(sql: Column) -> Column:
-    """Distinct tables after FROM and JOIN, without the names of CTEs."""
+def _tables(text: Column, from_lists: Column) -> Column:
     listed = F.flatten(
         F.transform(
-            _from_lists(sql),
+            from_lists,
             lambda f: F.transform(
                 F.split(F.regexp_replace(f, r"^from\s+", ""), ","),
                 lambda t: F.regexp_extract(F.trim(t), _NAME, 0),
@@ -100,57 +109,74 @@ def table_names(sql: Column) -> Column:
         )
     )
     joined = F.transform(
-        F.regexp_extract_all(visible(sql), F.lit(rf"\bjoin\s+{_NAME}"), F.lit(0)),
+        F.regexp_extract_all(text, F.lit(rf"\bjoin\s+{_NAME}"), F.lit(0)),
         lambda j: F.regexp_replace(j, r"^join\s+", ""),
     )
+    cte = r'(?:\bwith\s+(?:recursive\s+)?|,\s*)("[^"]+"|[a-z_][a-z0-9_]*)\s+as\s*\('
     ctes = F.when(
-        visible(sql).rlike(r"^\s*with\b"),
-        F.regexp_extract_all(
-            visible(sql), F.lit(r'(?:\bwith\s+(?:recursive\s+)?|,\s*)("[^"]+"|[a-z_][a-z0-9_]*)\s+as\s*\('), F.lit(1)
-        ),
+        text.rlike(r"^\s*with\b"), F.regexp_extract_all(text, F.lit(cte), F.lit(1))
     ).otherwise(F.array().cast("array<string>"))
-    names = F.transform(
-        F.filter(F.concat(listed, joined), lambda n: n != ""), _strip_quotes
-    )
+    names = F.transform(F.filter(F.concat(listed, joined), lambda n: n != ""), _strip_quotes)
     return F.array_sort(F.array_distinct(F.array_except(names, F.transform(ctes, _strip_quotes))))
 
 
-def join_count(sql: Column) -> Column:
-    """JOIN words plus commas between tables."""
-    words = F.regexp_count(visible(sql), F.lit(r"\bjoin\b"))
+def _joins(text: Column, from_lists: Column) -> Column:
     commas = F.aggregate(
-        F.transform(_from_lists(sql), lambda f: F.regexp_count(f, F.lit(","))),
+        F.transform(from_lists, lambda f: F.regexp_count(f, F.lit(","))),
         F.lit(0),
         lambda a, b: a + b,
     )
-    return words + commas
+    return F.regexp_count(text, F.lit(r"\bjoin\b")) + commas
 
 
-def _calls(sql: Column, names: Sequence[str]) -> Column:
-    found = F.regexp_extract_all(visible(sql), F.lit(r"\b([a-z_][a-z0-9_]*)\s*\("), F.lit(1))
+def _known(calls: Column, names: Sequence[str]) -> Column:
     wanted = F.array(*[F.lit(n) for n in names])
-    return F.array_sort(F.array_distinct(F.filter(found, lambda f: F.array_contains(wanted, f))))
+    return F.array_sort(F.array_distinct(F.filter(calls, lambda f: F.array_contains(wanted, f))))
 
 
-def aggregate_names(sql: Column) -> Column:
-    return _calls(sql, AGGREGATES)
+def query_shape(sql: Column) -> Column:
+    """What reports compare about a query, each text pass made once:
 
+    ``tables`` (after FROM and JOIN, without CTEs), ``joins`` (JOIN words and commas between
+    tables), ``aggregates``, ``grouped``, ``dates`` (date functions), and ``columns`` of the
+    outer SELECT list (NULL when the text is no SELECT).
+    """
 
-def date_functions(sql: Column, names: Sequence[str]) -> Column:
-    bare = F.when(
-        visible(sql).rlike(r"\bcurrent_date\b"), F.array(F.lit("current_date"))
-    ).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(_calls(sql, names), bare))
+    def shape(v: Column) -> Column:
+        current = F.when(
+            v["text"].rlike(r"\bcurrent_date\b"), F.array(F.lit("current_date"))
+        ).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            _tables(v["text"], v["lists"]).alias("tables"),
+            _joins(v["text"], v["lists"]).alias("joins"),
+            _known(v["calls"], AGGREGATES).alias("aggregates"),
+            v["text"].rlike(r"\bgroup\s+by\b").alias("grouped"),
+            F.array_distinct(F.concat(_known(v["calls"], DATE_FUNCTIONS), current)).alias("dates"),
+            F.when(v["outer"]["part"] > 0, v["outer"]["commas"] + 1).alias("columns"),
+        )
+
+    def passes(text: Column) -> Column:
+        calls = F.regexp_extract_all(text, F.lit(r"\b([a-z_][a-z0-9_]*)\s*\("), F.lit(1))
+        return F.struct(
+            text.alias("text"),
+            _from_lists(text).alias("lists"),
+            calls.alias("calls"),
+            _outer(text).alias("outer"),
+        )
+
+    return bind(bind(visible(sql), passes), shape)
 
 
-def has_group_by(sql: Column) -> Column:
-    return visible(sql).rlike(r"\bgroup\s+by\b")
+def table_names(sql: Column) -> Column:
+    return query_shape(sql)["tables"]
+
+
+def join_count(sql: Column) -> Column:
+    return query_shape(sql)["joins"]
 
 
 def output_columns(sql: Column) -> Column:
-    """Expressions in the outer SELECT list; NULL when the text is no SELECT."""
-    outer = _outer(sql)
-    return F.when(outer["part"] > 0, outer["commas"] + 1)
+    return query_shape(sql)["columns"]
 
 
 # --- hardness of a query, from the counts of its parsed form -----------------------------

@@ -8,18 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlake.functions.numbers import exact_round
-from pairlake.functions.sqltext import (
-    aggregate_names,
-    date_functions,
-    has_group_by,
-    join_count,
-    output_columns,
-    table_names,
-)
+from pairlake.functions.sqltext import DATE_FUNCTIONS, bind, query_shape
 from pairlake.functions.text import clean_sql, normalize_sql
 from pairlake.operators.results import DIFFICULTIES
 
-# Error tags in report order, accepted first words, date functions.
+# Error tags in report order, accepted first words.
 TAGS = (
     "wrong column or table",
     "join error",
@@ -88,14 +81,6 @@ def message_tag(error: Column) -> Column:
     )
 
 
-# Names that count as date and time functions.
-DATE_FUNCTIONS = (
-    "year", "month", "day", "date_part", "datepart", "date_trunc", "datetrunc",
-    "strftime", "strptime", "extract", "julianday", "date", "datetime", "now",
-    "current_date", "date_diff", "datediff", "date_add", "age", "to_timestamp",
-)
-
-
 def error_tag(sql: Column, error: Column, gold_sql: Column, n_cols: Column) -> Column:
     """Why a wrong answer is wrong: text, message, then the shapes of both queries."""
     low = F.lower(F.coalesce(sql, F.lit("")))
@@ -106,28 +91,29 @@ def error_tag(sql: Column, error: Column, gold_sql: Column, n_cols: Column) -> C
     def differ(a: Column, b: Column) -> Column:
         return (F.size(F.array_except(a, b)) > 0) | (F.size(F.array_except(b, a)) > 0)
 
-    gold_cols = output_columns(gold_sql)
+    def by_shape(both: Column) -> Column:
+        mine, gold = both["mine"], both["gold"]
+        return (
+            F.when(differ(mine["tables"], gold["tables"]), "wrong column or table")
+            .when(
+                n_cols.isNotNull() & gold["columns"].isNotNull() & (n_cols != gold["columns"]),
+                "wrong column or table",
+            )
+            .when(mine["joins"] != gold["joins"], "join error")
+            .when(
+                differ(mine["aggregates"], gold["aggregates"])
+                | (mine["grouped"] != gold["grouped"]),
+                "aggregation",
+            )
+            .when(differ(mine["dates"], gold["dates"]), "date/time functions")
+            .otherwise("other")
+        )
+
+    shapes = F.struct(query_shape(sql).alias("mine"), query_shape(gold_sql).alias("gold"))
     return (
         F.when(~starts, "formatting")
         .when(error.isNotNull(), message_tag(error))
-        .when(differ(table_names(sql), table_names(gold_sql)), "wrong column or table")
-        .when(
-            n_cols.isNotNull() & gold_cols.isNotNull() & (n_cols != gold_cols),
-            "wrong column or table",
-        )
-        .when(join_count(sql) != join_count(gold_sql), "join error")
-        .when(
-            differ(aggregate_names(sql), aggregate_names(gold_sql))
-            | (has_group_by(sql) != has_group_by(gold_sql)),
-            "aggregation",
-        )
-        .when(
-            differ(
-                date_functions(sql, DATE_FUNCTIONS), date_functions(gold_sql, DATE_FUNCTIONS)
-            ),
-            "date/time functions",
-        )
-        .otherwise("other")
+        .otherwise(bind(shapes, by_shape))
     )
 
 

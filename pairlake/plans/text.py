@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pairlake.functions import sqltext, text
 from pairlake.operators import prompts as P
-from pairlake.operators.scoring import DATE_FUNCTIONS
 from pairlake.plans import roles
 from pairlake.plans.registry import Tables, query
 
@@ -169,15 +168,15 @@ FROM documents JOIN (VALUES
 )
 def query_shape(t: Tables) -> DataFrame:
     """Tables, joins, aggregates, grouping, date functions and width of each query."""
-    sql = F.col("sql")
-    return sql_texts(t).select(
+    shaped = sql_texts(t).select("doc_id", sqltext.query_shape(F.col("sql")).alias("q"))
+    return shaped.select(
         "doc_id",
-        F.array_join(sqltext.table_names(sql), ",").alias("tables"),
-        sqltext.join_count(sql).alias("n_joins"),
-        F.array_join(sqltext.aggregate_names(sql), ",").alias("aggregates"),
-        sqltext.has_group_by(sql).alias("grouped"),
-        F.array_join(F.array_sort(sqltext.date_functions(sql, DATE_FUNCTIONS)), ",").alias("dates"),
-        sqltext.output_columns(sql).alias("n_columns"),
+        F.array_join("q.tables", ",").alias("tables"),
+        F.col("q.joins").alias("n_joins"),
+        F.array_join("q.aggregates", ",").alias("aggregates"),
+        F.col("q.grouped").alias("grouped"),
+        F.array_join(F.array_sort("q.dates"), ",").alias("dates"),
+        F.col("q.columns").alias("n_columns"),
     )
 
 
