@@ -10,6 +10,7 @@ from pairlake.llm.mixing import mix
 from pairlake.llm.registry import query, table
 from pairlake.llm.secrets import scan_secrets
 from pairlake.llm.token_counts import count_tokens
+from pairlake.llm.toxicity import score_toxicity
 
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -115,3 +116,9 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         limit=2048,
         drops_space=True,
     )
+
+
+@query("op9_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
