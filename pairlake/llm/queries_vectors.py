@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlake.llm.ball_tree import top_k, whole_numbers
+from pairlake.llm.hnsw import directions, nearest
 from pairlake.llm.registry import query, table
 from pairlake.session import cut
 
@@ -25,3 +26,10 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest integer inner products of every twentieth vector against all others."""
     vectors = cut(whole_numbers(table(spark, sf_dir, "embeddings"), 64.0))
     return top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
+@query("op5_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest by cosine of every fiftieth vector, by graphs over all vectors."""
+    vectors = cut(directions(table(spark, sf_dir, "embeddings")))
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
