@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairlake.llm.chosen_paths import near_duplicates
 from pairlake.llm.registry import query, table
+from pairlake.llm.repeated_bytes import remove_repeats
 
 OP7_SQL = r"""
 WITH RECURSIVE words_ AS (SELECT doc_id,
@@ -37,3 +39,17 @@ FROM sets s JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) r ON
 def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_repeated_bytes")
+def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of earlier documents."""
+    cleaned = remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cleaned.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
