@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pairlake.llm.mixing import mix
 from pairlake.llm.registry import query, table
 from pairlake.llm.secrets import scan_secrets
+from pairlake.llm.segmentations import decode, encode_samples
 from pairlake.llm.token_counts import count_tokens
 from pairlake.llm.toxicity import score_toxicity
 
@@ -122,3 +123,20 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels that are not held out."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_sampled_pieces")
+def sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, and what they decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    sampled = encode_samples(table(spark, sf_dir, "documents"), model, k=2)
+    decoded = decode(sampled.withColumn("ids_hash", F.xxhash64("ids")), model)
+    return decoded.select(
+        "doc_id",
+        "rank",
+        "n_pieces",
+        "log_prob",
+        "log_inclusion",
+        "ids_hash",
+        F.sha2("text", 256).alias("text_sha256"),
+    )
