@@ -20,16 +20,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import log, log1p
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from pairlake.session import cut
 
@@ -82,7 +84,8 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
                     {"term": list(counts), "toxic": label, "n": list(counts.values())}
                 )
 
-    totals = {bool(r["t"]): r["n"] for r in rows.groupBy((F.col("label") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
+    sizes = rows.groupBy((F.col("label") > 0).alias("t")).agg(F.count("*").alias("n")).collect()
+    totals = {bool(r["t"]): r["n"] for r in sizes}
     pos, neg = totals.get(True, 0), totals.get(False, 0)
     counted = (
         rows.select("text", "label")
@@ -177,19 +180,19 @@ class Features:
         ]
 
 
-def with_features(rows: DataFrame, lexicon: dict[str, float], keep: str) -> DataFrame:
-    """The columns of ``keep`` (a schema string) and ``vector`` for every row with a text."""
-    names = [part.split()[0] for part in keep.split(",")]
+def with_features(rows: DataFrame, lexicon: dict[str, float], text_col: str = "text") -> DataFrame:
+    """All columns of ``rows`` and ``vector``."""
+    at = rows.columns.index(text_col)
+    schema = StructType([*rows.schema.fields, StructField("vector", ArrayType(DoubleType()))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         features = Features(lexicon)
-        for frame in frames:
-            out = frame[names].copy()
-            out["vector"] = [features.of(t) for t in frame["text"]]
-            yield out
+        for batch in batches:
+            vectors = pa.array([features.of(t.as_py()) for t in batch.column(at)], pa.list_(pa.float64()))
+            names = [*batch.schema.names, "vector"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, vectors], names=names)
 
-    shaped = rows.select(*names, "text").mapInPandas(run, f"{keep}, vector array<double>")
-    return shaped.withColumn("vector", array_to_vector("vector"))
+    return rows.mapInArrow(run, schema).withColumn("vector", array_to_vector("vector"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -198,9 +201,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = 0.7,
+    sample_rows: int = SAMPLE_ROWS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row per row of ``docs``.
+    """(doc_id, held_out, score, predicted) and the columns of ``keep``, per row of ``docs``.
 
     ``labels`` has doc_id and toxic; labels of held-out ids are not read.
     """
@@ -217,29 +224,43 @@ def score_toxicity(
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
         .select(
-            "doc_id",
             F.coalesce("text", F.lit("")).alias("text"),
             F.col("label").cast("double").alias("label"),
+            (F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0).alias("calibrate"),
         )
-        .withColumn("calibrate", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0)
     )
-    out = docs.select("doc_id", "text")
-    shown = [F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out")]
-    counts = sample.groupBy("calibrate", (F.col("label") > 0).alias("toxic")).agg(F.count("*").alias("n"))
-    sizes = {(r["calibrate"], r["toxic"]): r["n"] for r in counts.collect()}
+    mine = {f"_own_{i}": c for i, c in enumerate(keep)}
+    out = docs.select(
+        F.col("doc_id").alias("_id"),
+        F.col("text").alias("_text"),
+        *[F.col(c).alias(name) for name, c in mine.items()],
+    )
+
+    def shown(rows: DataFrame, score: Column) -> DataFrame:
+        return rows.select(
+            F.col("_id").alias("doc_id"),
+            held_out(F.col("_id")).alias("held_out"),
+            score.alias("score"),
+            (score >= threshold).cast("int").alias("predicted"),
+            *[F.col(name).alias(c) for name, c in mine.items() if c != "doc_id"],
+        )
+
+    counts = sample.groupBy("calibrate", (F.col("label") > 0).alias("toxic")).count().collect()
+    sizes = {(r["calibrate"], r["toxic"]): r["count"] for r in counts}
     if len(sizes) < 4:  # a class is missing in one of the parts
         toxic, total = sum(n for (_, t), n in sizes.items() if t), sum(sizes.values())
-        rate = F.lit(float(toxic / total if total else 0.0))
-        return out.select(*shown, rate.alias("score"), (rate >= threshold).cast("int").alias("predicted"))
+        return shown(out, F.lit(float(toxic / total if total else 0.0)))
 
-    lexicon = learn_lexicon(sample.filter(~F.col("calibrate")))
+    fitting = F.col("calibrate") == F.lit(False)
+    lexicon = learn_lexicon(sample.filter(fitting))
     vectors = cut(
-        with_features(sample, lexicon, "label double, calibrate boolean")
-        .select("label", "calibrate", vector_to_array("vector").alias("vector"))
+        with_features(sample, lexicon).select(
+            "label", "calibrate", vector_to_array("vector").alias("vector")
+        )
     ).withColumn("vector", array_to_vector("vector"))
     trees = GBTClassifier(
         featuresCol="vector", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.2, seed=7
-    ).fit(vectors.filter(~F.col("calibrate")).coalesce(4))
+    ).fit(vectors.filter(fitting).coalesce(4))
 
     def margin(rows: DataFrame) -> DataFrame:
         scored = trees.transform(rows)
@@ -248,8 +269,5 @@ def score_toxicity(
     isotonic = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(
         margin(vectors.filter("calibrate")).select("margin", "label")
     )
-    scored = isotonic.transform(margin(with_features(out, lexicon, "doc_id long")))
-    score = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
-    return scored.select(
-        *shown, score.alias("score"), (score >= threshold).cast("int").alias("predicted")
-    )
+    scored = isotonic.transform(margin(with_features(out, lexicon, "_text")))
+    return shown(scored, F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)))
