@@ -106,15 +106,7 @@ def with_previous(
 def first_per_group(
     df: DataFrame, groups: Sequence[str], orders: Sequence[Column | str], n: int
 ) -> DataFrame:
-    """The first ``n`` rows of each group.
-
-    For small ``n`` Spark keeps at most ``n`` rows per group and task before the shuffle
-    (window group limit), so a hot group stays small; larger ``n`` use positions.
-    """
-    if n < 1000:
-        by = [F.col(o) if isinstance(o, str) else o for o in orders]
-        rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*by))
-        return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    """The first ``n`` rows of each group, by positions: the same plan for every ``n``."""
     ranked = with_positions(df, groups, orders, "_rank")
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
 

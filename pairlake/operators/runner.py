@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
 from collections.abc import Sequence
@@ -29,6 +30,44 @@ class Query:
     ordered: bool = False
 
 
+# Functions that reach beyond the tables.
+_OUTSIDE = frozenset(("java_method", "reflect", "try_reflect"))
+_STATEMENTS = tuple(
+    f"org.apache.spark.sql.catalyst.plans.logical.{name}" for name in ("Command", "ParsedStatement")
+)
+
+
+class NotAQuery(Exception):
+    pass
+
+
+def reading_session(spark: SparkSession) -> SparkSession:
+    """A copy of the session: the same views, settings of its own, no reading of paths.
+
+    What model output does to its settings or views ends with the copy.
+    """
+    copy = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    copy.conf.set("spark.sql.runSQLOnFiles", "false")
+    return copy
+
+
+def check_reads_only(spark: SparkSession, sql: str) -> None:
+    """Raises unless the text is one query: no command, no insert, no script, no reflection."""
+    jvm = spark.sparkContext._jvm
+    kinds = [jvm.java.lang.Class.forName(name) for name in _STATEMENTS]
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if any(k.isInstance(node) for k in kinds) or name.startswith(("InsertInto", "Compound")):
+            raise NotAQuery("not a query")
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    called = {name.lower() for name in re.findall(r"(\w+)\W*\(", sql)}
+    if called & _OUTSIDE:
+        raise NotAQuery("not a query")
+
+
 def _run(spark: SparkSession, query: Query, path: str, timeout: float) -> str | None:
     """Write one result as canonical rows; returns the error message, if any."""
     sc = spark.sparkContext
@@ -43,7 +82,11 @@ def _run(spark: SparkSession, query: Query, path: str, timeout: float) -> str |
     timer.start()
     try:
         sc.setJobGroup(group, query.query_id, interruptOnCancel=True)
-        df = spark.sql(query.sql.strip().rstrip(";"))
+        sql = query.sql.strip().rstrip(";")
+        check_reads_only(spark, sql)
+        df = spark.sql(sql)
+        if late.is_set():  # analysis cannot be cancelled; its time counts all the same
+            raise TimeoutError
         df.select(
             F.lit(query.query_id).alias("query_id"),
             F.lit(query.side).alias("side"),
@@ -51,6 +94,8 @@ def _run(spark: SparkSession, query: Query, path: str, timeout: float) -> str |
             row_cells(df).alias("cells"),
         ).write.parquet(path)
         return None
+    except NotAQuery as e:
+        return str(e)
     except Exception as e:  # any failure of one query is that query's result
         if late.is_set():
             return f"The query took longer than {timeout:g} s and was stopped."
@@ -70,19 +115,27 @@ def run_batch(
     """(results table, errors table) of the queries, each with its own time limit.
 
     Every query is one Spark job that writes its own rows; nothing is collected. Rows of
-    ordered queries are numbered 0, 1, 2, … in result order.
+    ordered queries are numbered 0, 1, 2, … in result order. Queries only read: commands,
+    scripts, inserts and reads of paths give an error row and change nothing.
     """
     folder = scratch(spark, "results")
-    paths = [f"{folder}/q{i:05d}" for i in range(len(queries))]
+    paths = [
+        f"{folder}/{'ordered' if q.ordered else 'plain'}/n={i}" for i, q in enumerate(queries)
+    ]
+    reader = reading_session(spark)
     with ThreadPoolExecutor(parallel) as pool:
-        errors = list(pool.map(lambda qp: _run(spark, qp[0], qp[1], timeout), zip(queries, paths)))
+        errors = list(pool.map(lambda qp: _run(reader, qp[0], qp[1], timeout), zip(queries, paths)))
     failed = spark.createDataFrame(
         [(q.query_id, q.side, e) for q, e in zip(queries, errors) if e is not None], ERRORS
     )
 
     def written(ordered: bool) -> DataFrame:
-        done = [p for q, p, e in zip(queries, paths, errors) if e is None and q.ordered == ordered]
-        return spark.read.schema(RESULTS).parquet(*done) if done else spark.createDataFrame([], RESULTS)
+        if not any(e is None and q.ordered == ordered for q, e in zip(queries, errors)):
+            return spark.createDataFrame([], RESULTS)
+        # One root for all results; a failed query may have left rows behind.
+        rows = spark.read.schema(f"{RESULTS}, n long").parquet(f"{folder}/{'ordered' if ordered else 'plain'}")
+        bad = spark.createDataFrame([(i,) for i, e in enumerate(errors) if e is not None], "n long")
+        return rows.join(bad, "n", "left_anti").drop("n")
 
     ordered_rows = with_positions(written(True), ["query_id", "side"], ["row_ix"], "_pos")
     dense = ordered_rows.withColumn("row_ix", F.col("_pos") - 1).drop("_pos")

@@ -243,27 +243,17 @@ def pick_examples(chosen: DataFrame, rows: DataFrame, key: str = "id") -> DataFr
     return rows.join(chosen.select(key).distinct(), key, "left_semi")
 
 
-def comparison(rows: DataFrame, row: str, column: str, columns: Sequence[str]) -> DataFrame:
-    """EX per (row, column) as a matrix, NULL where there is no outcome."""
+def comparison(rows: DataFrame, row: str, column: str) -> DataFrame:
+    """EX per (row, column), one line per cell: whatever values there are show up."""
     cells = rows.groupBy(row, column).agg(
         F.count_if("ex").alias("_ok"), F.count(F.lit(1)).alias("_n")
     )
-    return cells.groupBy(row).agg(
-        *[
-            exact_round(
-                F.max(F.when(F.col(column) == c, F.col("_ok") / F.col("_n"))), 4
-            ).alias(f"{c}")
-            for c in columns
-        ]
-    )
+    return cells.select(row, column, exact_round(F.col("_ok") / F.col("_n"), 4).alias("ex"))
 
 
-def tag_matrix(rows: DataFrame, columns: Sequence[str], column: str = "model") -> DataFrame:
-    """Failures per error tag (rows) and model (columns)."""
-    failed = rows.filter(~F.col("ex"))
-    return failed.groupBy("tag").agg(
-        *[F.count_if(F.col(column) == c).alias(c) for c in columns]
-    )
+def tag_matrix(rows: DataFrame, column: str = "model") -> DataFrame:
+    """Failures per error tag and model, one line per cell that has any."""
+    return rows.filter(~F.col("ex")).groupBy("tag", column).agg(F.count(F.lit(1)).alias("failures"))
 
 
 def markdown_row(*cells: Column) -> Column:

@@ -369,14 +369,11 @@ def period_over_period(t: Tables) -> DataFrame:
     quarterly = t.lineitem.groupBy(F.date_trunc("quarter", "l_shipdate").alias("q")).agg(
         F.sum(cents("l_extendedprice")).alias("s")
     )
-    before = quarterly.select(
-        F.add_months("q", 3).alias("next_q"), F.col("s").cast("double").alias("before")
-    )
-    joined = quarterly.join(before, F.to_date("q") == F.col("next_q"), "left")
-    return joined.select(
+    before = F.lag(F.col("s").cast("double")).over(Window.orderBy("q"))
+    return quarterly.select(
         F.date_format("q", "yyyy-MM-dd").alias("quarter"),
         F.col("s").cast("double").alias("revenue"),
-        F.round(F.col("s").cast("double") / F.col("before") - 1, 6).alias("growth"),
+        F.round(F.col("s").cast("double") / before - 1, 6).alias("growth"),
     )
 
 

@@ -20,14 +20,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
-        """A table for heavy per-row work. A sample kept in one or two files would be read
-        by as many tasks; only then its rows are dealt out to all cores first."""
-        df = getattr(self, name)
-        if len(df.inputFiles()) > 2:
-            return df
-        return df.repartition(self.spark.sparkContext.defaultParallelism)
-
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables)`` as ``name``; ``sql`` is its DuckDB counterpart."""

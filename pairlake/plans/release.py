@@ -179,14 +179,14 @@ def base_floor(t: Tables) -> DataFrame:
 
 def _gate_inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
     runs = registry(t).filter("run_id is not null").select("model")
-    shipped = t.documents.select(F.col("lang").alias("runtime")).distinct().filter("runtime <> 'es'")
     previous = scores(t).filter("model = 'src1' and runtime <> 'de'").select(
         "runtime", F.col("ex").alias("prev_ex")
     )
-    # Every fine-tuned model must be scored in every runtime that ships.
-    required = runs.withColumn("runtime", F.explode(F.array(F.lit("de"), F.lit("en"), F.lit("fr")))).join(
-        shipped, "runtime", "left_semi"
-    )
+    # Every fine-tuned model must be scored in every runtime that ships; one line lists them.
+    shipped = t.documents.filter("lang <> 'es'").agg(F.collect_set("lang").alias("runtimes"))
+    every = F.lit(1).alias("one")
+    required = runs.select("model", every).join(shipped.select("runtimes", every), "one")
+    required = required.select("model", F.explode("runtimes").alias("runtime"))
     return required, previous
 
 
@@ -195,7 +195,7 @@ def _gate_inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
     f"""
 WITH {REGISTRY},
 previous AS (SELECT runtime, ex AS prev_ex FROM scores WHERE model = 'src1' AND runtime <> 'de'),
-required AS (SELECT model, base, runtime FROM registry, (VALUES ('de'), ('en'), ('fr')) v(runtime) WHERE run_id IS NOT NULL),
+required AS (SELECT model, base, runtime FROM registry, (SELECT DISTINCT lang AS runtime FROM documents WHERE lang <> 'es') WHERE run_id IS NOT NULL),
 g AS (
   SELECT q.model, q.base, q.runtime, s.ex, s.ex IS NOT NULL AND s.missing = 0 AS complete, floor, prev_ex,
     concat_ws(', ', CASE WHEN s.ex < floor THEN 'base' END, CASE WHEN s.ex < prev_ex THEN 'previous release' END) AS failed

@@ -227,30 +227,24 @@ def examples(t: Tables) -> DataFrame:
     return E.pick_examples(chosen, rows).select("id", "model", "difficulty")
 
 
-_LANGS = ("de", "en", "es", "fr")
-_SQL_CELL = "CAST(printf('%.4f', count_if(ex AND {c} = '{v}')::DOUBLE / nullif(count_if({c} = '{v}'), 0)) AS DOUBLE) AS {v}"
-
-
 @query(
     "e8_difficulty_by_runtime",
-    f"WITH {roles.OUTCOMES} SELECT difficulty, "
-    + ", ".join(_SQL_CELL.format(c="runtime", v=v) for v in _LANGS)
-    + " FROM outcome_rows GROUP BY 1",
+    f"""
+WITH {roles.OUTCOMES}
+SELECT difficulty, runtime, CAST(printf('%.4f', count_if(ex)::DOUBLE / count(*)) AS DOUBLE) AS ex FROM outcome_rows GROUP BY 1, 2""",
 )
 def difficulty_by_runtime(t: Tables) -> DataFrame:
     """EX per difficulty and language."""
-    return E.comparison(roles.outcome_rows(t), "difficulty", "runtime", _LANGS)
+    return E.comparison(roles.outcome_rows(t), "difficulty", "runtime")
 
 
 @query(
     "e8_tags_by_runtime",
-    f"WITH {roles.OUTCOMES} SELECT tag, "
-    + ", ".join(f"count_if(runtime = '{v}')::BIGINT AS {v}" for v in _LANGS)
-    + " FROM outcome_rows WHERE NOT ex GROUP BY 1",
+    f"WITH {roles.OUTCOMES} SELECT tag, runtime, count(*) AS failures FROM outcome_rows WHERE NOT ex GROUP BY 1, 2",
 )
 def tags_by_runtime(t: Tables) -> DataFrame:
     """Failures per tag and language."""
-    return E.tag_matrix(roles.outcome_rows(t), _LANGS, "runtime")
+    return E.tag_matrix(roles.outcome_rows(t), "runtime")
 
 
 @query(

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from pairlake.operators import catalog as C
 from pairlake.operators import repair
+from pairlake.operators.positions import with_positions
 from pairlake.operators.results import reversed_copy
 from pairlake.plans.registry import Tables, query
+from pairlake.session import cut
 
 USER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -297,8 +299,11 @@ def data_notes(t: Tables) -> DataFrame:
     return C.data_notes(C.profile(holed_tables(t)))
 
 
-@query("i9_reversed_copy", "SELECT * FROM orders UNION ALL SELECT * FROM orders")
+@query(
+    "i9_reversed_copy",
+    "SELECT o_orderkey, CAST(count(*) OVER () - row_number() OVER () + 1 AS BIGINT) AS pos FROM orders",
+)
 def reversed_rows(t: Tables) -> DataFrame:
-    """A reversed copy has the same rows: orders next to their reversed copy."""
-    return t.orders.unionByName(reversed_copy(t.orders))
-
+    """The position of every order in the reversed copy: the last stored row comes first."""
+    stored = cut(reversed_copy(t.orders)).withColumn("_ix", F.monotonically_increasing_id())
+    return with_positions(stored, [], ["_ix"]).select("o_orderkey", "pos")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,27 +79,48 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-_SCOPES: list[str] = []
+# The folder of the job that is running here: every thread and stream has its own.
+_SCOPE: ContextVar[str] = ContextVar("pairlake_scope", default="")
 
 
 def scratch_root(spark: SparkSession) -> str:
-    app = f"pairlake-{spark.sparkContext.applicationId}"
-    return os.path.join(shared_dir(spark), app, *_SCOPES)
+    app = os.path.join(shared_dir(spark), f"pairlake-{spark.sparkContext.applicationId}")
+    if app not in _DOOMED:
+        _DOOMED.add(app)
+        path, files = _file_system(spark, app)
+        files.deleteOnExit(path)  # what a job has not deleted goes when the driver ends
+    return os.path.join(app, _SCOPE.get())
+
+
+_DOOMED: set[str] = set()
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete what this application wrote under the shared folder (in the current scope)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete what the running scope (outside of any: this application) has written."""
+    _drop(spark, scratch_root(spark))
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    path, files = _file_system(spark, folder)
+    files.delete(path, True)
 
 
 @contextmanager
-def scratch_scope(spark: SparkSession) -> Iterator[None]:
-    """Tables cut inside the scope are deleted at its end: for jobs that repeat for ever."""
-    _SCOPES.append(f"scope-{uuid.uuid4().hex[:12]}")
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Tables cut inside the scope are deleted at its end; the scope's folder is its value.
+
+    Scopes nest, and belong to the thread that opened them: streams and jobs that run side
+    by side never see or delete each other's tables.
+    """
+    token = _SCOPE.set(os.path.join(_SCOPE.get(), f"scope-{uuid.uuid4().hex[:12]}"))
+    folder = scratch_root(spark)
     try:
-        yield
+        yield folder
     finally:
-        drop_scratch(spark)
-        _SCOPES.pop()
+        _drop(spark, folder)
+        _SCOPE.reset(token)
