@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pairlake.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLOT_DIGITS = 4  # hex digits of the seeded order that name a slot
+SLOT_DIGITS = 3  # hex digits of the seeded order that name a slot: 4,096 slots a source
 
 
 def words(text: Column) -> Column:
@@ -106,30 +106,34 @@ def mix(
         Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     )
     begun = slots.withColumn("begun", F.coalesce(F.sum("slot_size").over(earlier), F.lit(0)))
-    # The last slot that begins below the goal; the boundary lies in it.
-    edges = (
-        _by_source(begun, targets.select("source", "goal"))
-        .filter(F.col("begun") < F.col("goal"))
-        .groupBy("source")
-        .agg(F.max("slot").alias("edge"), F.max_by("begun", "slot").alias("edge_begun"))
-    )
-    plan = _by_source(targets, edges, "left")
-    dealt = _by_source(sized, plan).withColumn("edge", F.coalesce("edge", F.lit("")))
-    apart = dealt.filter(F.col("slot") != F.col("edge")).withColumn(
-        "extra", (F.col("slot") < F.col("edge")).cast("int")
+    slot_end = F.col("begun") + F.col("slot_size")
+    # Slots that end by the goal are taken, slots that begin at or above it are not; the
+    # one in between is the boundary. Documents meet their slot, never their whole source.
+    plan = _join(begun, targets, ["source"]).select(
+        "source",
+        "slot",
+        "source_size",
+        "target",
+        "whole",
+        "goal",
+        "begun",
+        (slot_end <= F.col("goal")).cast("int").alias("extra"),
+        ((F.col("begun") < F.col("goal")) & (slot_end > F.col("goal"))).alias("boundary"),
     )
+    dealt = _join(sized, plan, ["source", "slot"])
     inside = (
-        Window.partitionBy("source")
+        Window.partitionBy("source", "slot")
         .orderBy("place", "doc_id", "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    so_far = F.col("edge_begun") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    boundary = dealt.filter(F.col("slot") == F.col("edge")).withColumn(
+    so_far = F.col("begun") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    edge = dealt.filter("boundary").withColumn(
         "extra", (so_far + F.col("size") / 2 < F.col("goal")).cast("int")
     )
     copies = (F.col("whole") + F.col("extra")).cast("long")
     return (
-        apart.unionByName(boundary)
+        dealt.filter(~F.col("boundary"))
+        .unionByName(edge)
         .withColumn("copies", copies)
         .select(
             "doc_id",
@@ -168,7 +172,10 @@ def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     )
 
 
-def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on ``source``, where null equals null. ``right`` has one row per source."""
-    other = right.withColumnRenamed("source", "_source")
-    return left.join(other, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on ``keys``, where null equals null."""
+    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return left.join(other, same).drop(*[f"_{k}" for k in keys])
