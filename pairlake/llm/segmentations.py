@@ -144,9 +144,9 @@ class Lattices:
         if vocabulary.by_words:
             cut[1:] |= blank[1:] & ~blank[:-1]
         cut[1:] |= ~known[1:] | ~known[:-1]  # characters without a piece stand alone
-        cut[begins[:-1]] = True
+        cut[begins[begins < len(codes)]] = True
         starts = np.flatnonzero(cut)
-        ends = np.append(starts[1:], len(codes))
+        ends = np.append(starts[1:], len(codes))[: len(starts)]
         names = CodeHash(codes).between(starts, ends)
         _, first, self.word_of = np.unique(names, return_index=True, return_inverse=True)
         self.word_begin = starts  # place of every word in the batch
@@ -211,7 +211,7 @@ class Lattices:
         order = np.argsort(left[self.start], kind="stable")
         ranked = left[self.start[order]]
         cuts = np.flatnonzero(np.diff(ranked)) + 1
-        for group in np.split(order, cuts):
+        for group in np.split(order, cuts) if len(order) else ():
             value = self.log_p[group] + np.where(last[group], 0.0, ahead[self.end[group]])
             nodes = self.start[group]
             begin = np.flatnonzero(np.diff(nodes, prepend=-1))
