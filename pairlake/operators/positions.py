@@ -111,20 +111,6 @@ def first_per_group(
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
 
-def attach(
-    rows: DataFrame, per_key: DataFrame, key: str, spread_by: str, parts: int = 32
-) -> DataFrame:
-    """Inner join of many rows with one line per key, the rows of a key dealt to ``parts``.
-
-    A plain join on the key would put all rows of a hot key into one task, and leave them
-    there for a following aggregation on the key and more columns. ``spread_by`` must be
-    content, not a number given at run time: a repeated task has to deal the same way.
-    """
-    dealt = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    part = F.pmod(F.xxhash64(spread_by), F.lit(parts)).cast("int")
-    return rows.withColumn("_part", part).join(dealt, [key, "_part"]).drop("_part")
-
-
 def with_copy_positions(
     df: DataFrame,
     groups: Sequence[str],

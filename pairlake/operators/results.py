@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from pairlake.functions.cells import row_cells, row_key, row_text, same_row
 from pairlake.operators.positions import (
-    attach,
     first_per_group,
     with_copy_positions,
     with_positions,
@@ -26,9 +25,13 @@ MAX_ROWS = 500
 HASH_CHARS = 16
 
 
-def _digest_number(text: Column, start: int) -> Column:
-    """A 60-bit number from 15 hex characters of a row's SHA-256."""
-    return F.conv(F.substring(text, start, 15), 16, 10).cast("decimal(38,0)")
+# The sums over rows that make up a result's hash: 32-bit slices of the row digests.
+SLICES = 4
+
+
+def _slice(digest: Column, number: int) -> Column:
+    """32 bits of a hex digest; sums of two thousand million rows fit a BIGINT."""
+    return F.conv(F.substring(digest, 8 * number + 1, 8), 16, 10).cast("bigint")
 
 
 def result_rows(
@@ -74,16 +77,23 @@ def results_match(results: DataFrame, queries: DataFrame) -> DataFrame:
     has_nan = F.exists(F.col("cells"), lambda c: F.coalesce(F.isnan(c["num"]), F.lit(False)))
     slot = F.when(F.col("ordered"), F.col("row_ix"))
     sign = F.when(F.col("side") == "a", 1).otherwise(-1)
-    lines = attach(results, queries.select("query_id", "ordered"), "query_id", "cells")
+    # Only digests are shuffled; cells are read again for the queries that stay open.
+    digests = results.select(
+        "query_id",
+        "side",
+        "row_ix",
+        F.unhex(F.md5(row_text(F.col("cells")))).alias("_row"),
+        has_nan.alias("_has_nan"),
+    )
     distinct_rows = (
-        lines.withColumn("_slot", slot)
-        .withColumn("_row", F.sha2(row_text(F.col("cells")), 256))
+        digests.join(queries.select("query_id", "ordered"), "query_id")
+        .withColumn("_slot", slot)
         .groupBy("query_id", "_slot", "_row")
         .agg(
             F.sum(sign).alias("_balance"),
             F.count_if(F.col("side") == "a").alias("_a"),
             F.count_if(F.col("side") == "b").alias("_b"),
-            F.max(has_nan).alias("_nan"),
+            F.max("_has_nan").alias("_nan"),
         )
     )
     verdicts = distinct_rows.groupBy("query_id").agg(
@@ -119,7 +129,7 @@ def results_match(results: DataFrame, queries: DataFrame) -> DataFrame:
 def _match_by_position(results: DataFrame, open_queries: DataFrame) -> DataFrame:
     if open_queries.isEmpty():
         return open_queries.select("query_id", F.lit(False).alias("_close"))
-    lines = attach(results, open_queries, "query_id", "cells")
+    lines = results.join(open_queries, "query_id")
     unordered = sorted_rows(lines.filter(~F.col("ordered"))).withColumnRenamed("rn", "pos")
     ordered = lines.filter("ordered").select(
         "query_id", "side", "cells", F.col("row_ix").alias("pos")
@@ -143,23 +153,30 @@ def result_hash(results: DataFrame, queries: DataFrame) -> DataFrame:
     Row digests are added up, so no task ever holds a whole result. Ordered results put
     the row number into the digest. The bytes are this library's own encoding.
     """
-    lines = attach(results, queries.select("query_id", "ordered"), "query_id", "cells")
-    text = F.concat(
-        F.when(F.col("ordered"), F.concat(F.col("row_ix").cast("string"), F.lit("#"))).otherwise(
-            F.lit("")
-        ),
-        row_text(F.col("cells")),
+    text = row_text(F.col("cells"))
+    numbered = F.concat(F.col("row_ix").cast("string"), F.lit("#"), text)
+    digests = results.select(
+        "query_id",
+        "side",
+        F.sha2(text, 256).alias("_plain"),
+        F.sha2(numbered, 256).alias("_numbered"),  # null where a row has no number
     )
+
+    def sums_of(digest: str) -> Column:
+        parts = [F.sum(_slice(F.col(digest), k)).cast("string") for k in range(SLICES)]
+        return F.concat_ws(":", F.count(F.lit(1)).cast("string"), *parts)
+
+    # One line per (query, side) before the queries say which of the two sums counts.
     sums = (
-        lines.withColumn("_digest", F.sha2(text, 256))
-        .groupBy("query_id", "side")
+        digests.groupBy("query_id", "side")
         .agg(
             F.count(F.lit(1)).alias("_n"),
-            F.sum(_digest_number(F.col("_digest"), 1)).alias("_x"),
-            F.sum(_digest_number(F.col("_digest"), 16)).alias("_y"),
+            sums_of("_plain").alias("_plain"),
+            sums_of("_numbered").alias("_numbered"),
         )
+        .join(queries.select("query_id", "ordered"), "query_id")
     )
-    joined = F.concat_ws(":", F.col("_n").cast("string"), F.col("_x").cast("string"), F.col("_y").cast("string"))
+    joined = F.when(F.col("ordered"), F.col("_numbered")).otherwise(F.col("_plain"))
     return sums.select(
         "query_id",
         "side",

@@ -41,15 +41,13 @@ def sql_text_cell(x: str) -> str:
     )
 
 
-def sql_digest(text: str, start: int) -> str:
-    return f"CAST('0x' || substr(sha256({text}), {start}, 15) AS BIGINT)::HUGEINT"
+def sql_digest(text: str, number: int) -> str:
+    return f"CAST('0x' || substr(sha256({text}), {8 * number + 1}, 8) AS BIGINT)"
 
 
 def sql_hash(text: str) -> str:
-    return (
-        f"substr(sha256(count(*) || ':' || sum({sql_digest(text, 1)}) || ':' || "
-        f"sum({sql_digest(text, 16)})), 1, 16)"
-    )
+    sums = " || ':' || ".join(f"sum({sql_digest(text, k)})" for k in range(R.SLICES))
+    return f"substr(sha256(count(*) || ':' || {sums}), 1, 16)"
 
 
 # --- the flagship: one question, two queries, one verdict -----------------------------------

@@ -123,53 +123,76 @@ def test_retry_choice(spark):
 
 
 RESULT = "model string, runtime string, `set` string, ex double, missing bigint"
-BASE = [
-    ("base", "cpu", "own", 0.31, 0), ("base-export", "gpu4", "own", 0.22, 0), ("base-export", "cpu4", "own", 0.33, 0),
-    ("base-export", "cpu4", "other", 0.9, 0), ("big", "api", "own", 0.81, 0),
-]
-REGISTRY = [("base", None, None), ("base-export", "base", None), ("run1", "base", "v1"), ("big", None, None)]
-
-
-def run_gate(spark, scores, previous=()):
-    results = spark.createDataFrame([*BASE, *scores], RESULT)
-    registry = spark.createDataFrame(REGISTRY, "model string, base string, run_id string")
-    wanted = spark.createDataFrame([("run1", "gpu4"), ("run1", "cpu4")], "model string, runtime string")
-    prev = spark.createDataFrame(list(previous), "runtime string, prev_ex double")
-    return G.release_gate(wanted, results, registry, prev, "own").collect()
-
-
-@pytest.mark.parametrize(
-    ("gpu4", "cpu4", "previous", "passed"),
-    [
-        (0.41, 0.4, None, True),
-        (0.22, 0.33, None, True),  # reaching the floor is enough
-        (0.41, 0.32, None, False),  # one runtime below its own floor
-        (0.21, 0.4, None, False),
-        (0.41, 0.4, 0.405, False),  # below the previous release in one runtime
-        (0.41, 0.405, 0.405, True),
-    ],
-)
-def test_gate(spark, gpu4, cpu4, previous, passed):
-    scores = [("run1", "gpu4", "own", gpu4, 0), ("run1", "cpu4", "own", cpu4, 0)]
-    prev = [] if previous is None else [("gpu4", previous), ("cpu4", previous)]
-    assert {r["passed"] for r in run_gate(spark, scores, prev)} == {passed}
-
-
-def test_gate_messages(spark):
-    got = {r["runtime"]: r["message"] for r in run_gate(spark, [("run1", "cpu4", "own", 0.32, 0)], [("cpu4", 0.5)])}
-    assert got == {
-        "gpu4": "gpu4: FAIL (no complete own predictions)",
-        "cpu4": "cpu4: EX 32.0% vs base 33.0%, previous release 50.0%: FAIL (below base, previous release)",
-    }
-    incomplete = run_gate(spark, [("run1", "gpu4", "own", 0.6, 0), ("run1", "cpu4", "own", 0.6, 3)])
-    assert not incomplete[0]["passed"]
 
 
-def test_base_floor_is_like_for_like(spark):
-    results = spark.createDataFrame([*BASE, ("run1", "cpu4", "own", 0.95, 0)], RESULT)
-    registry = spark.createDataFrame(REGISTRY, "model string, base string, run_id string")
-    got = {(r["base"], r["runtime"]): r["floor"] for r in G.base_floor(results, registry, "own").collect()}
-    assert got == {("base", "cpu"): 0.31, ("base", "gpu4"): 0.22, ("base", "cpu4"): 0.33, ("big", "api"): 0.81}
+def gate_world(rnd):
+    """Random families, scores and previous releases for the gate."""
+    runtimes = rnd.sample(["phone", "tablet", "desk", "rack"], rnd.randint(1, 4))
+    families = [f"fam{i}" for i in range(rnd.randint(1, 3))]
+    registry = [(f, None, None) for f in families]
+    registry += [(f"{f}-small", f, None) for f in families if rnd.random() < 0.7]
+    tuned = [(f"{f}-tuned{k}", f, f"r{k}") for f in families for k in range(rnd.randint(1, 2))]
+    grid = [k / 20 for k in range(4, 17)]
+    scores = [
+        (model, runtime, rnd.choice(["fresh", "fresh", "stale"]), rnd.choice(grid), rnd.choice([0, 0, 0, 4]))
+        for model, _, _ in registry + tuned
+        for runtime in runtimes
+        if rnd.random() < 0.85
+    ]
+    previous = {r: rnd.choice(grid) for r in runtimes if rnd.random() < 0.5}
+    wanted = [(model, r) for model, _, _ in tuned for r in runtimes]
+    return registry + tuned, scores, previous, wanted
+
+
+def floors_of(registry, scores):
+    """The best score of any untuned member of a family, per runtime, on the gate's set."""
+    family = {m: base or m for m, base, run in registry if run is None}
+    best = {}
+    for model, runtime, name, ex, _ in scores:
+        if name == "fresh" and model in family:
+            key = (family[model], runtime)
+            best[key] = max(best.get(key, 0.0), ex)
+    return best
+
+
+def judge(registry, scores, previous, wanted):
+    """The gate's rules, one line per wanted (model, runtime): ok, or the reasons against."""
+    base = {m: b for m, b, _ in registry}
+    floors = floors_of(registry, scores)
+    got = {(m, r): (ex, missing) for m, r, name, ex, missing in scores if name == "fresh"}
+    lines = {}
+    for model, runtime in wanted:
+        ex, missing = got.get((model, runtime), (None, 0))
+        floor = floors.get((base[model], runtime))
+        if ex is None or missing:
+            lines[model, runtime] = ["no complete fresh predictions"]
+        elif floor is None:
+            lines[model, runtime] = [f"no fresh result for {base[model]} here"]
+        else:
+            bars = [("base", floor), ("previous release", previous.get(runtime))]
+            lines[model, runtime] = [name for name, bar in bars if bar is not None and ex < bar]
+    return lines
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_gate_follows_its_rules(spark, seed):
+    registry, scores, previous, wanted = gate_world(random.Random(seed))
+    frames = (
+        spark.createDataFrame(wanted, "model string, runtime string"),
+        spark.createDataFrame(scores, RESULT),
+        spark.createDataFrame(registry, "model string, base string, run_id string"),
+        spark.createDataFrame(list(previous.items()), "runtime string, prev_ex double"),
+    )
+    got = G.release_gate(*frames, "fresh").collect()
+    want = judge(registry, scores, previous, wanted)
+    assert {(r["model"], r["runtime"]): r["ok"] for r in got} == {k: not v for k, v in want.items()}
+    for r in got:
+        reasons = want[r["model"], r["runtime"]]
+        assert all(reason in r["message"] for reason in reasons)
+        assert r["message"].endswith("ok") == (not reasons)
+        assert r["passed"] == all(not v for (m, _), v in want.items() if m == r["model"])
+    floors = G.base_floor(frames[1], frames[2], "fresh").collect()
+    assert {(r["base"], r["runtime"]): r["floor"] for r in floors} == floors_of(registry, scores)
 
 
 def test_regression_check(spark):
@@ -188,6 +211,6 @@ def test_parity_and_baseline(spark):
     )
     got = G.parity(rows, min_match=2).first()
     assert (got["n"], got["same_output"], got["same_result"], got["passed"]) == (4, 1, 2, False)
-    results = spark.createDataFrame(BASE, RESULT)
-    record = {r["set"]: r["ex"] for r in G.baseline_record(results, "base-export", ["own", "other"]).collect()}
-    assert record == {"own": {"cpu4": 0.33, "gpu4": 0.22}, "other": {"cpu4": 0.9}}
+    rows = [("m", "phone", "day", 0.25, 0), ("m", "rack", "day", 0.75, 0), ("m", "rack", "night", 0.5, 0), ("n", "rack", "day", 1.0, 0)]
+    record = G.baseline_record(spark.createDataFrame(rows, RESULT), "m", ["day", "night"])
+    assert {r["set"]: r["ex"] for r in record.collect()} == {"day": {"phone": 0.25, "rack": 0.75}, "night": {"rack": 0.5}}

@@ -5,23 +5,29 @@ from pairlake.functions import sqltext
 from pairlake.operators.scoring import error_tag
 
 
-@pytest.mark.parametrize(
-    ("sql", "ordered", "unordered_limit"),
-    [
-        ("SELECT x FROM u ORDER BY x", True, False),
-        ("SELECT x FROM (SELECT x FROM u ORDER BY x) AS s", False, False),
-        ("SELECT x FROM u LIMIT 3;", False, True),
-        ("SELECT x FROM u ORDER  BY x LIMIT 3;", True, False),
-        ("SELECT x FROM (SELECT x FROM u LIMIT 3) ORDER BY x;", True, False),
-        ("SELECT rank() OVER (ORDER BY x) FROM u", False, False),
-        ("SELECT 'order by limit' FROM u -- order by x limit 3", False, False),
-        ("SELECT count(*) FROM u", False, False),
-        ("SELECT x FROM u UNION SELECT y FROM w ORDER BY 1", True, False),
-    ],
+# Outermost clauses and what hides them, put together in every way.
+INNER = (
+    "orders",
+    "(SELECT * FROM orders ORDER BY o_totalprice) AS o",
+    "(SELECT * FROM orders LIMIT 20) AS o",
+    "(SELECT * FROM orders ORDER BY o_totalprice LIMIT 20) AS o",
 )
-def test_outer_order_and_limit(one, sql, ordered, unordered_limit):
-    assert one(sqltext.has_order_by, sql) is ordered
-    assert one(sqltext.unordered_limit, sql) is unordered_limit
+COLUMN = (
+    "o_custkey",
+    "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS k",
+    "'limit 5 order by 1' AS k",
+)
+TAIL = (("", False, False), (" ORDER\nBY 1", True, False), (" LIMIT 7", False, True), (" order by 1 limit 7;", True, False))
+
+
+@pytest.mark.parametrize("inner", INNER)
+@pytest.mark.parametrize("column", COLUMN)
+@pytest.mark.parametrize(("tail", "ordered", "unordered_limit"), TAIL)
+def test_only_the_outermost_clauses_count(one, inner, column, tail, ordered, unordered_limit):
+    for start in ("", "WITH big AS (SELECT 1 LIMIT 1) "):
+        sql = f"{start}SELECT {column} FROM {inner} -- order by 1 limit 2\n{tail}"
+        assert one(sqltext.has_order_by, sql) is ordered
+        assert one(sqltext.unordered_limit, sql) is unordered_limit
 
 
 @pytest.mark.parametrize(
@@ -41,31 +47,54 @@ def test_query_shape(one, sql, tables, joins, columns):
     assert one(sqltext.output_columns, sql) == columns
 
 
-GOLD = "SELECT x FROM u JOIN w ON w.k = u.k;"
+def star(tables=("lineitem", "orders"), select="l_partkey", extra=""):
+    """A query over the star schema: joins its tables on one key each."""
+    first, *rest = tables
+    joins = "".join(f" JOIN {t} AS t{i} ON t{i}.k = {i}" for i, t in enumerate(rest))
+    return f"SELECT {select} FROM {first}{joins}{extra}"
 
 
-@pytest.mark.parametrize(
-    ("sql", "error", "n_cols", "tag"),
-    [
-        ("Here you are", None, None, "formatting"),
-        ("", None, None, "formatting"),
-        ("SELECT y FROM u;", "Parser Error: syntax error near", None, "dialect error"),
-        ("SELECT y FROM u;", 'Binder Error: Referenced column "y" not found', None, "hallucinated schema"),
-        ("SELECT y FROM u;", "Catalog Error: Table with name q does not exist", None, "hallucinated schema"),
-        ("SELECT y FROM u;", 'Binder Error: Ambiguous reference to column "k"', None, "join error"),
-        ("SELECT y FROM u;", "Binder Error: No function matches strftime(INT)", None, "date/time functions"),
-        ("SELECT x FROM u;", None, None, "wrong column or table"),
-        ("SELECT x, k FROM u JOIN w ON w.k = u.k;", None, 2, "wrong column or table"),
-        ("SELECT x FROM u JOIN w ON w.k = u.k JOIN w AS z ON z.k = u.k;", None, None, "join error"),
-        ("SELECT max(x) FROM u JOIN w ON w.k = u.k;", None, None, "aggregation"),
-        ("SELECT x FROM u JOIN w ON year(w.d) = 2;", None, None, "date/time functions"),
-        ("SELECT x FROM u JOIN w ON w.k = u.k WHERE x > 1;", None, None, "other"),
-    ],
-)
-def test_error_tags(spark, sql, error, n_cols, tag):
+GOLD = star(extra=" WHERE l_quantity > 5")
+# (what the query does other than the gold query, the result's width, the tag)
+SHAPES = [
+    (star(("lineitem", "part")), None, "wrong column or table"),
+    (star(("lineitem",)), None, "wrong column or table"),
+    (star(select="l_partkey, l_tax"), 2, "wrong column or table"),
+    (star(("lineitem", "orders", "orders")), None, "join error"),
+    (star(select="sum(l_tax)"), None, "aggregation"),
+    (star(extra=" GROUP BY l_partkey"), None, "aggregation"),
+    (star(extra=" WHERE month(l_shipdate) = 3"), None, "date/time functions"),
+    (star(extra=" WHERE l_quantity > 50"), None, "other"),
+    (star(extra=" WHERE l_quantity > 50"), 1, "other"),
+]
+# (an engine's message about a query of the right form, the tag)
+MESSAGES = [
+    ("Parser Error: unexpected token l_tax", "dialect error"),
+    ('Binder Error: Referenced column "l_colour" was not found', "hallucinated schema"),
+    ("Catalog Error: Table with name parcels is missing", "hallucinated schema"),
+    ('Binder Error: Ambiguous reference to column name "l_suppkey"', "join error"),
+    ('Binder Error: column "l_tax" must appear in the GROUP BY clause', "aggregation"),
+    ("Binder Error: no function matches the call date_trunc(DOUBLE)", "date/time functions"),
+    ("Conversion Error: cannot read this", "dialect error"),
+]
+
+
+def tag_of(spark, sql, error, n_cols):
     df = spark.createDataFrame([(sql, error, GOLD, n_cols)], "s string, e string, g string, n int")
-    out = df.select(error_tag(F.col("s"), F.col("e"), F.col("g"), F.col("n")).alias("tag"))
-    assert out.first()["tag"] == tag
+    return df.select(error_tag(F.col("s"), F.col("e"), F.col("g"), F.col("n")).alias("tag")).first()["tag"]
+
+
+def test_error_tags_by_shape(spark):
+    assert [tag_of(spark, sql, None, n) for sql, n, _ in SHAPES] == [tag for _, _, tag in SHAPES]
+
+
+def test_error_tags_by_message(spark):
+    assert [tag_of(spark, GOLD, error, None) for error, _ in MESSAGES] == [tag for _, tag in MESSAGES]
+
+
+@pytest.mark.parametrize("sql", [None, "  ", "Dear user, the answer is 7.", "UPDATE orders SET o_custkey = 1"])
+def test_answers_that_are_no_query(spark, sql):
+    assert tag_of(spark, sql, None, None) == "formatting"
 
 
 def _parsed(spark, **over):

@@ -46,3 +46,31 @@ def test_scoped_tables_are_deleted(spark):
         assert os.listdir(folder)
     assert not os.path.exists(folder)
     assert outside.count() == 3
+
+
+def test_scopes_of_threads_do_not_meet(spark):
+    """Two jobs side by side: the one that ends first deletes only its own tables."""
+    import threading
+
+    from pairlake.session import cut, scratch_scope
+
+    opened, ended, found = threading.Event(), threading.Event(), []
+
+    def long_job():
+        with scratch_scope(spark):
+            table = cut(spark.range(7))
+            opened.set()
+            ended.wait(120)
+            found.append(table.count())
+
+    job = threading.Thread(target=long_job)
+    job.start()
+    opened.wait(120)
+    with scratch_scope(spark):
+        with scratch_scope(spark):
+            inner = cut(spark.range(2))
+            assert inner.count() == 2
+        assert cut(spark.range(4)).count() == 4
+    ended.set()
+    job.join()
+    assert found == [7]

@@ -10,19 +10,29 @@ from pairlake.operators.merge import not_in, replace_source, upsert
 from pairlake.sources import files
 
 
-def test_loose_typing_is_repaired(spark):
-    df = spark.createDataFrame(
-        [("1", "5", "00501", "2019", "caf�", "x"), ("2", "", "10", "2020", "ok", "3")],
-        "id string, score string, code string, year string, bad string, mixed string",
-    )
-    fixed, notes = repair.retype(df, {"id": "int", "score": "int", "mixed": "int"})
-    assert notes == {"id": "cast", "score": "empty_as_null", "mixed": "kept"}
-    fixed, inferred = repair.numbers_from_text(fixed)
-    assert inferred == {"year": "bigint"}
-    assert dict(fixed.dtypes) == {
-        "id": "int", "score": "int", "code": "string", "year": "bigint", "bad": "string", "mixed": "string",
-    }
-    assert fixed.agg(F.count("score")).first()[0] == 1
+def test_declared_types_are_applied_where_every_value_fits(spark):
+    """Each declared column by what its values allow; the others stay as they are."""
+    columns = {
+        "whole": (["7", "-3", "0"], "int", "cast"),
+        "gaps": (["7", "", None], "int", "empty_as_null"),
+        "words": (["7", "seven", "8"], "int", "kept"),
+        "price": (["1.5", "2", "-0.25"], "double", "cast"),
+    }
+    rows = list(zip(*[values for values, _, _ in columns.values()], ["0012", "0034", "0056"]))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in [*columns, "zip_code"]))
+    fixed, notes = repair.retype(df, {c: kind for c, (_, kind, _) in columns.items()})
+    assert notes == {c: note for c, (_, _, note) in columns.items()}
+    kinds = dict(fixed.dtypes)
+    assert kinds == {"whole": "int", "gaps": "int", "words": "string", "price": "double", "zip_code": "string"}
+    assert sorted(r["whole"] for r in fixed.collect()) == [-3, 0, 7]
+    assert [r["gaps"] for r in fixed.orderBy("zip_code").collect()] == [7, None, None]
+
+
+def test_text_columns_of_numbers_become_numbers(spark):
+    rows = [("0012", "31", "2.50"), ("0034", "-4", "7"), (None, None, None)]
+    fixed, inferred = repair.numbers_from_text(spark.createDataFrame(rows, "zip_code string, stock string, price string"))
+    assert inferred == {"stock": "bigint", "price": "double"}
+    assert [r["zip_code"] for r in fixed.collect()] == ["0012", "0034", None]
 
 
 def test_number_forms(spark):
