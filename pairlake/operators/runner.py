@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,13 @@ from pyspark.sql import functions as F
 
 from pairlake.functions.cells import CELL, row_cells
 from pairlake.operators.positions import with_positions
+from pairlake.operators.results import (
+    emptiness,
+    query_list,
+    result_hash,
+    results_match,
+    reversed_copy,
+)
 from pairlake.session import scratch
 
 TIMEOUT_S = 10.0
@@ -111,18 +118,22 @@ def run_batch(
     queries: Sequence[Query],
     timeout: float = TIMEOUT_S,
     parallel: int = 4,
+    views: Mapping[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(results table, errors table) of the queries, each with its own time limit.
 
     Every query is one Spark job that writes its own rows; nothing is collected. Rows of
     ordered queries are numbered 0, 1, 2, … in result order. Queries only read: commands,
-    scripts, inserts and reads of paths give an error row and change nothing.
+    scripts, inserts and reads of paths give an error row and change nothing. ``views``
+    names Parquet folders that stand in for the session's views.
     """
     folder = scratch(spark, "results")
     paths = [
         f"{folder}/{'ordered' if q.ordered else 'plain'}/n={i}" for i, q in enumerate(queries)
     ]
     reader = reading_session(spark)
+    for name, stand_in in (views or {}).items():
+        reader.read.parquet(stand_in).createOrReplaceTempView(name)
     with ThreadPoolExecutor(parallel) as pool:
         errors = list(pool.map(lambda qp: _run(reader, qp[0], qp[1], timeout), zip(queries, paths)))
     failed = spark.createDataFrame(
@@ -140,3 +151,28 @@ def run_batch(
     ordered_rows = with_positions(written(True), ["query_id", "side"], ["row_ix"], "_pos")
     dense = ordered_rows.withColumn("row_ix", F.col("_pos") - 1).drop("_pos")
     return written(False).unionByName(dense), failed
+
+
+def checked_batch(
+    spark: SparkSession, queries: Sequence[Query], tables: Sequence[str], timeout: float = TIMEOUT_S
+) -> tuple[DataFrame, DataFrame]:
+    """(results, checks) of queries over the views ``tables``.
+
+    Every query runs twice, the second time over copies stored in reverse order. ``checks``
+    has per query ``error, n_rows, all_null, deterministic, result_hash``.
+    """
+    backwards = {name: scratch(spark, "backwards") for name in tables}
+    for name, folder in backwards.items():
+        reversed_copy(spark.table(name)).write.parquet(folder)
+    rows, errors = run_batch(spark, [replace(q, side="a") for q in queries], timeout)
+    again, _ = run_batch(spark, [replace(q, side="b") for q in queries], timeout, views=backwards)
+    asked = query_list(spark, {q.query_id: q.ordered for q in queries})
+    agree = results_match(rows.unionByName(again), asked)
+    checks = (
+        asked.select("query_id")
+        .join(errors.select("query_id", "error"), "query_id", "left")
+        .join(emptiness(rows, asked), "query_id")
+        .join(agree.select("query_id", F.col("matched").alias("deterministic")), "query_id")
+        .join(result_hash(rows, asked).select("query_id", "result_hash"), "query_id", "left")
+    )
+    return rows, checks

@@ -26,21 +26,30 @@ TAGS = (
 SQL_START = ("select", "with", "from", "(", "values")
 
 
-def outcomes(items: DataFrame, predictions: DataFrame, verdicts: DataFrame) -> DataFrame:
+def outcomes(
+    items: DataFrame, predictions: DataFrame, verdicts: DataFrame, run: Sequence[str] = ()
+) -> DataFrame:
     """One line per item and run: ``valid``, ``ex``, ``exact``, and whether it is missing.
 
     ``items``: ``id, difficulty, gold_sql``; ``predictions``: ``id, sql, latency_ms,
     tokens_out``; ``verdicts``: ``id, ran, matched, error`` for predictions that were run.
+    ``run`` names the columns that tell runs apart in predictions and verdicts. Those that
+    items have too (a test set) say which items a run has to answer; at least one must.
     """
+    run = list(run)
+    if run:
+        runs = predictions.select(*run).distinct()
+        items = items.join(runs, [c for c in run if c in items.columns])
+    keys = ["id", *run]
     sql = clean_sql(F.coalesce("sql", F.lit("")))
     joined = (
-        items.join(predictions.withColumn("_found", F.lit(True)), "id", "left")
-        .join(verdicts, "id", "left")
+        items.join(predictions.withColumn("_found", F.lit(True)), keys, "left")
+        .join(verdicts, keys, "left")
         .withColumn("sql", sql)
     )
     valid = (F.col("sql") != "") & F.coalesce("ran", F.lit(False))
     return joined.select(
-        *[c for c in items.columns],
+        *items.columns,
         "sql",
         valid.alias("valid"),
         (valid & F.coalesce("matched", F.lit(False))).alias("ex"),
@@ -64,8 +73,13 @@ def message_tag(error: Column) -> Column:
     for name in DATE_FUNCTIONS:
         dated = dated | low.contains(name)
     return (
-        F.when(low.contains("parser error"), "dialect error")
-        .when(low.contains("ambiguous reference"), "join error")
+        F.when(low.contains("parser error") | low.contains("[parse_syntax_error]"), "dialect error")
+        .when(low.contains("ambiguous reference") | low.contains("[ambiguous_reference]"), "join error")
+        .when(
+            low.contains("[unresolved_column") | low.contains("[table_or_view_not_found]"),
+            "hallucinated schema",
+        )
+        .when(low.contains("[missing_aggregation]") | low.contains("[missing_group_by]"), "aggregation")
         .when(
             low.contains("table with name")
             | (low.contains("binder error") & low.contains("not found")),
