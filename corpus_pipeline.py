@@ -37,9 +37,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows without an id are in no group and stay; rows of one id are one document.
     """
     found = near_duplicates(docs)
-    return docs.join(found.filter(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(
-        *docs.columns
-    )
+    dropped = found.filter(~F.col("kept")).select("doc_id").hint("merge")  # as many as there are
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +50,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         .withColumnsRenamed({"doc_id": "_id", "digest": "_digest", "spans": "_spans"})
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (digest("text") == F.col("_digest"))
-    joined = docs.join(found, same, "left")
+    joined = docs.join(found.hint("merge"), same, "left")
     hit = F.col("_spans").isNotNull()
     masked = joined.withColumn(
         "text", F.when(hit, redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
