@@ -140,7 +140,3 @@ def nested_observations(raw: DataFrame, column: str = "body", indicator: str = "
         F.col(indicator).alias("indicator"),
         F.col("r.value").alias("value"),
     )
-
-
-def columns_of_type(df: DataFrame, *types: type[T.DataType]) -> Sequence[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, types)]

@@ -83,13 +83,14 @@ def leak_join(t: Tables) -> DataFrame:
 @query(
     "l4_shared_databases",
     """
-SELECT source FROM documents WHERE lang = 'es' INTERSECT
-SELECT source FROM documents WHERE lang <> 'es' AND n_chars > 9000""",
+SELECT source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) INTERSECT
+SELECT source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
 )
 def shared_databases(t: Tables) -> DataFrame:
-    """Sources that occur on both sides of a split."""
-    train = t.documents.filter("lang = 'es'").select("source")
-    val = t.documents.filter("lang <> 'es' and n_chars > 9000").select("source")
+    """Sources that occur among labelled and among unlabelled documents, over all rows."""
+    labelled = t.labels.select("doc_id").distinct()
+    train = t.documents.join(labelled, "doc_id", "left_anti").select("source")
+    val = t.documents.join(labelled, "doc_id", "left_semi").select("source")
     return K.shared_databases(train, val, "source")
 
 

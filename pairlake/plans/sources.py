@@ -173,7 +173,7 @@ def nested_observations(t: Tables) -> DataFrame:
 @query("s7_manifest")
 def manifest(t: Tables) -> DataFrame:
     """Digests of the table files against a manifest: one file changed, one missing."""
-    found = files.file_digests(t.spark, f"{t.folder}/*.parquet")
+    found = files.file_digests(t.spark, t.folder, "*.parquet")
     pinned = found.select(
         F.when(F.col("file") == "pages.parquet", "gone.parquet").otherwise(F.col("file")).alias("file"),
         F.when(F.col("file") == "labels.parquet", F.sha2(F.col("sha256"), 256))

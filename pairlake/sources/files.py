@@ -61,11 +61,16 @@ def read_csv(spark: SparkSession, path: str, null: str = "NA") -> DataFrame:
     return spark.read.csv(path, header=True, nullValue=null, inferSchema=True)
 
 
-def read_loose_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A headless CSV as text: a bare empty field is NULL, a quoted one is ''."""
+def read_loose_csv(
+    spark: SparkSession, path: str, columns: list[str], line_breaks: bool = False
+) -> DataFrame:
+    """A headless CSV as text: a bare empty field is NULL, a quoted one is ''.
+
+    ``line_breaks`` says that quoted fields may hold some; such a file is read by one task.
+    """
     schema = ", ".join(f"`{c}` string" for c in columns)
     rows = spark.read.csv(
-        path, schema=schema, nullValue="", emptyValue=_QUOTED_EMPTY, escape='"', multiLine=True
+        path, schema=schema, nullValue="", emptyValue=_QUOTED_EMPTY, escape='"', multiLine=line_breaks
     )
     return rows.select(
         *[
@@ -87,11 +92,19 @@ def open_upload(spark: SparkSession, path: str) -> str:
     return view
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``file, length, sha256`` of every file under ``path``."""
-    files = spark.read.format("binaryFile").load(path)
+def file_digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """``file, length, sha256`` of every file under ``root`` whose name fits ``pattern``.
+
+    ``file`` is the path below ``root``, so equal names in two folders stay apart. A file
+    is one row; Spark reads files of up to 2 GB this way.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.option("pathGlobFilter", pattern).load(root)
+    below = F.concat(F.lit("/"), F.lit(root.strip("/").split("://")[-1].strip("/")), F.lit("/"))
     return files.select(
-        F.substring_index("path", "/", -1).alias("file"),
+        F.substring(
+            F.url_decode("path"), F.instr(F.url_decode("path"), below) + F.length(below), F.length("path")
+        ).alias("file"),
         "length",
         F.sha2("content", 256).alias("sha256"),
     )

@@ -24,8 +24,9 @@ def ingest_predictions(
     reader of a finished log keeps the last one. Ids never expire, so there is no
     watermark.
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_STORE)
-    lines = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(source)
+    own = spark.newSession()  # the caller's state store setting stays as it is
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_STORE)
+    lines = own.readStream.schema(schema).option("recursiveFileLookup", "true").json(source)
     return (
         lines.dropDuplicates(["id"])
         .writeStream.format("parquet")
@@ -48,8 +49,8 @@ def filter_new_pairs(
     """Leak-check arriving pairs against the test set and keep a report per batch.
 
     Each batch overwrites its own folder, so a repeated batch changes nothing:
-    ``accepted/batch=<n>`` holds its clean pairs, ``report/batch=<n>`` the pairs and leaks
-    per database.
+    ``accepted/batch=<n>`` holds its clean pairs, ``report/batch=<n>`` the whole report so
+    far, in which the batch's lines (pairs and leaks per database) replaced older ones.
     """
 
     index = index_tests(tests)
@@ -64,9 +65,12 @@ def filter_new_pairs(
             judged.filter(~F.col("leak")).drop("leak").write.mode("overwrite").parquet(
                 f"{accepted}/batch={number}"
             )
-            judged.groupBy("db_id").agg(
+            fresh = judged.groupBy("db_id").agg(
                 F.count(F.lit(1)).alias("pairs"), F.count_if("leak").alias("leaks")
-            ).write.mode("overwrite").parquet(f"{report}/batch={number}")
+            )
+            earlier = _report_before(spark, report, number)
+            lines = fresh if earlier is None else refresh_report(earlier, fresh)
+            cut(lines).write.mode("overwrite").parquet(f"{report}/batch={number}")
 
     arriving = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(source)
     return (
@@ -77,13 +81,19 @@ def filter_new_pairs(
     )
 
 
+def _report_before(spark: SparkSession, report: str, number: int | None = None) -> DataFrame | None:
+    """The report as of the last batch (before batch ``number``), or None if there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(report)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    batches = [int(n.split("=")[1]) for n in names if n.startswith("batch=")]
+    done = [b for b in batches if number is None or b < number]
+    return spark.read.parquet(f"{report}/batch={max(done)}") if done else None
+
+
 def latest_report(spark: SparkSession, report: str) -> DataFrame:
     """Per database the line of the last batch that brought it pairs."""
-    lines = spark.read.parquet(report)
-    last = F.max_by(F.struct("pairs", "leaks"), "batch")
-    return lines.groupBy("db_id").agg(F.max("batch").alias("batch"), last.alias("r")).select(
-        "db_id", "batch", "r.pairs", "r.leaks"
-    )
+    return _report_before(spark, report).select("db_id", "pairs", "leaks")
 
 
 def refresh_report(report: DataFrame, fresh: DataFrame) -> DataFrame:

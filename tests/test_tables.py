@@ -128,7 +128,7 @@ def test_manifest(spark, tmp_path):
     pinned = spark.createDataFrame(
         [("a.txt", digest("a")), ("b.txt", digest("x")), ("c.txt", None), ("d.txt", digest("d"))], "file string, sha256 string"
     )
-    got = {r["file"]: r["status"] for r in files.verify_manifest(files.file_digests(spark, f"{tmp_path}/*.txt"), pinned).collect()}
+    got = {r["file"]: r["status"] for r in files.verify_manifest(files.file_digests(spark, str(tmp_path), "*.txt"), pinned).collect()}
     assert got == {"a.txt": "ok", "b.txt": "changed", "c.txt": "unpinned", "d.txt": "missing"}
 
 
