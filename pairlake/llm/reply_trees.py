@@ -61,27 +61,32 @@ def reply_paths(messages: DataFrame, best: int = 1) -> DataFrame:
             F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("total"),
         )
     )
-    most, jumps = state.count(), []
     parents = state.filter(F.col("anc").isNotNull()).select("tree", F.col("anc").alias("node"))
-    while 2 ** len(jumps) <= 2 * most and not state.filter(F.col("anc").isNotNull()).isEmpty():
-        jumps.append(state.filter(F.col("anc").isNotNull()).select("tree", "node", "anc"))
-        above = state.select(
+    most, jumps = state.count(), []
+    rooted = state.filter(F.col("anc").isNull())
+    moving = state.filter(F.col("anc").isNotNull())
+    while 2 ** len(jumps) <= 2 * most and not moving.isEmpty():
+        jumps.append(moving.select("tree", "node", "anc"))
+        above = rooted.unionByName(moving).select(
             "tree",
             "node",
             F.col("anc").alias("anc2"),
             F.col("steps").alias("steps2"),
             F.col("total").alias("total2"),
         )
-        state = cut(
-            _join(state, above, [("tree", "tree"), ("anc", "node")], "left").select(
+        # Only messages that have not reached their root take part in the next round.
+        further = cut(
+            _join(moving, above, [("tree", "tree"), ("anc", "node")]).select(
                 "tree",
                 "node",
                 F.col("anc2").alias("anc"),
-                (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),
-                (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
+                (F.col("steps") + F.col("steps2")).alias("steps"),
+                (F.col("total") + F.col("total2")).alias("total"),
             )
         )
-    rooted = state.filter(F.col("anc").isNull()).select("tree", "node", "steps", "total")
+        rooted = rooted.unionByName(further.filter(F.col("anc").isNull()))
+        moving = further.filter(F.col("anc").isNotNull())
+    rooted = rooted.select("tree", "node", "steps", "total")
     order = Window.partitionBy("tree").orderBy(F.col("total").desc(), "node")
     leaves = (
         _join(rooted, parents.distinct(), [("tree", "tree"), ("node", "node")], "left_anti")
@@ -91,11 +96,8 @@ def reply_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     members = leaves.select("tree", F.col("node").alias("path"), "rank", "node")
     for jump in jumps:
         further = _join(members, jump, [("tree", "tree"), ("node", "node")])
-        members = cut(
-            members.unionByName(
-                further.select("tree", "path", "rank", F.col("anc").alias("node"))
-            )
-        )
+        further = cut(further.select("tree", "path", "rank", F.col("anc").alias("node")))
+        members = members.unionByName(further)
     told = _join(
         rooted.select("tree", "node", F.col("steps").alias("pos")),
         nodes.select("tree", "node", "role", "text"),
