@@ -19,8 +19,10 @@ _NOT_ALIAS = (
     r"union|intersect|except|qualify|window|offset|asof|positional)\b)"
 )
 _TABLE = rf"{_NAME}(?:\s+(?:as\s+)?{_NOT_ALIAS}{_NAME})?+"
-# A FROM list starts with a table; a derived table may end it (tables after it are not seen).
-_FROM_LIST = rf"\bfrom\s+{_TABLE}(?:\s*,\s*{_TABLE})*+(?:\s*,\s*\()?+"
+_FROM_LIST = rf"\bfrom\s+{_TABLE}(?:\s*,\s*{_TABLE})*+"
+_GROUP, _DERIVED = r"\(([^()]*+)\)", "_derived_"
+# Parentheses inside each other that are looked into; what is nested deeper is not seen.
+_NESTED = 6
 # Aggregate functions that count as such in the reports.
 AGGREGATES = (
     "count", "sum", "avg", "mean", "min", "max", "median", "mode", "stddev", "stddev_pop",
@@ -86,11 +88,18 @@ def unordered_limit(sql: Column) -> Column:
 
 
 def _from_lists(text: Column) -> Column:
+    """The FROM lists of a query and its subqueries, innermost first. What a pair of
+    parentheses held is replaced by one name, so a derived table is a table of its list."""
     # EXTRACT(year FROM x) and its like hold a FROM that names no table.
     no_arguments = F.regexp_replace(
         text, r"\b(extract|trim|substring)\s*\(([^()]*?)\bfrom\b", "$1($2 "
     )
-    return F.regexp_extract_all(no_arguments, F.lit(_FROM_LIST), F.lit(0))
+    left, lists = no_arguments, []
+    for _ in range(_NESTED):
+        inner = F.array_join(F.regexp_extract_all(left, F.lit(_GROUP), F.lit(1)), " ; ")
+        lists.append(F.regexp_extract_all(inner, F.lit(_FROM_LIST), F.lit(0)))
+        left = F.regexp_replace(left, _GROUP, f" {_DERIVED} ")
+    return F.concat(*lists, F.regexp_extract_all(left, F.lit(_FROM_LIST), F.lit(0)))
 
 
 def _strip_quotes(name: Column) -> Column:
@@ -116,7 +125,7 @@ def _tables(text: Column, from_lists: Column) -> Column:
     ctes = F.when(
         text.rlike(r"^\s*with\b"), F.regexp_extract_all(text, F.lit(cte), F.lit(1))
     ).otherwise(F.array().cast("array<string>"))
-    names = F.transform(F.filter(F.concat(listed, joined), lambda n: n != ""), _strip_quotes)
+    names = F.transform(F.filter(F.concat(listed, joined), lambda n: ~n.isin("", _DERIVED)), _strip_quotes)
     return F.array_sort(F.array_distinct(F.array_except(names, F.transform(ctes, _strip_quotes))))
 
 

@@ -38,6 +38,7 @@ def test_only_the_outermost_clauses_count(one, inner, column, tail, ordered, uno
         ('SELECT count(a, b) c FROM "Big", u x WHERE a IN (SELECT k FROM v)', ["big", "u", "v"], 1, 1),
         ("WITH c AS (SELECT a FROM t), d AS (SELECT 1) SELECT a, 1, 2 FROM c, d", ["t"], 1, 3),
         ("SELECT extract(year FROM d), substring(s FROM 2) FROM t", ["t"], 0, 2),
+        ("SELECT k FROM (SELECT k FROM v WHERE k IN (1, 2)) x, t, (SELECT f(g(1)) FROM w) AS y", ["t", "v", "w"], 2, 1),
         ("I cannot answer", [], 0, None),
     ],
 )
