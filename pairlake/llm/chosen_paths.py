@@ -130,7 +130,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                 yield pa.RecordBatch.from_arrays(arrays, names=["set_key", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.join(wanted.select("doc_id"), F.col("_id") == F.col("doc_id"), "left_semi")
+    # By shuffle at every size: the list of wanted sets grows with the corpus.
+    asked = wanted.select("doc_id").hint("merge")
+    rows = rows.join(asked, F.col("_id") == F.col("doc_id"), "left_semi")
     made = rows.mapInArrow(run, "set_key binary, tokens binary")
     # An id that is repeated with other texts brings sets that nobody asked for.
     return made.join(wanted.select("set_key"), "set_key", "left_semi")
@@ -336,7 +338,7 @@ def _confirm(docs, sets, groups, least, percent, id_col, text_col) -> DataFrame:
     wanted = cut(sets.join(groups.select(F.col("node").alias("set_id")), "set_id", "left_semi"))
     tokens = full_sets(docs, wanted.select("set_key", F.col("set_id").alias("doc_id")), id_col, text_col)
     told = wanted.join(tokens.dropDuplicates(["set_key"]), "set_key").select("set_id", "signature", "tokens")
-    parts = max(1, members.count() // SMALL)
+    parts = max(1, 4 * members.count() // SMALL)
     return cut(
         members.join(told, "set_id")
         .withColumn("bucket", F.pmod(F.col("unit"), F.lit(parts)))
