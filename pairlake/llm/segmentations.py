@@ -38,7 +38,8 @@ from pairlake.llm.hashing import mix
 
 BLANK, LITERAL = 0x2581, 0x110001
 RANK_SHIFT = 10.0
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000  # characters whose lattices a worker holds at a time
+DECODE_ROWS = 128
 LONE = 2**63
 RESULT = (
     "row_key long, rank int, n_pieces long, log_prob double, perturbed double, "
@@ -148,7 +149,12 @@ class Lattices:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(codes))[: len(starts)]
         names = CodeHash(codes).between(starts, ends)
-        _, first, self.word_of = np.unique(names, return_index=True, return_inverse=True)
+        order = np.argsort(names)
+        new = np.ones(len(names), bool)
+        new[1:] = names[order[1:]] != names[order[:-1]]
+        first = order[new]
+        self.word_of = np.empty(len(names), np.int64)
+        self.word_of[order] = np.cumsum(new) - 1
         self.word_begin = starts  # place of every word in the batch
         self.first_word = np.searchsorted(starts, begins)  # of every text, and the end
         self.text_begin = begins
@@ -185,16 +191,16 @@ class Lattices:
         ids.append(np.full(len(lone), -1, np.int32))
         start, end, piece = map(np.concatenate, (starts, ends, ids))
         order = np.argsort(start, kind="stable")
-        self.start, self.end, piece = start[order], end[order], piece[order]
+        self.start, self.end, piece = (x[order].astype(np.int32) for x in (start, end, piece))
         # Ids of an edge: a piece, or the bytes of a character.
         as_bytes = piece < 0
         written = [
             chr(BLANK if c == LITERAL else c).encode("utf-8", "surrogatepass")
             for c in self.codes[self.start[as_bytes]].tolist()
         ]
-        self.n_ids = np.ones(len(piece), np.int64)
+        self.n_ids = np.ones(len(piece), np.int32)
         self.n_ids[as_bytes] = [len(w) for w in written]
-        self.id_at = np.concatenate([[0], np.cumsum(self.n_ids)[:-1]]).astype(np.int64)
+        self.id_at = (np.cumsum(self.n_ids) - self.n_ids).astype(np.int32)
         self.ids = np.zeros(int(self.n_ids.sum()), np.int32)
         self.ids[self.id_at[~as_bytes]] = piece[~as_bytes]
         if len(written):
@@ -219,14 +225,14 @@ class Lattices:
             size = np.diff(np.append(begin, len(group)))
             ahead[nodes[begin]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, size)), begin))
         value = self.log_p + np.where(last, 0.0, ahead[self.end]) - ahead[self.start]
-        self.chance = np.exp(value)
+        chance = np.exp(value)
         self.log_chance = value
-        total = np.cumsum(self.chance)
-        before = total - self.chance
+        total = np.cumsum(chance)
+        before = total - chance
         self.upto = total - np.repeat(before[self.first[:-1]], np.diff(self.first))
         self.upto[self.first[1:] - 1] = 2.0
         only = np.diff(self.first) == 1
-        self.log_other = np.log1p(-np.minimum(self.chance, 1.0 - 1e-16))
+        self.log_other = np.log1p(-np.minimum(chance, 1.0 - 1e-16))
         self.log_other[self.first[:-1][only]] = -np.inf
 
     def walk(self, words: np.ndarray, nodes: np.ndarray, keys: np.ndarray, places: np.ndarray):
@@ -324,7 +330,7 @@ class Search:
         node = m.start[path.edges[step]]
         edges = np.arange(m.first[node], m.first[node + 1])
         open_ = edges[~np.isin(edges, gone)]
-        chance = m.chance[open_]
+        chance = np.exp(m.log_chance[open_])
         sample = len(self.paths)
         draws = uniform(np.full(2, self.noise_key(2000 + sample)), np.array([step, LONE - 1 - step], np.uint64))
         chosen = min(int(np.searchsorted(np.cumsum(chance), draws[0] * chance.sum())), len(open_) - 1)
@@ -445,16 +451,19 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     def run(batches):
         v = _vocabulary(model, 1.0)
         size = np.diff(v.begin)
-        for batch in batches:
-            lists = batch.column(len(kept))
-            ids, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            joined = v.flat[_ragged(v.begin[ids], size[ids])].tobytes()
-            at = np.concatenate([[0], np.cumsum(size[ids])])[ends]
-            texts = []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                text = joined[a:b].decode("utf-8", "replace")
-                texts.append(text[1:] if text[:1] == " " else text)
-            arrays = [*batch.columns[: len(kept)], pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*[f.name for f in kept], "text"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, DECODE_ROWS):
+                batch = whole.slice(at, DECODE_ROWS)
+                lists = batch.column(len(kept))
+                ids = lists.flatten().to_numpy()
+                ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+                joined = v.flat[_ragged(v.begin[ids], size[ids])].tobytes()
+                cuts = np.concatenate([[0], np.cumsum(size[ids])])[ends].tolist()
+                texts = []
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    text = joined[a:b].decode("utf-8", "replace")
+                    texts.append(text[1:] if text[:1] == " " else text)
+                arrays = [*batch.columns[: len(kept)], pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*[f.name for f in kept], "text"])
 
     return encoded.select(*[f"`{f.name}`" for f in kept], ids_col).mapInArrow(run, schema)
