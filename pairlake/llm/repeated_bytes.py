@@ -100,9 +100,12 @@ class Chunk:
         # Rows of one id are one document.
         self.number = np.cumsum(np.diff(self.ids, prepend=self.ids[:1]) != 0) if docs else self.ids
         self.windows = Windows(self.data)
+        self.owner = None
 
     def doc_of(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.offsets, places, side="right") - 1
+        if self.owner is None:
+            self.owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        return self.owner[places]
 
     def samples(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(place, key) of every sampled suffix."""
@@ -119,9 +122,8 @@ class Chunk:
         drop = np.uint64(64 - bits)
         return places, keys >> drop << drop
 
-    def candidates(self, places: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        """Starts of all suffixes that have one of the shared samples in reach."""
-        at = places[shared]
+    def candidates(self, at: np.ndarray) -> np.ndarray:
+        """Starts of all suffixes that have one of the (shared) samples in reach."""
         doc = self.doc_of(at)
         low = np.maximum(at - MODULUS + 1, self.offsets[doc])
         high = np.minimum(at, self.offsets[doc] + self.sizes[doc] - self.length)
@@ -138,15 +140,30 @@ class Chunk:
 
 
 def _covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
-    change = np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1)
-    return np.cumsum(change[:size]) > 0
+    change = np.bincount(starts, minlength=size + 1)
+    change -= np.bincount(ends, minlength=size + 1)
+    return np.cumsum(change[:size], dtype=np.int32) > 0
 
 
-def _distinct(keys: np.ndarray) -> np.ndarray:
-    """Sorted distinct rows of one or two columns."""
+def _changes(ranked: np.ndarray) -> np.ndarray:
+    """Which rows of sorted keys (one or two columns) differ from the row before them."""
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:, 0] != ranked[:-1, 0]
+    if ranked.shape[1] == 2:
+        new[1:] |= ranked[1:, 1] != ranked[:-1, 1]
+    return new
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
     if keys.shape[1] == 1:
-        return np.unique(keys[:, 0])[:, None]
-    return np.unique(keys, axis=0)
+        return np.argsort(keys[:, 0])
+    return np.lexsort((keys[:, 1], keys[:, 0]))
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct rows."""
+    ranked = np.sort(keys, axis=0) if keys.shape[1] == 1 else keys[_order(keys)]
+    return ranked[_changes(ranked)]
 
 
 def _blobs(keys: np.ndarray, buckets: int, chunk: int) -> pa.Table:
@@ -178,10 +195,8 @@ def sort_bucket(kind: int, two: bool):
                 parts.append(unpack_keys(r["keys"], r["n"])[:, None])
         keys = np.concatenate(parts) if parts else np.zeros((0, width), np.uint64)
         # A stable sort of chunks in order: the first of equal keys is the earliest chunk's.
-        order = np.lexsort((keys[:, 1], keys[:, 0])) if two else np.argsort(keys[:, 0], kind="stable")
-        ranked = keys[order]
-        again = np.zeros(len(keys), bool)
-        again[1:] = (ranked[1:] == ranked[:-1]).all(axis=1)
+        order = _order(keys) if two else np.argsort(keys[:, 0], kind="stable")
+        again = ~_changes(keys[order])
         if kind == 1:
             again[:-1] |= again[1:]
         told = np.empty(len(keys), bool)
@@ -205,18 +220,6 @@ def _told(keys: np.ndarray, buckets: int, answers: dict[int, bytes]) -> np.ndarr
     return told
 
 
-def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """Which rows of ``keys`` are among the sorted distinct rows ``some``."""
-    if not len(some):
-        return np.zeros(len(keys), bool)
-    if keys.shape[1] == 1:
-        place = np.minimum(np.searchsorted(some[:, 0], keys[:, 0]), len(some) - 1)
-        return some[place, 0] == keys[:, 0]
-    pair = np.dtype([("a", np.uint64), ("b", np.uint64)])
-    view = lambda x: np.ascontiguousarray(x).view(pair).ravel()
-    return np.isin(view(keys), view(some))
-
-
 class Plan:
     """What every task needs to know: lengths, widths and numbers of buckets."""
 
@@ -241,12 +244,13 @@ class Plan:
 
     def _suffixes(self, chunk: Chunk, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
         places, keys = chunk.samples(self.bits)
-        ranked = np.sort(keys)
-        inside = ranked[1:][ranked[1:] == ranked[:-1]]
-        distinct = _distinct(keys[:, None])
-        outside = distinct[_told(distinct, self.sample_buckets, answers)]
-        shared = _among(keys[:, None], np.union1d(inside, outside)[:, None])
-        starts = chunk.candidates(places, shared)
+        order = np.argsort(keys)
+        ranked = keys[order][:, None]
+        new = _changes(ranked)
+        rank = np.cumsum(new) - 1
+        # Shared with another chunk, or found more than once in this one.
+        shared = _told(ranked[new], self.sample_buckets, answers) | (np.bincount(rank) > 1)
+        starts = chunk.candidates(places[order[shared[rank]]])
         return starts, chunk.suffix_keys(starts, self.extra)
 
     def suffix_blobs(self, key, texts: pa.Table, side: pa.Table) -> pa.Table:
@@ -257,16 +261,14 @@ class Plan:
     def clean(self, key, texts: pa.Table, side: pa.Table) -> pa.Table:
         chunk, answers = self.open(texts, side)
         starts, keys = self._suffixes(chunk, answers[1])
-        distinct = _distinct(keys)
-        earlier = _among(keys, distinct[_told(distinct, self.suffix_buckets, answers[2])])
-        left = np.flatnonzero(~earlier)
-        order = left[np.lexsort((starts[left], *keys[left].T[::-1]))]
+        order = _order(keys)
+        ranked = keys[order]
+        new = _changes(ranked)
+        rank = np.cumsum(new) - 1
         doc = chunk.number[chunk.doc_of(starts[order])]
-        new = np.ones(len(order), bool)
-        new[1:] = (keys[order][1:] != keys[order][:-1]).any(axis=1)
-        first = doc[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else doc
-        earlier[order[doc > first]] = True
-        gone = starts[earlier]
+        first = np.minimum.reduceat(doc, np.flatnonzero(new)) if len(doc) else doc
+        earlier = _told(ranked[new], self.suffix_buckets, answers[2])[rank] | (doc > first[rank])
+        gone = starts[order[earlier]]
         covered = _covered(gone, gone + self.length, len(chunk.data))
         rows = []
         for number, (i, size) in enumerate(zip(chunk.ids.tolist(), chunk.sizes.tolist(), strict=True)):
