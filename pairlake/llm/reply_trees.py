@@ -62,31 +62,35 @@ def reply_paths(messages: DataFrame, best: int = 1) -> DataFrame:
         )
     )
     parents = state.filter(F.col("anc").isNotNull()).select("tree", F.col("anc").alias("node"))
-    most, jumps = state.count(), []
-    rooted = state.filter(F.col("anc").isNull())
-    moving = state.filter(F.col("anc").isNotNull())
-    while 2 ** len(jumps) <= 2 * most and not moving.isEmpty():
+    most, jumps, done = state.count(), [], []
+    while 2 ** len(jumps) <= 2 * most:
+        moving = state.filter(F.col("anc").isNotNull())
+        if moving.isEmpty():
+            break
         jumps.append(moving.select("tree", "node", "anc"))
-        above = rooted.unionByName(moving).select(
+        # Only trees that have a message below their root's reach take part in the round.
+        deep = moving.select("tree").distinct()
+        done.append(cut(_join(state, deep, [("tree", "tree")], "left_anti")))
+        state = _join(state, deep, [("tree", "tree")], "left_semi")
+        above = state.select(
             "tree",
             "node",
             F.col("anc").alias("anc2"),
             F.col("steps").alias("steps2"),
             F.col("total").alias("total2"),
         )
-        # Only messages that have not reached their root take part in the next round.
-        further = cut(
-            _join(moving, above, [("tree", "tree"), ("anc", "node")]).select(
+        state = cut(
+            _join(state, above, [("tree", "tree"), ("anc", "node")], "left").select(
                 "tree",
                 "node",
                 F.col("anc2").alias("anc"),
-                (F.col("steps") + F.col("steps2")).alias("steps"),
-                (F.col("total") + F.col("total2")).alias("total"),
+                (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),
+                (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
             )
         )
-        rooted = rooted.unionByName(further.filter(F.col("anc").isNull()))
-        moving = further.filter(F.col("anc").isNotNull())
-    rooted = rooted.select("tree", "node", "steps", "total")
+    for part in done:
+        state = state.unionByName(part)
+    rooted = cut(state.filter(F.col("anc").isNull()).select("tree", "node", "steps", "total"))
     order = Window.partitionBy("tree").orderBy(F.col("total").desc(), "node")
     leaves = (
         _join(rooted, parents.distinct(), [("tree", "tree"), ("node", "node")], "left_anti")
@@ -94,10 +98,10 @@ def reply_paths(messages: DataFrame, best: int = 1) -> DataFrame:
         .filter(F.col("rank") <= best)
     )
     members = leaves.select("tree", F.col("node").alias("path"), "rank", "node")
-    for jump in jumps:
+    for jump in reversed(jumps):  # farthest first: the list doubles only where paths are long
         further = _join(members, jump, [("tree", "tree"), ("node", "node")])
-        further = cut(further.select("tree", "path", "rank", F.col("anc").alias("node")))
-        members = members.unionByName(further)
+        further = further.select("tree", "path", "rank", F.col("anc").alias("node"))
+        members = cut(members.unionByName(further))
     told = _join(
         rooted.select("tree", "node", F.col("steps").alias("pos")),
         nodes.select("tree", "node", "role", "text"),
