@@ -18,6 +18,8 @@ SETTINGS = {
     # Split a hot join key even if the next aggregation then needs its own shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Rows hold whole texts: ten thousand of them would be a lot for one Arrow batch.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
