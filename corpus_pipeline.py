@@ -17,7 +17,7 @@ from pairlake.llm.mixing import mix, repeat
 from pairlake.llm.secrets import redact, scan_secrets
 from pairlake.llm.segmentations import encode_samples
 from pairlake.llm.toxicity import score_toxicity
-from pairlake.session import cut
+from pairlake.session import cut, tune
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
@@ -26,7 +26,7 @@ SAMPLES = 2
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.7; the others go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = tune(spark).read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_toxicity(docs, labels, threshold=0.7, keep=docs.columns)
     return scored.filter(F.col("predicted") == 0).select(*docs.columns)
 
@@ -36,6 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without an id are in no group and stay; rows of one id are one document.
     """
+    tune(spark)
     found = near_duplicates(docs)
     dropped = found.filter(~F.col("kept")).select("doc_id").hint("merge")  # as many as there are
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
@@ -43,6 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; every secret in a text is masked, and n_chars follows the text."""
+    tune(spark)
     found = (
         scan_secrets(docs)
         .filter(F.size("spans") > 0)
@@ -61,11 +63,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    tune(spark)
     return repeat(docs, mix(docs, WEIGHTS, SHARE, EPOCHS))
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, rank, n_pieces, log_prob, log_inclusion, ids): sampled segmentations."""
+    tune(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     return encode_samples(docs, model, k=SAMPLES).select(
         "doc_id", "rank", "n_pieces", "log_prob", "log_inclusion", "ids"

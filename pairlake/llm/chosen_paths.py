@@ -41,7 +41,7 @@ TREES = 10
 SMALL = 1024  # documents of a node that are compared exhaustively, and of a block
 DEPTH = 6
 ROWS_PER_BUCKET = 8192
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -38,7 +38,7 @@ from pairlake.llm.hashing import mix
 
 BLANK, LITERAL = 0x2581, 0x110001
 RANK_SHIFT = 10.0
-BATCH_CHARS = 1_000_000  # characters whose lattices a worker holds at a time
+BATCH_CHARS = 600_000  # characters whose lattices a worker holds at a time
 DECODE_ROWS = 128
 LONE = 2**63
 RESULT = (
@@ -106,6 +106,10 @@ class Vocabulary:
             hashes = CodeHash(codes.ravel()).between(at, at + length)
             order = np.argsort(hashes)
             self.tables.append((hashes[order], np.array(list(held.values()), np.int32)[order]))
+        # By code point: the piece of one character, -1 if none; and whether any piece has it.
+        self.single = np.full(0x110002, -1, np.int32)
+        for piece, i in beginnings[1].items():
+            self.single[ord(piece)] = i
         self.known = np.zeros(0x110002, bool)
         self.known[[ord(c) for _, _, p in normal for c in p]] = True
         inner = [p for _, _, p in normal if p.strip(chr(BLANK)) and chr(BLANK) in p.lstrip(chr(BLANK))]
@@ -172,10 +176,14 @@ class Lattices:
         lone = np.ones(n, bool)
         starts, ends, ids = [], [], []
         for length, (table, pieces) in enumerate(v.tables, 1):
-            asked = hashes.between(at, at + length)
-            place = np.minimum(np.searchsorted(table, asked), len(table) - 1)
-            begun = table[place] == asked
-            at, piece = at[begun], pieces[place[begun]]
+            if length == 1:
+                at = np.flatnonzero(v.known[self.codes])
+                piece = v.single[self.codes[at]]
+            else:
+                asked = hashes.between(at, at + length)
+                place = np.minimum(np.searchsorted(table, asked), len(table) - 1)
+                begun = table[place] == asked
+                at, piece = at[begun], pieces[place[begun]]
             whole = piece >= 0
             starts.append(at[whole])
             ends.append(at[whole] + length)
@@ -214,8 +222,10 @@ class Lattices:
         left = self.stop - np.arange(len(self.codes))
         ahead = np.zeros(len(self.codes) + 1)
         last = self.end == self.stop[self.start]
+        if left.max(initial=0) < 2**16:
+            left = left.astype(np.uint16)  # short integers are sorted by counting
         order = np.argsort(left[self.start], kind="stable")
-        ranked = left[self.start[order]]
+        ranked = left[self.start[order]].astype(np.int64)
         cuts = np.flatnonzero(np.diff(ranked)) + 1
         for group in np.split(order, cuts) if len(order) else ():
             value = self.log_p[group] + np.where(last[group], 0.0, ahead[self.end[group]])
@@ -437,6 +447,7 @@ def encode_samples(
                     keys, texts, size = [], [], 0
             if keys:
                 yield rows_of(keys, texts)
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(key_col).cast("long"), text_col)
     return rows.mapInArrow(run, RESULT).withColumnRenamed("row_key", key_col)

@@ -38,7 +38,7 @@ from pairlake.session import cut
 SAMPLE_ROWS = 20_000  # labelled rows used at most
 LEXICON_TERMS = 4_000  # terms kept at most
 STEMS = (4, 5, 6, 7)  # lengths of word beginnings that may be terms
-KNOWN_WORDS = 400_000  # words a worker remembers before it starts afresh
+KNOWN_WORDS = 150_000  # words a worker remembers before it starts afresh
 NEAR = 4  # words between a lexicon word and a second person
 
 # Pronouns of the second person in the languages of the corpus.
@@ -191,6 +191,7 @@ def with_features(rows: DataFrame, lexicon: dict[str, float], text_col: str = "t
             vectors = pa.array([features.of(t.as_py()) for t in batch.column(at)], pa.list_(pa.float64()))
             names = [*batch.schema.names, "vector"]
             yield pa.RecordBatch.from_arrays([*batch.columns, vectors], names=names)
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema).withColumn("vector", array_to_vector("vector"))
 
