@@ -5,7 +5,8 @@
 2. A lexicon is learned on the fitting part: words and word beginnings that stand out in
    toxic documents, so that inflected and compounded forms count too.
 3. Every document becomes one short vector: lexicon densities, lexicon words near a second
-   person, capitals, punctuation, and how much of it is obfuscated.
+   person, capitals, punctuation, and how much of it is obfuscated. Spaced letters are found
+   in every text as a whole, and those of one run are looked up as one word.
 4. Trees are fitted on the vectors; isotonic regression on the calibrating part turns their
    margins into probabilities.
 
@@ -52,7 +53,10 @@ LOOKALIKES = str.maketrans("013457@$!|", "oieastasii")
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _DIGITS = b"0123456789"
 _STRIP = ".,;:?\"'()[]{}<>*_-`~"
-_SPACED = re.compile(r"\b(?:\w[ .*_-]){3,}\w\b")
+# Words of one letter, which may stand before a run of spaced letters.
+ONE_LETTER = frozenset("aeiouyà")
+# Possessive, with a look ahead in place of going back: a run of any length takes no memory.
+_SPACED = re.compile(r"\b(?:\w[ .*_-](?=\w(?![^\W_]))){3,}+\w")
 
 
 def _plain(word: str) -> str:
@@ -116,20 +120,45 @@ class Features:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.known = lexicon, {}
 
+    def weights(self, plain: str) -> tuple[float, float]:
+        """(weight of the word, of its best beginning)."""
+        stems = [self.lexicon.get(f"{plain[:n]}*", 0.0) for n in STEMS if len(plain) >= n]
+        return self.lexicon.get(plain, 0.0), max(stems or [0.0])
+
     def look_up(self, word: str) -> tuple[float, float, bool, bool]:
         """(weight of the word, of its best beginning, obfuscated, found by opening)."""
         plain = _plain(word)
-        exact = self.lexicon.get(plain, 0.0)
-        stem = max([self.lexicon.get(f"{plain[:n]}*", 0.0) for n in STEMS if len(plain) >= n] or [0.0])
+        exact, stem = self.weights(plain)
         odd = any(c.isalpha() for c in plain) and any(not c.isalpha() and c not in "'’-" for c in plain)
         opened = False
         if odd and not exact and not stem:
-            again = _open(plain)
-            exact = self.lexicon.get(again, 0.0)
-            stem = max([self.lexicon.get(f"{again[:n]}*", 0.0) for n in STEMS if len(again) >= n] or [0.0])
+            exact, stem = self.weights(_open(plain))
             opened = bool(exact or stem)
         return exact, stem, odd, opened
 
+    def spaced(self, text: str) -> tuple[int, list[tuple[int, float, float]]]:
+        """(runs of spaced letters, (place among the words, weights) of those in the lexicon).
+
+        Runs without a blank are parts of one word, which ``look_up`` opens.
+        """
+        runs, found, at, before = 0, [], 0, 0
+        for run in _SPACED.finditer(text):
+            runs += 1
+            if " " not in run[0]:
+                continue
+            letters = _open(run[0].lower())
+            exact, stem = self.weights(letters)
+            if not exact and not stem and letters[:1] in ONE_LETTER:
+                exact, stem = self.weights(letters[1:])
+            if exact or stem:
+                start = run.start()
+                inside = start > at > 0 and not text[at - 1].isspace() and not text[at].isspace()
+                before += len(text[at:start].split()) - inside
+                at = start
+                begun = start > 0 and not text[start - 1].isspace()
+                found.append((before - begun, exact, stem))
+        return runs, found
+
     def of(self, text: str | None) -> list[float]:
         text = text or ""
         words = text.lower().split()
@@ -158,6 +187,14 @@ class Features:
             opened += op
             if person:
                 you.append(at)
+        runs, hidden = self.spaced(text)
+        for at, x, s in hidden:
+            special.append(at)
+            weight += max(x, s)
+            strongest = max(strongest, x, s)
+            exact += x > 0
+            stems += s > 0
+            opened += 1
         near = 0
         if special and you:
             a, b = np.array(special), np.array(you)
@@ -172,11 +209,10 @@ class Features:
         digits = len(raw) - len(raw.translate(None, _DIGITS))
         marks = sum(raw.count(m) for m in (b"!", b"?", b".", b",", b"*", b"#", b"@"))
         shouted = sum(map(str.isupper, text.split())) if capitals > 3 else 0
-        spaced = len(_SPACED.findall(text)) if len(words) < 200_000 and (" . " in text or "*" in text) else 0
         return [
             float(len(special)), len(special) / n, weight / n, strongest, stems / n, near / n,
             len(you) / n, capitals / chars, shouted / n, raw.count(b"!") / chars, marks / chars,
-            digits / chars, (odd + spaced) / n, opened / n, log1p(len(words)),
+            digits / chars, (odd + runs) / n, opened / n, log1p(len(words)),
         ]
 
 

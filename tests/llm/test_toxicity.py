@@ -6,7 +6,7 @@ import zlib
 from helpers import documents, prose
 from pyspark.sql import functions as F
 
-from pairlake.llm.toxicity import score_toxicity
+from pairlake.llm.toxicity import FEATURES, Features, score_toxicity
 
 
 def corpus(n=1200):
@@ -55,3 +55,30 @@ def test_without_labels_or_rows(spark):
     assert score_toxicity(docs.filter(F.lit(False)), none).collect() == []
     kept = score_toxicity(docs, none, keep=docs.columns)
     assert set(docs.columns) <= set(kept.columns)
+
+
+def test_spaced_letters_count_in_every_text(spark):
+    rows, labels = corpus()
+    spaced = [(6001, "alpha1 beta2 z o u n d e r gamma3 delta4"), (6002, "you are a B l a r g h s kappa7 mu8")]
+    told = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = score_toxicity(documents(spark, rows + spaced), told).collect()
+    assert {r["doc_id"]: r["predicted"] for r in got if r["doc_id"] > 6000} == {6001: 1, 6002: 1}
+
+
+def test_runs_of_spaced_letters():
+    features = Features({"zounder": 2.0, "blar*": 1.0})
+
+    def of(text):
+        return dict(zip(FEATURES, features.of(text), strict=True))
+
+    plain, hidden = of("oh you zounder !"), of("oh you z o u n d e r !")
+    assert hidden["hits"] == plain["hits"] == 1 and hidden["strongest"] == plain["strongest"] == 2
+    assert hidden["obfuscated"] > 0 and hidden["opened"] > 0 and hidden["near_you"] > 0
+    assert of("x z.o.u.n.d.e.r y")["hits"] == 1  # opened as one word, not twice
+    assert of("no l e t t e r s here")["hits"] == 0 < of("no l e t t e r s here")["obfuscated"]
+    far = "you " + "word " * 9 + "b l a r g h"  # no letter of it is a second person
+    assert of(far)["near_you"] == 0 and of(far + " word you and b l a r g h")["near_you"] > 0
+    for n in (199_990, 200_010):
+        long = of("word " * n + "z o u n d e r")
+        assert long["hits"] == 1 and long["obfuscated"] > 0
+    assert of("i " * 1_000_000)["hits"] == 0
