@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-1. A bounded sample of labelled rows (``SAMPLE_ROWS``, by a hash of the id) is split by hash
-   into a fitting and a calibrating part.
+1. A bounded sample of labelled rows (``SAMPLE_ROWS``, by a hash of the id; one row per id) is
+   split by hash into a fitting and a calibrating part.
 2. A lexicon is learned on the fitting part: words and word beginnings that stand out in
    toxic documents, so that inflected and compounded forms count too.
 3. Every document becomes one short vector: lexicon densities, lexicon words near a second
@@ -12,7 +12,8 @@
 
 Only the text is an input of a score. Defined cases: null and empty texts have the vector of
 an empty text and are scored like all others; labels without a document, with a null id or
-a null label are ignored, the largest label of an id counts; with one class or no label the
+a null label are ignored, the largest label of an id counts, and of its rows the text with
+the smallest digest is learned from; with one class or no label the
 score is the rate of toxic labels (0 if there are none); an empty table gives an empty
 result; repeated rows are scored alike; other columns are ignored.
 """
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from pairlake.llm.digests import digest
 from pairlake.session import cut
 
 SAMPLE_ROWS = 20_000  # labelled rows used at most
@@ -260,6 +262,8 @@ def score_toxicity(
     sample = cut(
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
+        .groupBy("doc_id", "label")  # and one row of each
+        .agg(F.min_by("text", digest("text")).alias("text"))
         .select(
             F.coalesce("text", F.lit("")).alias("text"),
             F.col("label").cast("double").alias("label"),

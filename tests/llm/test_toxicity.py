@@ -82,3 +82,10 @@ def test_runs_of_spaced_letters():
         long = of("word " * n + "z o u n d e r")
         assert long["hits"] == 1 and long["obfuscated"] > 0
     assert of("i " * 1_000_000)["hits"] == 0
+
+
+def test_repeated_rows_of_a_labelled_id_weigh_as_one(spark):
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:3]
+    told = spark.createDataFrame([(i, int(i == ids[0])) for i in ids], "doc_id long, toxic int")
+    rows = [(i, "a b c") for i in ids] + [(ids[0], f"a b {n}") for n in range(50)]
+    assert {r["score"] for r in score_toxicity(documents(spark, rows), told).collect()} == {1 / 3}
