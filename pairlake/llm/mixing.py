@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlake.llm.digests import digest
+from pairlake.operators.positions import with_positions
 from pairlake.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -151,21 +153,29 @@ def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as ``mixed`` says, columns unchanged.
 
     Rows meet their counts by (doc_id, source, size). Repeated rows of ``docs`` may have
-    different counts; their sum is dealt to them evenly.
+    different counts; their sum is dealt to them evenly, and what is left over goes to the
+    first rows by digest, one copy each.
     """
     counts = mixed.groupBy("doc_id", "source", "size").agg(
         F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")
     )
     names = {c: f"_m_{c}" for c in ("doc_id", "source", "size")}
-    counts = counts.withColumnsRenamed(names)
+    counts = cut(counts.withColumnsRenamed(names))
+    over = F.col("_copies") % F.col("_rows")
     same = (
         docs["doc_id"].eqNullSafe(counts["_m_doc_id"])
         & docs["source"].eqNullSafe(counts["_m_source"])
         & (words(docs["text"]) == counts["_m_size"])
     )
+    dealt = docs.join(counts.filter(over == 0), same).withColumn("_more", F.lit(0))
+    uneven = counts.filter(over > 0)
+    if not uneven.isEmpty():  # only where rows are repeated
+        joined = docs.join(uneven, same)
+        placed = with_positions(joined, list(names.values()), [digest("text")], "_place")
+        first = (F.col("_place") <= over).cast("int")
+        dealt = dealt.unionByName(placed.withColumn("_more", first).drop("_place"))
     return (
-        docs.join(counts, same)
-        .withColumn("_n", F.ceil(F.col("_copies") / F.col("_rows")).cast("int"))
+        dealt.withColumn("_n", (F.floor(F.col("_copies") / F.col("_rows")) + F.col("_more")).cast("int"))
         .filter(F.col("_n") > 0)
         .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
         .select(*docs.columns)

@@ -65,3 +65,23 @@ def test_mix_meets_targets_and_limits(spark):
 def test_empty_table(spark):
     docs = documents(spark, [(1, "a", "s")]).filter(F.lit(False))
     assert mix(docs, (3, 1, 2), 1.5, 2).collect() == []
+
+
+def test_repeated_rows_share_their_copies(spark):
+    rows = [(1, "a b", "s"), (1, "c d", "s"), (1, "a b", "s"), (2, "e f", "s"), (2, "e f", "s"), (3, "g", "s")]
+    rows += [(None, f"x{i}", None) for i in range(40)]
+    docs = documents(spark, rows)
+    told = [(1, "s", 2, n) for n in (1, 1, 2)] + [(2, "s", 2, 2)] * 2 + [(3, "s", 1, 2)]
+    told += [(None, None, 1, int(i == 0)) for i in range(40)]
+    mixed = spark.createDataFrame(told, "doc_id long, source string, size long, copies long")
+    got = [r["doc_id"] for r in repeat(docs, mixed).collect()]
+    assert {i: got.count(i) for i in set(got)} == {1: 4, 2: 4, 3: 2, None: 1}
+
+
+def test_repeated_rows_meet_the_targets(spark):
+    rows = [(i // 7, f"w{i} v", f"s{i % 3}") for i in range(210)]
+    docs = documents(spark, rows)
+    mixed = mix(docs, (3, 1, 2), 1.5, 2)
+    taken = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    got = {r["source"]: 2 * r["count"] for r in repeat(docs, mixed).groupBy("source").count().collect()}
+    assert got == taken
