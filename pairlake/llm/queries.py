@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pairlake.llm import queries_chat, queries_rows, queries_texts, queries_vectors  # noqa: F401
+from pairlake.llm import (  # noqa: F401
+    queries_chat,
+    queries_rows,
+    queries_texts,
+    queries_tokens,
+    queries_vectors,
+)
 from pairlake.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
