@@ -6,6 +6,7 @@ patterns read common query shapes; they are hints for reports, not a SQL grammar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -87,6 +88,32 @@ def unordered_limit(sql: Column) -> Column:
     return bind(_outer(visible(sql)), lambda o: o["limit"] & ~o["order"])
 
 
+_HIDDEN = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/""", re.S)
+_CLAUSES = re.compile(r"[()]|\border\s+by\b(\s+all\b)?|\b(?:limit|offset|window|cluster|distribute|sort)\b", re.I)
+
+
+def tie_broken(sql: str, columns: int, descending: bool) -> str | None:
+    """The text with every output column appended to its outermost ORDER BY, by position.
+
+    None where there is no such ORDER BY, or where it names all columns already. Quoted parts
+    and comments are looked past; whatever has no meaning is left to the engine's parser.
+    """
+    seen = _HIDDEN.sub(lambda m: " " * len(m[0]) if m[0][:2] in ("--", "/*") else "x" * len(m[0]), sql)
+    depth, order, end = 0, None, len(seen.rstrip("; \t\r\n"))
+    for mark in _CLAUSES.finditer(seen):
+        word = mark[0].lower()
+        if word in "()":
+            depth += 1 if word == "(" else -1
+        elif depth == 0 and word.startswith("order"):
+            order, end = mark, len(seen.rstrip("; \t\r\n"))
+        elif depth == 0 and order and end > mark.start():
+            end = mark.start()
+    if order is None or order[1]:
+        return None
+    keys = ", ".join(f"{i} {'DESC' if descending else 'ASC'}" for i in range(1, columns + 1))
+    return f"{sql[:end]}\n, {keys}\n{sql[end:]}"
+
+
 def _from_lists(text: Column) -> Column:
     """The FROM lists of a query and its subqueries, innermost first. What a pair of
     parentheses held is replaced by one name, so a derived table is a table of its list."""

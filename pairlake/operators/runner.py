@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
 import threading
 import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,17 +16,10 @@ from pyspark.sql import functions as F
 
 from pairlake.functions.cells import CELL, row_cells
 from pairlake.operators.positions import with_positions
-from pairlake.operators.results import (
-    emptiness,
-    query_list,
-    result_hash,
-    results_match,
-    reversed_copy,
-)
-from pairlake.session import scratch
+from pairlake.session import exists, scratch
 
 TIMEOUT_S = 10.0
-RESULTS = f"query_id string, side string, row_ix bigint, cells array<{CELL}>"
+ROWS = f"digest string, row_ix bigint, cells array<{CELL}>"
 ERRORS = "query_id string, side string, error string"
 
 
@@ -37,17 +31,37 @@ class Query:
     ordered: bool = False
 
 
-# Functions that reach beyond the tables.
-_OUTSIDE = frozenset(("java_method", "reflect", "try_reflect"))
-_STATEMENTS = tuple(
-    f"org.apache.spark.sql.catalyst.plans.logical.{name}" for name in ("Command", "ParsedStatement")
-)
+# Built-in functions that reach beyond the tables.
+_OUTSIDE = frozenset(("from_protobuf", "java_method", "reflect", "to_protobuf", "try_reflect"))
+# What a parsed query may consist of. Commands, inserts, scripts and names
+# made at run time are not among them, and neither is what a later version may add.
+_QUERY_NODES = frozenset((
+    "Aggregate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join",
+    "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "PipeOperator", "Pivot",
+    "Project", "RepartitionByExpression", "Sample", "Sort", "SubqueryAlias", "Tail", "Union", "Unpivot",
+    "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedRelation",
+    "UnresolvedSubqueryColumnAliases", "UnresolvedTVFAliases", "UnresolvedTableValuedFunction",
+    "UnresolvedWith", "WithWindowDefinition",
+))
+_CATALYST = "org.apache.spark.sql.catalyst"
 
 
 class NotAQuery(Exception):
     pass
 
 
+_ALLOWED: dict[str, frozenset[str]] = {}
+
+
+def allowed_functions(spark: SparkSession) -> frozenset[str]:
+    """Names of Spark's own functions, without those that reach beyond the tables."""
+    app = spark.sparkContext.applicationId
+    if app not in _ALLOWED:
+        names = {r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()}
+        _ALLOWED[app] = frozenset((names | {"range"}) - _OUTSIDE)
+    return _ALLOWED[app]
+
+
 def reading_session(spark: SparkSession) -> SparkSession:
     """A copy of the session: the same views, settings of its own, no reading of paths.
 
@@ -58,25 +72,76 @@ def reading_session(spark: SparkSession) -> SparkSession:
     return copy
 
 
+def _listed(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
 def check_reads_only(spark: SparkSession, sql: str) -> None:
-    """Raises unless the text is one query: no command, no insert, no script, no reflection."""
+    """Raises unless the text is one query that only reads.
+
+    The parsed text is walked through, with its subqueries, named queries and windows: every
+    node has to be one that queries consist of, and every function one of Spark's own that
+    stays inside the tables. Comments, quotes and case make no difference to it.
+    """
     jvm = spark.sparkContext._jvm
-    kinds = [jvm.java.lang.Class.forName(name) for name in _STATEMENTS]
+    is_plan, is_query, is_call, is_generator = (
+        jvm.java.lang.Class.forName(f"{_CATALYST}.{name}").isInstance
+        for name in (
+            "plans.logical.LogicalPlan",
+            "expressions.PlanExpression",
+            "analysis.UnresolvedFunction",
+            "analysis.UnresolvedGenerator",
+        )
+    )
+    allowed = allowed_functions(spark)
+
+    def refuse() -> None:
+        raise NotAQuery("not a query")
+
+    def call(parts: list[str]) -> None:
+        own = len(parts) == 1 or [p.lower() for p in parts[:-1]] in (["builtin"], ["system", "builtin"])
+        if not own or parts[-1].lower() not in allowed:
+            refuse()
+
     todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
     while todo:
         node = todo.pop()
         name = node.getClass().getSimpleName()
-        if any(k.isInstance(node) for k in kinds) or name.startswith(("InsertInto", "Compound")):
-            raise NotAQuery("not a query")
-        children = node.children()
-        todo += [children.apply(i) for i in range(children.size())]
-    called = {name.lower() for name in re.findall(r"(\w+)\W*\(", sql)}
-    if called & _OUTSIDE:
-        raise NotAQuery("not a query")
-
-
-def _run(spark: SparkSession, query: Query, path: str, timeout: float) -> str | None:
-    """Write one result as canonical rows; returns the error message, if any."""
+        todo += _listed(node.children())
+        if is_plan(node):
+            if name not in _QUERY_NODES:
+                refuse()
+            if name == "UnresolvedTableValuedFunction":
+                call(_listed(node.name()))
+            if name == "WithWindowDefinition":
+                todo += _listed(node.windowDefinitions().values().toSeq())
+            if name == "UnresolvedWith":
+                todo += [pair._2() for pair in _listed(node.cteRelations())]
+            todo += _listed(node.expressions())
+        elif is_query(node):
+            todo.append(node.plan())
+        elif is_call(node):
+            call(_listed(node.nameParts()))
+        elif is_generator(node):
+            call([node.name().funcName()])
+        elif "UnresolvedIdentifier" in name:
+            refuse()
+
+
+class Outcome(NamedTuple):
+    """How a text ended: an error, or the number of its columns."""
+
+    error: str | None
+    n_cols: int | None = None
+    late: bool = False
+
+
+def digest_of(sql: str) -> str:
+    return hashlib.sha256(sql.encode()).hexdigest()
+
+
+def _run(spark: SparkSession, digest: str, sql: str, path: str, timeout: float) -> Outcome:
+    """Write one result as canonical rows."""
     sc = spark.sparkContext
     group = f"pairlake-{uuid.uuid4().hex}"
     late = threading.Event()
@@ -88,91 +153,90 @@ def _run(spark: SparkSession, query: Query, path: str, timeout: float) -> str |
     timer = threading.Timer(timeout, stop)
     timer.start()
     try:
-        sc.setJobGroup(group, query.query_id, interruptOnCancel=True)
-        sql = query.sql.strip().rstrip(";")
+        sc.setJobGroup(group, digest, interruptOnCancel=True)
+        sql = sql.strip().rstrip(";")
         check_reads_only(spark, sql)
         df = spark.sql(sql)
         if late.is_set():  # analysis cannot be cancelled; its time counts all the same
             raise TimeoutError
         df.select(
-            F.lit(query.query_id).alias("query_id"),
-            F.lit(query.side).alias("side"),
+            F.lit(digest).alias("digest"),
             F.monotonically_increasing_id().alias("row_ix"),
             row_cells(df).alias("cells"),
-        ).write.parquet(path)
-        return None
+        ).write.mode("overwrite").parquet(path)
+        return Outcome(None, len(df.columns))
     except NotAQuery as e:
-        return str(e)
+        return Outcome(str(e))
     except Exception as e:  # any failure of one query is that query's result
         if late.is_set():
-            return f"The query took longer than {timeout:g} s and was stopped."
+            return Outcome(f"The query took longer than {timeout:g} s and was stopped.", late=True)
         kind = type(e).__name__ if isinstance(e, PySparkException) else "Error"
-        return f"{kind}: {str(e).splitlines()[0] if str(e) else ''}"
+        return Outcome(f"{kind}: {str(e).splitlines()[0] if str(e) else ''}")
     finally:
         timer.cancel()
         sc.setLocalProperty("spark.jobGroup.id", None)
 
 
-def run_batch(
+def run_texts(
     spark: SparkSession,
-    queries: Sequence[Query],
+    texts: Mapping[str, str],
+    folder: str,
     timeout: float = TIMEOUT_S,
     parallel: int = 4,
     views: Mapping[str, str] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(results table, errors table) of the queries, each with its own time limit.
+) -> dict[str, Outcome]:
+    """Run each text of ``texts`` (digest → SQL) once, as a Spark job with its own time limit
+    that writes (digest, row_ix, cells) to ``folder/digest``; nothing is collected.
 
-    Every query is one Spark job that writes its own rows; nothing is collected. Rows of
-    ordered queries are numbered 0, 1, 2, … in result order. Queries only read: commands,
-    scripts, inserts and reads of paths give an error row and change nothing. ``views``
-    names Parquet folders that stand in for the session's views.
+    ``views`` names Parquet folders that stand in for the session's views.
     """
-    folder = scratch(spark, "results")
-    paths = [
-        f"{folder}/{'ordered' if q.ordered else 'plain'}/n={i}" for i, q in enumerate(queries)
-    ]
     reader = reading_session(spark)
     for name, stand_in in (views or {}).items():
         reader.read.parquet(stand_in).createOrReplaceTempView(name)
     with ThreadPoolExecutor(parallel) as pool:
-        errors = list(pool.map(lambda qp: _run(reader, qp[0], qp[1], timeout), zip(queries, paths)))
-    failed = spark.createDataFrame(
-        [(q.query_id, q.side, e) for q, e in zip(queries, errors) if e is not None], ERRORS
-    )
+        ends = pool.map(lambda d: _run(reader, d, texts[d], f"{folder}/{d}", timeout), texts)
+        return dict(zip(texts, ends, strict=True))
+
+
+def read_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(digest, row_ix, cells) of all texts that wrote into ``folder``."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], ROWS)
+    return spark.read.schema(ROWS).option("recursiveFileLookup", "true").parquet(folder)
 
-    def written(ordered: bool) -> DataFrame:
-        if not any(e is None and q.ordered == ordered for q, e in zip(queries, errors)):
-            return spark.createDataFrame([], RESULTS)
-        # One root for all results; a failed query may have left rows behind.
-        rows = spark.read.schema(f"{RESULTS}, n long").parquet(f"{folder}/{'ordered' if ordered else 'plain'}")
-        bad = spark.createDataFrame([(i,) for i, e in enumerate(errors) if e is not None], "n long")
-        return rows.join(bad, "n", "left_anti").drop("n")
 
-    ordered_rows = with_positions(written(True), ["query_id", "side"], ["row_ix"], "_pos")
-    dense = ordered_rows.withColumn("row_ix", F.col("_pos") - 1).drop("_pos")
-    return written(False).unionByName(dense), failed
+def dense(lines: DataFrame, asked: DataFrame) -> DataFrame:
+    """``lines`` of a results table, with rows numbered 0, 1, 2, … where ``asked`` (query_id,
+    ordered) says that order counts."""
+    told = lines.join(asked.select("query_id", "ordered"), "query_id")
+    sorted_ = with_positions(told.filter("ordered"), ["query_id", "side"], ["row_ix"], "_pos")
+    numbered = sorted_.withColumn("row_ix", F.col("_pos") - 1).drop("_pos")
+    return told.filter(~F.col("ordered")).unionByName(numbered).drop("ordered").select(*lines.columns)
 
 
-def checked_batch(
-    spark: SparkSession, queries: Sequence[Query], tables: Sequence[str], timeout: float = TIMEOUT_S
+def run_batch(
+    spark: SparkSession,
+    queries: Sequence[Query],
+    timeout: float = TIMEOUT_S,
+    parallel: int = 4,
+    views: Mapping[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(results, checks) of queries over the views ``tables``.
+    """(results table, errors table) of the queries, each with its own time limit.
 
-    Every query runs twice, the second time over copies stored in reverse order. ``checks``
-    has per query ``error, n_rows, all_null, deterministic, result_hash``.
+    Equal texts run once, whatever their ids. Rows of ordered queries are numbered 0, 1, 2, …
+    in result order. Queries only read: commands, scripts, inserts, reads of paths and calls
+    that leave the tables give an error row and change nothing. ``views`` as in ``run_texts``.
     """
-    backwards = {name: scratch(spark, "backwards") for name in tables}
-    for name, folder in backwards.items():
-        reversed_copy(spark.table(name)).write.parquet(folder)
-    rows, errors = run_batch(spark, [replace(q, side="a") for q in queries], timeout)
-    again, _ = run_batch(spark, [replace(q, side="b") for q in queries], timeout, views=backwards)
-    asked = query_list(spark, {q.query_id: q.ordered for q in queries})
-    agree = results_match(rows.unionByName(again), asked)
-    checks = (
-        asked.select("query_id")
-        .join(errors.select("query_id", "error"), "query_id", "left")
-        .join(emptiness(rows, asked), "query_id")
-        .join(agree.select("query_id", F.col("matched").alias("deterministic")), "query_id")
-        .join(result_hash(rows, asked).select("query_id", "result_hash"), "query_id", "left")
+    folder = scratch(spark, "results")
+    texts = {digest_of(q.sql): q.sql for q in queries}
+    ends = run_texts(spark, texts, folder, timeout, parallel, views)
+    told = [(q.query_id, q.side, q.ordered, digest_of(q.sql)) for q in queries]
+    failed = [(i, side, ends[d].error) for i, side, _, d in told if ends[d].error is not None]
+    asked = spark.createDataFrame(
+        [t for t in told if ends[t[3]].error is None],
+        "query_id string, side string, ordered boolean, digest string",
     )
-    return rows, checks
+    # A failed text may have left rows behind; they meet no query.
+    lines = read_rows(spark, folder).join(asked, "digest").select("query_id", "side", "row_ix", "cells")
+    orders = asked.groupBy("query_id").agg(F.max("ordered").alias("ordered"))
+    return dense(lines, orders), spark.createDataFrame(failed, ERRORS)

@@ -518,9 +518,8 @@ UNION ALL SELECT 'bad_column', TRUE, 0, NULL""",
 )
 def query_batch(t: Tables) -> DataFrame:
     """Four SQL texts on the tables: two results, an empty one and a failure."""
-    for name in ("customer", "orders", "part"):
-        getattr(t, name).createOrReplaceTempView(name)
-    rows, errors = run_batch(t.spark, [Query(i, sql, "a", o) for i, sql, o in _BATCH], timeout=600)
+    views = {name: f"{t.folder}/{name}.parquet" for name in ("customer", "orders", "part")}
+    rows, errors = run_batch(t.spark, [Query(i, sql, "a", o) for i, sql, o in _BATCH], timeout=600, views=views)
     asked = R.query_list(t.spark, {i: o for i, _, o in _BATCH})
     hashes = R.result_hash(rows, asked).drop("side")
     failed = errors.select("query_id", F.lit(True).alias("failed"))

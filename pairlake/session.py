@@ -102,6 +102,11 @@ def _file_system(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path, files = _file_system(spark, folder)
+    return files.exists(path)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what the running scope (outside of any: this application) has written."""
     _drop(spark, scratch_root(spark))
