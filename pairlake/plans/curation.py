@@ -61,14 +61,17 @@ LEAKS = f"""sets AS MATERIALIZED (
 tr AS MATERIALIZED (SELECT *, len(ts) AS n FROM sets WHERE id NOT IN (SELECT doc_id FROM labels)),
 te AS MATERIALIZED (SELECT *, len(ts) AS n FROM sets WHERE id IN (SELECT doc_id FROM labels)),
 near AS MATERIALIZED (
-  SELECT DISTINCT tr.id FROM tr JOIN te ON tr.db_id = te.db_id
+  SELECT tr.id, min(te.id) AS test FROM tr JOIN te ON tr.db_id = te.db_id
     AND 10 * tr.n >= 9 * te.n AND 10 * te.n >= 9 * tr.n
-  WHERE 10 * len(list_intersect(tr.ts, te.ts)) >= 9 * (tr.n + te.n - len(list_intersect(tr.ts, te.ts)))),
+  WHERE 10 * len(list_intersect(tr.ts, te.ts)) >= 9 * (tr.n + te.n - len(list_intersect(tr.ts, te.ts)))
+  GROUP BY tr.id),
+by_q AS (SELECT db_id, q, min(id) AS test FROM te GROUP BY db_id, q),
+by_s AS (SELECT db_id, s, min(id) AS test FROM te GROUP BY db_id, s),
 leaks AS (
-  SELECT id, (db_id, q) IN (SELECT (db_id, q) FROM te) AS same_question,
-         (db_id, s) IN (SELECT (db_id, s) FROM te) AS same_sql,
-         id IN (SELECT id FROM near) AS near_question
-  FROM tr)"""
+  SELECT tr.id, by_q.test IS NOT NULL AS same_question, by_s.test IS NOT NULL AS same_sql,
+         near.test IS NOT NULL AS near_question, by_q.test AS question_test, by_s.test AS sql_test,
+         near.test AS near_test
+  FROM tr LEFT JOIN by_q USING (db_id, q) LEFT JOIN by_s USING (db_id, s) LEFT JOIN near USING (id))"""
 
 
 @query(
