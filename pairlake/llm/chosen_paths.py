@@ -16,9 +16,10 @@ returns at most one link per document: a spanning forest, not the pairs. Nodes t
 still large after ``DEPTH`` levels go the exact way too: blocks against blocks.
 
 Defined cases: null texts and texts without words have no shingles and are linked with
-nothing; fewer than five words make one shingle; an empty table gives an empty result; of a
-repeated doc_id the row with the most shingles counts; rows with a null doc_id are left out;
-other columns are ignored.
+nothing; fewer than five words make one shingle; an empty table gives an empty result; the
+rows of one doc_id are one document: every one of its texts links, all of them are in one
+component, and ``n_shingles`` is that of its largest set; rows with a null doc_id are left
+out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -191,11 +192,24 @@ def may_link(least: int):
     return run
 
 
+def sharable(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens of each set another set may have too: never fewer than it does.
+
+    A token alone in its bucket of hashes is nobody else's.
+    """
+    bits = np.uint64((1 << 20) - 1)
+    seen = np.zeros(1 << 20, np.int64)
+    for s in sets:
+        np.add.at(seen, s & bits, 1)
+    return np.array([int((seen[s & bits] > 1).sum()) for s in sets])
+
+
 def do_link(least: int, percent: int):
     """Confirmed links of a unit: a spanning forest of the pairs of sets at the threshold.
 
-    Pairs that are connected already need no confirmation; all others that may reach the
-    threshold are counted exactly.
+    Pairs that are connected already need no confirmation, and pairs whose sets hold too many
+    tokens that no other set of the unit has cannot reach the threshold; all others are
+    counted exactly.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -206,6 +220,7 @@ def do_link(least: int, percent: int):
             signs = np.frombuffer(b"".join(unit["signature"]), np.uint32).reshape(len(unit), -1)
             sets = [np.frombuffer(t, np.uint64) for t in unit["tokens"]]
             sizes = np.array([len(s) for s in sets])
+            shared = sharable(sets)
             two = blocks[0] != blocks[-1]
             forest = Forest(len(ids))
             for i in range(len(ids) - 1):
@@ -213,7 +228,8 @@ def do_link(least: int, percent: int):
                 if two:  # pairs inside a block are compared in the block's own unit
                     others = others[blocks[others] != blocks[i]]
                 lo, hi = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-                others = others[100 * lo >= percent * hi]
+                both = np.minimum(shared[others], shared[i])
+                others = others[(100 * lo >= percent * hi) & (100 * both >= percent * (lo + hi - both))]
                 others = others[_agreeing(signs, i, others) >= least]
                 if len(others):
                     others = others[forest.roots(others) != forest.root(i)]
@@ -277,9 +293,8 @@ def near_duplicates(
     Documents whose sets share at least ``percent`` / 100 of their union are linked;
     a component is named by its smallest id, which is the one that is kept.
     """
-    most = F.max(F.struct("n_shingles", "set_key", "signature"))
-    described = describe(docs, id_col, text_col).groupBy("doc_id").agg(most.alias("set"))
-    rows = cut(described.select("doc_id", "set.*"))
+    described = describe(docs, id_col, text_col).groupBy("doc_id", "set_key")
+    rows = cut(described.agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
     share = percent / 100
     least = int(COORDINATES * share - 5 * (COORDINATES * share * (1 - share)) ** 0.5)
     sets = cut(
@@ -298,14 +313,20 @@ def near_duplicates(
         .unionByName(_joined(large))
     )
     edges = _confirm(docs, sets, groups, least, percent, id_col, text_col)
-    linked = components(edges)
     owner = sets.select("set_key", "set_id")
-    owner = owner.join(linked, owner["set_id"] == linked["node"], "left").select(
-        "set_key", F.coalesce("component", "set_id").alias("component_id")
+    # A set is named by its smallest document. Two sets of one name are both that document's,
+    # so they are one component anyway; other sets of one document are linked here.
+    told = rows.select("doc_id", "n_shingles", "set_key").join(owner, "set_key", "left")
+    documents = cut(
+        told.groupBy("doc_id").agg(
+            F.max("n_shingles").alias("n_shingles"), F.min("set_id").alias("a"), F.max("set_id").alias("z")
+        )
     )
-    shown = rows.select("doc_id", "n_shingles", "set_key")
-    component = F.coalesce("component_id", "doc_id")
-    return shown.join(owner, "set_key", "left").select(
+    several = documents.filter("a < z").select("doc_id", "a")
+    own = told.join(several, "doc_id").select("a", F.col("set_id").alias("b")).filter("a < b")
+    linked = components(edges.unionByName(own))
+    component = F.coalesce("component", "a", "doc_id")
+    return documents.join(linked, F.col("a") == F.col("node"), "left").select(
         F.col("doc_id").alias(id_col),
         "n_shingles",
         component.alias("component_id"),

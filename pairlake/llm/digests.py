@@ -12,17 +12,15 @@ def digest(text: str) -> F.Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
-def rows_behind(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(digest, text) of the rows that ``wanted`` (digest, row_id) names, one per digest
-    unless a row is repeated. Texts move once, to the task of their digest; the pair of id
-    and digest is the key, so equal ids with different texts and null ids are told apart."""
-    texts = docs.select(
-        digest(text_col).alias("_digest"),
-        F.col(id_col).alias("_row_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
-    )
-    same = (F.col("_digest") == F.col("digest")) & F.col("_row_id").eqNullSafe(F.col("row_id"))
-    return texts.join(wanted, same).select("digest", F.col("_text").alias("text"))
+def texts_behind(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """(digest, text) of the texts whose digests ``wanted`` names, each exactly once.
+
+    Copies of a text collapse where they are read, whatever their ids, so of a text that a
+    third of all rows hold one copy per task moves, and one reaches whoever reads this.
+    """
+    texts = docs.select(digest(text_col).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    once = texts.groupBy("digest").agg(F.first("text").alias("text"))
+    return once.join(wanted.select("digest").hint("merge"), "digest", "left_semi")
 
 
 def read_ledger(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

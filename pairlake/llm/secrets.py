@@ -27,7 +27,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from pairlake.llm.digests import digest, read_ledger, rows_behind
+from pairlake.llm.digests import digest, read_ledger, texts_behind
 from pairlake.session import scratch
 
 SPAN = StructType(
@@ -108,15 +108,10 @@ def scan_secrets(
     version = rules_version(rules)
     paths = docs.select(F.col(id_col).alias("row_id"), digest(text_col).alias("digest"))
     seen = read_ledger(spark, ledger, LEDGER).filter(F.col("version") == version)
-    unseen = (
-        paths.groupBy("digest")
-        .agg(F.min("row_id").alias("row_id"))
-        .join(seen.select("digest"), "digest", "left_anti")
-    )
-    found = scan_blobs(rows_behind(docs, unseen, id_col, text_col), rules)
+    unseen = paths.select("digest").distinct().join(seen.select("digest"), "digest", "left_anti")
+    found = scan_blobs(texts_behind(docs, unseen, text_col), rules)
     (
-        found.dropDuplicates(["digest"])
-        .select("digest", F.lit(version).alias("version"), "spans")
+        found.select("digest", F.lit(version).alias("version"), "spans")
         .write.mode("append")
         .parquet(ledger)
     )

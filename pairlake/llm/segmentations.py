@@ -29,6 +29,8 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -404,16 +406,25 @@ def sample_batch(vocabulary: Vocabulary, keys: np.ndarray, texts: list[str], k:
 
 
 def encode_samples(
-    docs: DataFrame, model: str, k: int = 2, sharpness: float = 1.0, key_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    model: str,
+    k: int = 2,
+    sharpness: float = 1.0,
+    key_col: str = "doc_id",
+    text_col: str = "text",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(key_col, rank, n_pieces, log_prob, perturbed, log_inclusion, ids): up to ``k`` rows
-    per row of ``docs``, rank 1 first. ``model`` is a file that every executor can open."""
+    """(key_col, rank, n_pieces, log_prob, perturbed, log_inclusion, ids, *keep): up to ``k``
+    rows per row of ``docs``, rank 1 first, with its columns ``keep``. ``model`` is a file that
+    every executor can open."""
+    kept = [docs.schema[c] for c in keep]
 
-    def rows_of(keys: list, texts: list[str]) -> pa.RecordBatch:
+    def rows_of(keys: list, texts: list[str], rest: list[pa.Array]) -> pa.RecordBatch:
         plain = np.array([0 if x is None else x for x in keys], np.int64)
         m, searches = sample_batch(_vocabulary(model, sharpness), plain, texts, k)
-        out, paths = [], []
-        for key, s in zip(keys, searches, strict=True):
+        out, paths, which = [], [], []
+        for number, (key, s) in enumerate(zip(keys, searches, strict=True)):
+            which += [number] * len(s.paths)
             kappa = s.best()[0]
             for rank, p in enumerate(s.paths, 1):
                 with np.errstate(over="ignore", divide="ignore"):
@@ -430,27 +441,33 @@ def encode_samples(
         lists = pa.ListArray.from_arrays(pa.array(pieces, pa.int32()), pa.array(ids, pa.int32()))
         arrays = [
             pa.array(column[0], pa.int64()), pa.array(column[1], pa.int32()), pa.array(np.diff(pieces), pa.int64()),
-            *[pa.array(column[c], pa.float64()) for c in (2, 3, 4)], lists,
+            *[pa.array(column[c], pa.float64()) for c in (2, 3, 4)], lists, *[a.take(pa.array(which)) for a in rest],
         ]
-        return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in RESULT.split(", ")])
+        return pa.RecordBatch.from_arrays(arrays, names=[*[f.split()[0] for f in RESULT.split(", ")], *keep])
 
     def run(batches):
         for batch in batches:
-            keys, texts, size = [], [], 0
+            keys, texts, size, begin = [], [], 0, 0
+
+            def rest(begin: int, n: int, batch=batch) -> list[pa.Array]:
+                return [c.slice(begin, n) for c in batch.columns[2:]]
+
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 keys.append(key)
                 texts.append(text)
                 size += len(text)
                 if size >= BATCH_CHARS:
-                    yield rows_of(keys, texts)
+                    yield rows_of(keys, texts, rest(begin, len(keys)))
+                    begin += len(keys)
                     keys, texts, size = [], [], 0
             if keys:
-                yield rows_of(keys, texts)
+                yield rows_of(keys, texts, rest(begin, len(keys)))
         pa.default_memory_pool().release_unused()
 
-    rows = docs.select(F.col(key_col).cast("long"), text_col)
-    return rows.mapInArrow(run, RESULT).withColumnRenamed("row_key", key_col)
+    rows = docs.select(F.col(key_col).cast("long"), text_col, *keep)
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return rows.mapInArrow(run, RESULT + more).withColumnRenamed("row_key", key_col)
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from pairlake.llm.digests import digest, read_ledger, rows_behind
+from pairlake.llm.digests import digest, read_ledger, texts_behind
 from pairlake.session import scratch
 
 CACHE = StructType(
@@ -142,15 +142,10 @@ def count_tokens(
         F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"),
     )
     stored = read_ledger(spark, cache, CACHE).filter(F.col("version") == version)
-    misses = (
-        named.groupBy("digest")
-        .agg(F.min("row_id").alias("row_id"))
-        .join(stored, "digest", "left_anti")
-    )
-    counted = encode_counts(rows_behind(docs, misses, id_col, text_col), tokenizer, drops_space)
+    misses = named.select("digest").distinct().join(stored, "digest", "left_anti")
+    counted = encode_counts(texts_behind(docs, misses, text_col), tokenizer, drops_space)
     (
-        counted.dropDuplicates(["digest"])
-        .select("digest", F.lit(version).alias("version"), "n_tokens")
+        counted.select("digest", F.lit(version).alias("version"), "n_tokens")
         .write.mode("append")
         .parquet(cache)
     )

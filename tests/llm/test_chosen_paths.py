@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 from helpers import documents, prose
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {i: shingles(t) for i, t in rows}
     group = {i: i for i in sets}
     ids = sorted(sets)
@@ -29,7 +31,7 @@ def brute(rows):
         for a in ids:
             for b in ids:
                 both = len(sets[a] & sets[b])
-                if a < b and sets[a] and sets[b] and 100 * both >= 85 * len(sets[a] | sets[b]):
+                if a < b and sets[a] and sets[b] and 100 * both >= percent * len(sets[a] | sets[b]):
                     low = min(group[a], group[b])
                     if group[a] != low or group[b] != low:
                         group[a] = group[b] = low
@@ -72,6 +74,36 @@ def test_repeats_and_empty(spark):
     assert near_duplicates(again.filter(F.lit(False))).collect() == []
 
 
+def test_every_text_of_an_id_links(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(5, a), (5, b + " end"), (9, a + " more"), (3, b), (7, c), (7, c), (8, c + " x"), (6, d), (5, None)]
+    got = {r["doc_id"]: (r["component_id"], r["kept"], r["n_shingles"]) for r in near_duplicates(documents(spark, rows)).collect()}
+    assert {i: g[0] for i, g in got.items()} == {3: 3, 5: 3, 9: 3, 7: 7, 8: 7, 6: 6}
+    assert got[5][1:] == (False, 57) and got[6] == (6, True, 56)
+
+
+def test_tokens_that_nobody_shares_rule_pairs_out(monkeypatch):
+    """Texts of one template: every pair may reach the threshold by signature, none does."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 2**63, 900).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**63, 100).astype(np.uint64)])) for _ in range(60)]
+    near = np.unique(np.concatenate([sets[0][:-20], common[:1]]))
+    sets.append(near)
+    shared = chosen_paths.sharable(sets)
+    for i, s in enumerate(sets):
+        others = np.concatenate([t for j, t in enumerate(sets) if j != i])
+        assert np.isin(s, others).sum() <= shared[i] <= len(s)
+    counted = []
+    monkeypatch.setattr(chosen_paths.np, "searchsorted", lambda a, v, f=np.searchsorted: counted.append(len(v)) or f(a, v))
+    frame = pd.DataFrame(
+        {"unit": 1, "block": 0, "set_id": range(61), "tokens": [s.tobytes() for s in sets],
+         "signature": [m.tobytes() for m in chosen_paths.signatures(sets)]}
+    )
+    links = chosen_paths.do_link(40, 85)(frame)
+    assert links.to_numpy().tolist() == [[0, 60]] and sum(counted) < 60 * 2000
+
+
 def test_long_text(spark):
     rng = random.Random(4)
     text = prose(rng, 60_000)

@@ -10,6 +10,7 @@ from helpers import documents, prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from pairlake.llm.digests import digest, texts_behind
 from pairlake.llm.secrets import redact, rules_version, scan_secrets
 from pairlake.llm.token_counts import count_tokens
 
@@ -85,6 +86,16 @@ def test_redaction(spark):
     assert row.first()["t"] == "#cd#fgh"
 
 
+def test_a_text_is_read_once(spark):
+    rows = [(None, "same text")] * 300 + [(i % 7, "other text") for i in range(300)] + [(3, None), (4, "")]
+    docs = documents(spark, rows).repartition(5)
+    wanted = docs.select(digest("text").alias("digest")).distinct()
+    assert sorted(r["text"] for r in texts_behind(docs, wanted, "text").collect()) == ["", "other text", "same text"]
+    seen = wanted.filter(F.col("digest") != F.unhex(F.sha2(F.lit("same text"), 256)))
+    assert sorted(r["text"] for r in texts_behind(docs, seen, "text").collect()) == ["", "other text"]
+    assert scan_secrets(docs).count() == count_tokens(docs, BPE, drops_space=True).count() == len(rows)
+
+
 COUNTED = [
     (1, "Hello  World, it's 2024!"),
     (2, None),

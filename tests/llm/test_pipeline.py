@@ -47,7 +47,7 @@ def test_one_of_each_group_stays(stages):
     from test_chosen_paths import brute
 
     before = [(r["doc_id"], r["text"]) for r in stages[1].collect()]
-    assert sorted(r["doc_id"] for r in stages[2].collect()) == [i for i, _, _, kept in brute(before) if kept]
+    assert sorted(r["doc_id"] for r in stages[2].collect()) == [i for i, _, _, kept in brute(before, 80) if kept]
 
 
 def test_secrets_are_masked_and_nothing_else(stages):
@@ -71,6 +71,21 @@ def test_mix_repeats_whole_rows(stages):
     assert set(after) <= set(before) and max(map(after.count, set(after))) <= cp.EPOCHS
 
 
+def test_copies_draw_samples_of_their_own(spark):
+    text = "a few words that can be cut in very many ways"
+    docs = spark.createDataFrame(
+        [(1, text, "en", "s", 9)] * 3 + [(1, "other text", "en", "s", 9), (2, text, "en", "s", 9), (None, None, None, None, None)] * 2,
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    rows = cp.sample_pieces(spark, docs, SAMPLE).collect()
+    first = [(r["copy"], len(r["ids"]), r["log_inclusion"]) for r in rows if r["doc_id"] == 1 and r["rank"] == 1]
+    assert sorted(c for c, _, _ in first) == [1, 1, 2, 2, 3]
+    assert len({chance for _, n, chance in first if n > 2}) == 3  # drawn anew for each copy
+    assert sorted(r["copy"] for r in rows if r["doc_id"] is None) == [1, 2]
+    again = cp.sample_pieces(spark, docs.orderBy(F.desc("text")), SAMPLE).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+
+
 def test_last_stage_has_samples_of_every_row(stages):
     rows = stages[5].groupBy("doc_id").agg(F.count("*").alias("n")).collect()
     copies = {r["doc_id"]: r["count"] for r in stages[4].groupBy("doc_id").count().collect()}
