@@ -22,6 +22,7 @@ from pairlake.session import cut, tune
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
 SAMPLES = 2
+SIMILAR = 80  # per cent of the shingles that near copies share
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +33,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id.
+    """Of every group of near copies (four fifths of the shingles of both) the document with
+    the smallest id.
 
     Rows without an id are in no group and stay; rows of one id are one document.
     """
     tune(spark)
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, percent=SIMILAR)
     dropped = found.filter(~F.col("kept")).select("doc_id").hint("merge")  # as many as there are
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
@@ -68,12 +70,23 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, rank, n_pieces, log_prob, log_inclusion, ids): sampled segmentations."""
+    """(doc_id, copy, rank, n_pieces, log_prob, log_inclusion, ids): sampled segmentations.
+
+    Equal rows are copies 1, 2, … of a document, and each copy draws samples of its own.
+    """
     tune(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return encode_samples(docs, model, k=SAMPLES).select(
-        "doc_id", "rank", "n_pieces", "log_prob", "log_inclusion", "ids"
+    rest = [c for c in docs.columns if c != "text"]
+    same = docs.withColumn("_digest", digest("text")).groupBy(*rest, "_digest")
+    counted = same.agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("_copies"))
+    # Copies are dealt by their number: however many there are, no task has them all.
+    copies = (
+        counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+        .repartition("doc_id", "copy")
+        .select("doc_id", "copy", F.xxhash64("doc_id", "copy").alias("seed"), "text")
     )
+    sampled = encode_samples(copies, model, k=SAMPLES, key_col="seed", keep=("doc_id", "copy"))
+    return sampled.select("doc_id", "copy", "rank", "n_pieces", "log_prob", "log_inclusion", "ids")
 
 
 STAGES = [
