@@ -1,5 +1,7 @@
 import random
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairlake.operators import positions as P
@@ -56,6 +58,40 @@ def test_rank_and_previous(spark):
     assert {r["id"]: r["before"] for r in got.collect()} == before
 
 
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_rank_and_previous_go_on_over_tasks(spark, batch):
+    """Groups and ties that span tasks, NULL and NaN among them, against windows."""
+    rnd = random.Random(batch)
+    values = [None, float("nan"), 1.0, 2.0, 2.0, 2.0, 3.0]
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.choice(values), i) for i in range(400)]
+    rows += [("a", 2.0, 1000 + i) for i in range(300)] + [(f"g{i}", 1.0, 2000 + i) for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, v double, id int").repartition(5)
+    window = Window.partitionBy("g").orderBy("v", "id")
+    want = df.select("id", F.rank().over(Window.partitionBy("g").orderBy("v")).alias("r"), F.lag("v").over(window).alias("p"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        spark.conf.set("spark.sql.shuffle.partitions", 13)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        ranked = P.with_rank(df, ["g"], "v", ["v", "id"], "r").select("id", "r").collect()
+        previous = P.with_previous(df, ["g"], ["v", "id"], "v", "p").select("id", "p").collect()
+        alone = P.with_previous(df, [], ["id"], "id", "p").select("id", "p").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    assert {r["id"]: r["r"] for r in ranked} == {r["id"]: r["r"] for r in want.collect()}
+    assert {r["id"]: str(r["p"]) for r in previous} == {r["id"]: str(r["p"]) for r in want.collect()}
+    ids = sorted(r[2] for r in rows)
+    assert dict(map(tuple, alone)) == dict(zip(ids, [None, *ids[:-1]], strict=True))
+
+
+def test_rank_and_previous_of_nothing(spark):
+    none = spark.createDataFrame([], "g string, v double")
+    assert P.with_rank(none, ["g"], "v", ["v"]).collect() == P.with_previous(none, ["g"], ["v"], "v", "p").collect() == []
+
+
 def test_first_per_group(spark):
     data, df = rows(spark)
     for n in (3, 1200):
