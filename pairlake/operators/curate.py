@@ -11,6 +11,7 @@ from pairlake.functions.numbers import exact_round
 from pairlake.functions.text import normalize_question, normalize_sql
 from pairlake.operators.positions import first_per_group, with_positions, with_running_total
 from pairlake.operators.results import DIFFICULTIES
+from pairlake.operators.quantiles import order_statistics
 from pairlake.operators.similarity import find_leaks, greedy_dedupe
 from pairlake.session import cut
 
@@ -227,27 +228,20 @@ def difficulty_histogram(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame
 def length_percentiles(rows: DataFrame, group: str, length: str) -> DataFrame:
     """Per group: median (rounded down), the value at ``int(0.95 * (n - 1))``, maximum.
 
-    Rows are first counted per length, so the window sees distinct lengths only.
+    No group is sorted or held in one task, however large it is.
     """
-    counts = rows.groupBy(group, length).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(group).orderBy(length)
-    total = Window.partitionBy(group)
-    spread = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn(
-        "_total", F.sum("_n").over(total)
-    )
-
-    def at(index: Column) -> Column:
-        """The value at a 0-based index of the sorted list."""
-        hit = (index < F.col("_upto")) & (index >= F.col("_upto") - F.col("_n"))
-        return F.max(F.when(hit, F.col(length)))
-
-    last = F.col("_total") - 1
-    low, high = F.floor(last / 2), F.ceil(last / 2)
-    p95 = F.floor(F.lit(0.95) * last)
-    return spread.groupBy(group).agg(
-        F.floor((at(low) + at(high)) / 2).cast("bigint").alias("p50"),
-        at(p95).cast("bigint").alias("p95"),
-        F.max(length).cast("bigint").alias("max"),
+    targets = {
+        "_low": (0.5, lambda n: F.floor((n - 1) / 2)),
+        "_high": (0.5, lambda n: F.ceil((n - 1) / 2)),
+        "_p95": (0.95, lambda n: F.floor(F.lit(0.95) * (n - 1))),
+    }
+    longest = rows.groupBy(F.col(group).alias("_group")).agg(F.max(length).cast("bigint").alias("max"))
+    found = order_statistics(rows, [group], length, targets)
+    return longest.join(found, F.col("_group").eqNullSafe(F.col(group)), "left").select(
+        F.col("_group").alias(group),
+        F.floor((F.col("_low") + F.col("_high")) / 2).cast("bigint").alias("p50"),
+        F.col("_p95").cast("bigint").alias("p95"),
+        "max",
     )
 
 

@@ -167,7 +167,8 @@ def latency_percentiles(
     """The value at ``min(n - 1, int(q * n))`` of the sorted latencies, one decimal.
 
     Rounding keeps the order, so it comes first: the window then runs over counts per
-    tenth of a millisecond instead of over all rows.
+    tenth of a millisecond instead of over all rows, at most 36 million lines for a run whose
+    slowest answer took an hour.
     """
     counts = (
         rows.filter(F.col(latency).isNotNull())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairlake.operators.merge import not_in
 from pairlake.operators.positions import with_previous, with_rank
+from pairlake.operators.quantiles import percentile
 from pairlake.plans.registry import Tables, query
 
 MONEY = "decimal(12,2)"
@@ -98,11 +99,23 @@ SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r, round(std
 )
 def statistics(t: Tables) -> DataFrame:
     """Correlation, deviation and exact median per return flag."""
-    return t.lineitem.groupBy("l_returnflag").agg(
+    moments = t.lineitem.groupBy("l_returnflag").agg(
         F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"),
         F.round(F.stddev_pop("l_quantity"), 6).alias("sd"),
-        F.round(F.percentile("l_quantity", 0.5), 4).alias("median"),
     )
+    medians = percentile(t.lineitem, ["l_returnflag"], "l_quantity", 0.5, "median")
+    return moments.join(medians, "l_returnflag").withColumn("median", F.round("median", 4))
+
+
+@query(
+    "q2_price_percentiles",
+    """
+SELECT l_linestatus, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1""",
+)
+def price_percentiles(t: Tables) -> DataFrame:
+    """Exact 90th percentile of line prices, nearly all of them different, per status."""
+    found = percentile(t.lineitem, ["l_linestatus"], "l_extendedprice", 0.9, "p90")
+    return found.withColumn("p90", F.round("p90", 4))
 
 
 # --- grouping -----------------------------------------------------------------------------------
