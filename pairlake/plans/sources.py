@@ -183,6 +183,23 @@ def manifest(t: Tables) -> DataFrame:
     return files.verify_manifest(found, pinned)
 
 
+@query(
+    "s7_text_digests",
+    """
+SELECT lang, octet_length(encode(content)) AS length, sha256(content) AS sha256 FROM (
+  SELECT lang, string_agg(sha256(text) || ' ' || doc_id, chr(10) ORDER BY doc_id) || chr(10) AS content
+  FROM documents GROUP BY lang)""",
+)
+def text_digests(t: Tables) -> DataFrame:
+    """One file per language, written as text: digests of small files whole, of large ones in pieces."""
+    folder = scratch(t.spark, "texts")
+    line = F.concat(F.sha2("text", 256), F.lit(" "), F.col("doc_id").cast("string")).alias("value")
+    lines = t.documents.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", line)
+    lines.write.partitionBy("lang").text(folder)
+    found = files.file_digests(t.spark, folder, "part-*", whole=40_000)
+    return found.select(F.regexp_extract("file", "lang=([^/]*)/", 1).alias("lang"), "length", "sha256")
+
+
 @query(
     "s8_replace_source",
     """

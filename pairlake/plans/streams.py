@@ -27,6 +27,26 @@ def incremental_ingest(t: Tables) -> DataFrame:
     return t.spark.read.parquet(sink).select("id", "latency_ms", "tokens_in", "tokens_out")
 
 
+@query(
+    "t1_latest_predictions",
+    f"""
+WITH {roles.LOG} SELECT CAST(id AS VARCHAR) AS id, latency_ms, tokens_in,
+  CASE WHEN latency_ms >= 50 AND latency_ms < 70 THEN tokens_out + 1 ELSE tokens_out END AS tokens_out FROM log""",
+)
+def latest_predictions(t: Tables) -> DataFrame:
+    """Three runs over a growing log folder; the last line of every id counts."""
+    source, sink, checkpoint = (scratch(t.spark, n) for n in ("logs", "sink", "progress"))
+    log = roles.prediction_log(t).select(
+        F.col("id").cast("string").alias("id"), F.lit("SELECT 1;").alias("sql"), "latency_ms", "tokens_out", "tokens_in"
+    )
+    again = log.withColumn("tokens_out", F.col("tokens_out") + 1)
+    for part in (again.filter("latency_ms < 50"), log, again.filter("latency_ms >= 50 and latency_ms < 70")):
+        part.write.mode("append").json(f"{source}/m__r__s.jsonl")
+        ingest.ingest_latest(t.spark, source, sink, checkpoint).awaitTermination()
+    kept = ingest.latest_predictions(t.spark, sink)
+    return kept.select("id", "latency_ms", "tokens_in", "tokens_out")
+
+
 @query(
     "t2_arriving_pairs",
     f"""

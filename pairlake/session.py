@@ -107,6 +107,20 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return files.exists(path)
 
 
+def folders(spark: SparkSession, parent: str) -> list[tuple[str, bool]]:
+    """(name, written to its end) of the folders in ``parent``; none if it does not exist."""
+    path, files = _file_system(spark, parent)
+    if not files.exists(path):
+        return []
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = [f.getPath() for f in files.listStatus(path) if f.isDirectory()]
+    return [(f.getName(), files.exists(done(f, "_SUCCESS"))) for f in found]
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    _drop(spark, folder)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what the running scope (outside of any: this application) has written."""
     _drop(spark, scratch_root(spark))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +22,12 @@ TEST_ITEMS = (
     "difficulty string"
 )
 PREDICTIONS = "id string, sql string, latency_ms double, tokens_out bigint, tokens_in bigint"
+PREDICTION_FIELDS = tuple(f.split()[0] for f in PREDICTIONS.split(", "))
+LOG_ORDER = ("_written", "_path", "_block", "_line")
 # Stands for a quoted empty field while a CSV file is read; no text holds it.
 _QUOTED_EMPTY = "\x00empty\x00"
+# Bytes of a file that Spark reads as one row (it can hold up to 2 GB), and of a streamed piece.
+WHOLE_FILE, PIECE = 256 << 20, 8 << 20
 # ``model__runtime__set.jsonl``, as a file or as the folder that Spark writes.
 _STEM = r"([^/=]+?)__([^/]+?)__([^/]+?)\.jsonl"
 
@@ -33,24 +41,33 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
-def read_predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Prediction logs with ``model, runtime, set`` from the file name.
-
-    A resumed run may append an id again: the last line of a log counts.
-    """
-    lines = spark.read.schema(PREDICTIONS).option("recursiveFileLookup", "true").json(path)
+def read_log_lines(lines: DataFrame) -> DataFrame:
+    """Lines read as ``PREDICTIONS`` with ``model, runtime, set`` from the file name, and where
+    they stand: ``numbered`` completes ``LOG_ORDER``, by which an id's last line is greatest."""
     named = (
         lines.withColumn("_path", F.url_decode(F.col("_metadata.file_path")))
         .withColumn("_written", F.col("_metadata.file_modification_time"))
         .withColumn("_block", F.col("_metadata.file_block_start"))
-        .withColumn("_line", F.monotonically_increasing_id())
     )
     for i, column in enumerate(("model", "runtime", "set"), 1):
         named = named.withColumn(column, F.regexp_extract("_path", _STEM, i))
-    values = [f.strip().split()[0] for f in PREDICTIONS.split(",")]
-    last = F.max_by(F.struct(*values), F.struct("_written", "_path", "_block", "_line"))
+    return named
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("_line", F.monotonically_increasing_id())
+
+
+def read_predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Prediction logs with ``model, runtime, set`` from the file name.
+
+    A resumed run may append an id again: the last line of a log counts.
+    """
+    lines = spark.read.schema(PREDICTIONS).option("recursiveFileLookup", "true").json(path)
+    last = F.max_by(F.struct(*PREDICTION_FIELDS), F.struct(*LOG_ORDER))
     return (
-        named.groupBy("model", "runtime", "set", F.col("id").alias("_id"))
+        numbered(read_log_lines(lines))
+        .groupBy("model", "runtime", "set", F.col("id").alias("_id"))
         .agg(last.alias("p"))
         .select("p.*", "model", "runtime", "set")
     )
@@ -92,22 +109,40 @@ def open_upload(spark: SparkSession, path: str) -> str:
     return view
 
 
-def file_digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+def file_digests(
+    spark: SparkSession, root: str, pattern: str = "*", whole: int = WHOLE_FILE
+) -> DataFrame:
     """``file, length, sha256`` of every file under ``root`` whose name fits ``pattern``.
 
-    ``file`` is the path below ``root``, so equal names in two folders stay apart. A file
-    is one row; Spark reads files of up to 2 GB this way.
+    ``file`` is the path below ``root``, so equal names in two folders stay apart. Files of up
+    to ``whole`` bytes are read by Spark, one row each. Larger ones are streamed through a
+    digest in pieces, one task per file and never more than a piece in memory; they must be
+    in a store that pyarrow opens too (local, HDFS, S3, GCS). Spark lists no empty files.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = reader.option("pathGlobFilter", pattern).load(root)
     below = F.concat(F.lit("/"), F.lit(root.strip("/").split("://")[-1].strip("/")), F.lit("/"))
-    return files.select(
-        F.substring(
-            F.url_decode("path"), F.instr(F.url_decode("path"), below) + F.length(below), F.length("path")
-        ).alias("file"),
-        "length",
-        F.sha2("content", 256).alias("sha256"),
-    )
+    name = F.substring(
+        "path", F.instr("path", below) + F.length(below), F.length("path")
+    ).alias("file")
+    small = files.filter(F.col("length") <= whole).select(name, "length", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > whole).select(name, "length", "path")
+    # One task per file: a digest cannot be taken in parts.
+    spread = large.repartition("path")
+    return small.unionByName(spread.mapInArrow(_stream_digests, "file string, length bigint, sha256 string"))
+
+
+def _stream_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from urllib.parse import quote
+
+    for batch in batches:
+        for name, length, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            store, place = pa_fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", quote(path, safe="/:")))
+            seen = hashlib.sha256()
+            with store.open_input_stream(place) as stream:
+                while piece := stream.read(PIECE):
+                    seen.update(piece)
+            yield pa.RecordBatch.from_pylist([{"file": name, "length": length, "sha256": seen.hexdigest()}])
 
 
 def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:

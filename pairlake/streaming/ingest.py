@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pairlake.operators.merge import upsert
 from pairlake.operators.similarity import find_leaks, index_tests
 from pairlake.session import cut, scratch_scope
-from pairlake.sources.files import PREDICTIONS
+from pairlake.sources.files import LOG_ORDER, PREDICTION_FIELDS, PREDICTIONS, numbered, read_log_lines
+from pairlake.streaming.keyed import KeyedTable
 
 # State grows with the number of ids, so it lives on disk next to the checkpoint.
 _STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -20,9 +21,8 @@ def ingest_predictions(
 ) -> StreamingQuery:
     """Append new JSON prediction lines to ``sink``, one row per id; resumable.
 
-    The first line of an id is kept here (a log may be read in many runs); the batch
-    reader of a finished log keeps the last one. Ids never expire, so there is no
-    watermark.
+    The first line of an id is kept here, and the state grows with the ids, which never
+    expire. ``ingest_latest`` keeps the last line, as the batch reader does, and no state.
     """
     own = spark.newSession()  # the caller's state store setting stays as it is
     own.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_STORE)
@@ -37,6 +37,40 @@ def ingest_predictions(
     )
 
 
+LOG_KEYS = ("model", "runtime", "set", "id")
+
+
+def ingest_latest(spark: SparkSession, source: str, sink: str, checkpoint: str) -> StreamingQuery:
+    """Keep the last line of every id of the logs in ``source``; resumable.
+
+    Whatever the runs and batches in which lines come, ``latest_predictions`` gives what
+    ``read_predictions`` reads from the finished logs. A batch writes its own ids only.
+    """
+    table = _predictions(spark, sink)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        table.add(numbered(batch).select(*LOG_KEYS, *[f for f in PREDICTION_FIELDS if f != "id"], *LOG_ORDER), number)
+
+    lines = spark.readStream.schema(PREDICTIONS).option("recursiveFileLookup", "true").json(source)
+    return (
+        read_log_lines(lines)
+        .writeStream.foreachBatch(keep)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def _predictions(spark: SparkSession, sink: str) -> KeyedTable:
+    return KeyedTable(spark, sink, LOG_KEYS, LOG_ORDER)
+
+
+def latest_predictions(spark: SparkSession, sink: str) -> DataFrame | None:
+    """What ``ingest_latest`` has kept so far, in the columns of ``read_predictions``."""
+    found = _predictions(spark, sink).latest()
+    return found if found is None else found.select(*PREDICTION_FIELDS, "model", "runtime", "set")
+
+
 def filter_new_pairs(
     spark: SparkSession,
     source: str,
@@ -49,11 +83,12 @@ def filter_new_pairs(
     """Leak-check arriving pairs against the test set and keep a report per batch.
 
     Each batch overwrites its own folder, so a repeated batch changes nothing:
-    ``accepted/batch=<n>`` holds its clean pairs, ``report/batch=<n>`` the whole report so
-    far, in which the batch's lines (pairs and leaks per database) replaced older ones.
+    ``accepted/batch=<n>`` holds its clean pairs; ``report`` is a keyed table to which a batch
+    adds its own lines (pairs and leaks per database), which replace older ones when read.
     """
 
     index = index_tests(tests)
+    lines = _report(spark, report)
 
     def check(batch: DataFrame, number: int) -> None:
         with scratch_scope(spark):
@@ -68,9 +103,7 @@ def filter_new_pairs(
             fresh = judged.groupBy("db_id").agg(
                 F.count(F.lit(1)).alias("pairs"), F.count_if("leak").alias("leaks")
             )
-            earlier = _report_before(spark, report, number)
-            lines = fresh if earlier is None else refresh_report(earlier, fresh)
-            cut(lines).write.mode("overwrite").parquet(f"{report}/batch={number}")
+            lines.add(fresh, number)
 
     arriving = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(source)
     return (
@@ -81,19 +114,14 @@ def filter_new_pairs(
     )
 
 
-def _report_before(spark: SparkSession, report: str, number: int | None = None) -> DataFrame | None:
-    """The report as of the last batch (before batch ``number``), or None if there is none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(report)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
-    batches = [int(n.split("=")[1]) for n in names if n.startswith("batch=")]
-    done = [b for b in batches if number is None or b < number]
-    return spark.read.parquet(f"{report}/batch={max(done)}") if done else None
+def _report(spark: SparkSession, report: str) -> KeyedTable:
+    return KeyedTable(spark, report, ["db_id"])
 
 
-def latest_report(spark: SparkSession, report: str) -> DataFrame:
+def latest_report(spark: SparkSession, report: str) -> DataFrame | None:
     """Per database the line of the last batch that brought it pairs."""
-    return _report_before(spark, report).select("db_id", "pairs", "leaks")
+    found = _report(spark, report).latest()
+    return found if found is None else found.select("db_id", "pairs", "leaks")
 
 
 def refresh_report(report: DataFrame, fresh: DataFrame) -> DataFrame:

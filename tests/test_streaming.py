@@ -1,10 +1,14 @@
 import json
+import random
 
-from pairlake.streaming import ingest
+from pyspark.sql import functions as F
+
+from pairlake.sources import files
+from pairlake.streaming import ingest, keyed
 
 
 def write(path, rows):
-    path.parent.mkdir(exist_ok=True)
+    path.parent.mkdir(exist_ok=True, parents=True)
     path.write_text("\n".join(map(json.dumps, rows)), encoding="utf-8")
 
 
@@ -20,6 +24,27 @@ def test_ingest_is_resumable(spark, tmp_path):
     assert set(got) == {"x", "y", "z"} and got["y"] == "2"
 
 
+def test_the_last_line_of_an_id_is_kept(spark, tmp_path, monkeypatch):
+    """A log resumed in many runs gives what the batch reader reads; with compactions."""
+    monkeypatch.setattr(keyed, "COMPACT_EVERY", 3)
+    source, sink, progress = (str(tmp_path / n) for n in ("log", "sink", "progress"))
+    rnd = random.Random(4)
+    assert ingest.latest_predictions(spark, sink) is None
+    for run in range(6):
+        for model in ("m1", "m2")[: 1 + run % 2]:
+            rows = [{"id": f"i{rnd.randrange(8)}", "sql": f"{run}.{n}", "tokens_out": n if n % 3 else None} for n in range(6)]
+            write(tmp_path / "log" / f"{model}__app__s{run // 3}.jsonl" / f"part-{run}.json", rows)
+        ingest.ingest_latest(spark, source, sink, progress).awaitTermination()
+        kept = sorted(map(str, ingest.latest_predictions(spark, sink).collect()))
+        assert kept == sorted(map(str, files.read_predictions(spark, source).collect())) and kept
+    names = sorted(p.name for p in (tmp_path / "sink").iterdir())
+    assert names == ["base=5"]
+    # A batch that is repeated after it was merged changes nothing.
+    table = keyed.KeyedTable(spark, sink, ingest.LOG_KEYS, files.LOG_ORDER)
+    table.add(spark.read.parquet(f"{sink}/base=5").withColumn("sql", F.lit("changed")).drop("_batch"), 4)
+    assert sorted(map(str, ingest.latest_predictions(spark, sink).collect())) == kept
+
+
 def test_arriving_pairs_are_checked(spark, tmp_path):
     tests = spark.createDataFrame([("t", "db", "How many lakes?", "S;")], "id string, db_id string, question string, gold_sql string")
     source, accepted, report, progress = (str(tmp_path / n) for n in ("in", "ok", "report", "progress"))

@@ -132,6 +132,21 @@ def test_manifest(spark, tmp_path):
     assert got == {"a.txt": "ok", "b.txt": "changed", "c.txt": "unpinned", "d.txt": "missing"}
 
 
+def test_large_files_are_digested_in_pieces(spark, tmp_path, monkeypatch):
+    import hashlib
+    import random
+
+    monkeypatch.setattr(files, "PIECE", 1000)
+    rnd = random.Random(1)
+    contents = {"a b%20é.bin": rnd.randbytes(50_000), "sub/one": b"1", "sub/two": rnd.randbytes(999), "x,y": rnd.randbytes(1001)}
+    for name, data in contents.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    for whole in (0, 1000, 10**9):
+        got = {r["file"]: (r["length"], r["sha256"]) for r in files.file_digests(spark, str(tmp_path), whole=whole).collect()}
+        assert got == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in contents.items()}, whole
+
+
 def test_prediction_logs_keep_the_last_line(spark, tmp_path):
     log = tmp_path / "tiny-0.5b-v2__torch-cpu__own_test.jsonl"
     lines = [{"id": "a", "sql": "1"}, {"id": "b", "sql": "2", "tokens_in": 4}, {"id": "a", "sql": "3", "latency_ms": 5}]
