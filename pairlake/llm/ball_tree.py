@@ -1,19 +1,22 @@
 """Exact top-k inner products: branch and bound over one ball tree per shard.
 
 The index is a table with one row per shard: vectors in leaf order, and the nodes' centres
-and radii. A query cannot score more than ``q·centre + |q|·radius`` in a ball, so a leaf is
-bounded by the least of that along its path. Queries visit the leaves of a shard in falling
-order of their bounds and stop when the next bound is below the k-th score they know.
+and radii. A query cannot score more than ``q·centre + |q|·radius`` in a ball, nor more than
+in the ball around it. Every query walks down from the root: of the nodes it has in reach it
+opens the one with the highest bound, which brings its two children, or a leaf's scores; when
+the highest bound is below the k-th score it knows, it is done, and whatever lies below the
+nodes left is never looked at, nor bounded.
 
-Shards share that score: every block of queries first searches one shard, and starts in all
-others with the k-th score found there.
+Shards share that score: a block of queries searches one shard first, then two, four and so
+on, and starts in each with the k-th score found in all before.
 
 Scores are exact: integers are multiplied as doubles only where all partial sums stay below
-2**53, as 64-bit integers otherwise.
+2**53, as 64-bit integers below 2**63, as Python's integers otherwise.
 
 Defined cases: see ``vectors.usable`` for what takes part; vectors of different length never
-meet; a query is not its own candidate; ties go to the smaller id; an empty table gives an
-empty result.
+meet; a query is not its own candidate; ties go to the smaller id; scores that 64 bits cannot
+hold count as the largest or smallest number that they can; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pairlake.session import cut
 SHARD_ROWS = 4096
 BLOCK_ROWS = 1024
 LEAF_ROWS = 64
-NONE = -(2**62)  # below every score, and safe to negate
+NONE = np.iinfo(np.int64).min  # no score: no product is as small
 INDEX = (
     "dim int, shard long, ids binary, matrix binary, centres binary, radii binary, "
     "parents binary, leaf_nodes binary, leaf_starts binary"
@@ -79,54 +82,82 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
 
 def _products(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Exact inner products as int64."""
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(points).max(initial=0))
+    """Exact inner products as int64, clipped to it where they leave it."""
+    most = int(np.abs(queries.astype(np.float64)).max(initial=0)) * int(np.abs(points.astype(np.float64)).max(initial=0))
     if most * queries.shape[1] < 2**53:
         return (queries.astype(np.float64) @ points.astype(np.float64).T).astype(np.int64)
-    return queries @ points.T
+    if most * queries.shape[1] < 2**62:
+        return queries @ points.T
+    exact = queries.astype(object) @ points.astype(object).T
+    return np.clip(exact, NONE + 1, np.iinfo(np.int64).max).astype(np.int64)
+
+
+class Tree:
+    """One shard's tree, opened node by node."""
+
+    def __init__(self, row: dict):
+        self.ids, self.points = unpack(row, "int64")
+        self.radii = np.frombuffer(row["radii"], np.float64)
+        self.centres = np.frombuffer(row["centres"], np.float64).reshape(len(self.radii), -1)
+        parents = np.frombuffer(row["parents"], np.int64)
+        self.children: list[list[int]] = [[] for _ in parents]
+        for node in range(1, len(parents)):
+            self.children[parents[node]].append(node)
+        starts = np.frombuffer(row["leaf_starts"], np.int64)
+        leaves = np.frombuffer(row["leaf_nodes"], np.int64).tolist()
+        self.rows = {leaf: slice(a, b) for leaf, a, b in zip(leaves, starts[:-1], starts[1:], strict=True)}
+
+    def bound(self, node: int, queries: np.ndarray, length: np.ndarray) -> np.ndarray:
+        most = queries @ self.centres[node] + length * self.radii[node]
+        return most + 1e-9 * (1 + np.abs(most)) + 1e-6  # rounding must not cut a branch
+
+
+def search_tree(tree: Tree, q_ids: np.ndarray, queries: np.ndarray, known: np.ndarray, k: int):
+    """(scores, ids, nodes bounded): the ``k`` best of every query, as far as they may be
+    among its best overall, whose k-th score so far is ``known``."""
+    exact = queries.astype(np.float64)
+    length = np.sqrt((exact**2).sum(axis=1))
+    reach = np.full((len(q_ids), len(tree.radii)), -np.inf)
+    reach[:, 0] = tree.bound(0, exact, length)
+    bounded = len(q_ids)
+    scores = np.full((len(q_ids), k), NONE)
+    found = np.full((len(q_ids), k), np.iinfo(np.int64).max)
+    active = np.arange(len(q_ids))
+    while len(active):
+        pick = reach[active].argmax(axis=1)
+        best_left = reach[active, pick]
+        floor = np.maximum(known[active], scores[active, -1])
+        going = (best_left > -np.inf) & (best_left >= floor)
+        active, pick, best_left, floor = active[going], pick[going], best_left[going], floor[going]
+        reach[active, pick] = -np.inf
+        for node in np.unique(pick).tolist():
+            here = pick == node
+            who = active[here]
+            for child in tree.children[node]:
+                inner = tree.bound(child, exact[who], length[who])
+                reach[who, child] = np.minimum(inner, best_left[here])
+                bounded += len(who)
+            if node in tree.rows:
+                part = tree.rows[node]
+                new = _products(queries[who], tree.points[part])
+                new[tree.ids[part][None, :] == q_ids[who][:, None]] = NONE
+                better = np.flatnonzero(new.max(axis=1) >= floor[here])
+                if len(better):
+                    rows = who[better]
+                    both = np.hstack([scores[rows], new[better]])
+                    names = np.hstack([found[rows], np.broadcast_to(tree.ids[part], new[better].shape)])
+                    scores[rows], found[rows] = top_rows(both, names, k)
+    return scores, found, bounded
 
 
 def search_shard(row: dict, k: int) -> pd.DataFrame:
     """The best candidates of a block of queries in a shard that may still be among the k."""
-    ids, points = unpack(row, "int64")
     q_ids = np.frombuffer(row["q_ids"], np.int64)
     queries = np.frombuffer(row["q_matrix"], np.int64).reshape(len(q_ids), -1)
     known = np.full(len(q_ids), NONE)
     if row.get("known") is not None:
-        known = np.frombuffer(row["known"], np.int64).copy()
-    radii, parents = np.frombuffer(row["radii"], np.float64), np.frombuffer(row["parents"], np.int64)
-    centres = np.frombuffer(row["centres"], np.float64).reshape(len(radii), -1)
-    leaves, starts = np.frombuffer(row["leaf_nodes"], np.int64), np.frombuffer(row["leaf_starts"], np.int64)
-
-    exact = queries.astype(np.float64)
-    length = np.sqrt((exact**2).sum(axis=1))
-    bounds = exact @ centres.T + length[:, None] * radii
-    bounds += 1e-9 * (1 + np.abs(bounds)) + 1e-6  # rounding must not cut a branch
-    for node in range(1, len(parents)):  # parents come before their children
-        np.minimum(bounds[:, node], bounds[:, parents[node]], out=bounds[:, node])
-    bounds = bounds[:, leaves]
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    ranked = np.take_along_axis(bounds, order, 1)
-
-    scores = np.full((len(q_ids), k), NONE)
-    found = np.full((len(q_ids), k), np.iinfo(np.int64).max)
-    for turn in range(len(leaves)):
-        floor = np.maximum(known, scores[:, -1])
-        active = np.flatnonzero(ranked[:, turn] >= floor)
-        if not len(active):
-            break
-        at = order[active, turn]
-        for leaf in np.unique(at):
-            who = active[at == leaf]
-            part = slice(starts[leaf], starts[leaf + 1])
-            new = _products(queries[who], points[part])
-            new[ids[part][None, :] == q_ids[who][:, None]] = NONE
-            better = np.flatnonzero(new.max(axis=1) >= floor[who])
-            if len(better):
-                rows = who[better]
-                both = np.hstack([scores[rows], new[better]])
-                names = np.hstack([found[rows], np.broadcast_to(ids[part], new[better].shape)])
-                scores[rows], found[rows] = top_rows(both, names, k)
+        known = np.frombuffer(row["known"], np.int64)
+    scores, found, _ = search_tree(Tree(row), q_ids, queries, known, k)
     keep = (scores >= known[:, None]) & (scores > NONE)
     at = np.nonzero(keep)
     return pd.DataFrame({"query_id": q_ids[at[0]], "vec_id": found[keep], "score": scores[keep]})
@@ -147,25 +178,29 @@ def top_k(
     blocks = cut(pack(queries, "block", block_rows, "int64"))
     out = "query_id long, vec_id long, score long"
     counts = shards.groupBy("dim").agg(F.max("shard").alias("last"))
-    pairs = (
+    # Shards in turn from one that differs from block to block: the first is turn 0.
+    turn = F.pmod(F.col("shard") - F.col("block"), F.col("last") + 1)
+    pairs = cut(
         blocks.select("dim", "block")
         .join(counts, "dim")
         .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-        .withColumn("first", F.col("shard") == F.col("block") % (F.col("last") + 1))
-        .drop("last")
+        .select("dim", "block", "shard", turn.alias("turn"))
     )
     tasks = max(2, shards.count())
-    search = lambda frame: run_units(frame, lambda row: search_shard(row, k), out)
-    home = cut(search(units(shards, blocks, pairs.filter("first").drop("first"), tasks)))
-    kth = (
-        best(home, k, F.col("score"))
-        .groupBy("query_id")
-        .agg(F.min("score").alias("known"), F.count("*").alias("n"))
-        .filter(F.col("n") == k)
-    )
-    shared = _with_known(blocks, kth)
-    rest = search(units(shards, shared, pairs.filter(~F.col("first")).drop("first"), tasks))
-    ranked = best(home.unionByName(rest), k, F.col("score"))
+    turns = pairs.agg(F.max("turn")).first()[0]
+    ranked = best(shards.sparkSession.createDataFrame([], out), k, F.col("score"))
+    begin, end = 0, 1
+    while turns is not None and begin <= turns:
+        kth = (
+            ranked.groupBy("query_id")
+            .agg(F.min("score").alias("known"), F.count("*").alias("n"))
+            .filter(F.col("n") == k)
+        )
+        asked = _with_known(blocks, kth) if begin else blocks
+        wave = pairs.filter((F.col("turn") >= begin) & (F.col("turn") < end)).drop("turn")
+        found = run_units(units(shards, asked, wave, tasks), lambda row: search_shard(row, k), out)
+        ranked = cut(best(ranked.drop("rank").unionByName(found), k, F.col("score")))
+        begin, end = end, 2 * end + 1
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -91,8 +91,8 @@ def best(found: DataFrame, k: int, score: Column) -> DataFrame:
 def top_rows(
     scores: np.ndarray, ids: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the ``k`` highest scores with their ids, ties to the smaller id."""
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    """Per row the ``k`` highest whole scores with their ids, ties to the smaller id."""
+    order = np.lexsort((ids, ~scores), axis=1)[:, :k]  # ~ turns the order and never overflows
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
