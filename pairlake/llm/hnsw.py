@@ -1,9 +1,12 @@
 """Approximate nearest neighbours: one navigable small-world graph per shard, results merged.
 
 The index is a table with one row per shard: ids, vectors, and the graph's levels as flat
-neighbour arrays (level 0 first; ``width`` slots per node, -1 where a slot is free). Every
-shard fits into a task, so a node's candidates at insertion are its nearest earlier nodes,
-found by blocked products, of which a diverse choice is linked both ways.
+neighbour arrays (level 0 first; ``width`` slots per node, -1 where a slot is free). Levels
+are built from the top. A node is inserted into a level by walking it: down the levels above,
+which gives a node to begin with, and through the graph as it stands, with a beam of
+``CANDIDATES`` nodes; of those met a diverse choice is linked both ways. Nodes are inserted a
+batch at a time, never more than an eighth of those already there, and walk together; they
+see each other besides.
 
 A search descends greedily from the entry node to level 1 and sweeps level 0 with a beam of
 ``ef`` nodes; all queries of a block move together. Vectors are normalised to unit length
@@ -32,7 +35,8 @@ from pairlake.session import cut
 SHARD_ROWS = 4096
 BLOCK_ROWS = 512
 LINKS = 16  # links of a node on upper levels; twice as many on level 0
-CANDIDATES = 64  # earlier nodes considered at insertion
+CANDIDATES = 64  # nodes that a walk at insertion keeps
+BATCH = 128  # nodes inserted together, at most
 BEAM = 96
 INDEX = (
     "dim int, shard long, ids binary, matrix binary, entry long, sizes binary, members binary, "
@@ -61,39 +65,65 @@ def _diverse(near: np.ndarray, sims: np.ndarray, between: np.ndarray, most: int)
     return near[chosen].tolist()
 
 
-def build_level(points: np.ndarray, width: int, candidates: int) -> np.ndarray:
-    """Neighbour array (n × width) of one level; nodes are inserted in the order of rows."""
-    n = len(points)
-    links: list[list[int]] = [[] for _ in range(n)]
-    half = max(1, width // 2)
+class Level:
+    """One level of a graph: neighbours of its nodes (rows of ``points``), free slots -1."""
 
-    def prune(node: int) -> list[int]:
-        held = np.array(links[node])
-        vectors = points[held]
-        close = vectors @ points[node]
-        order = np.lexsort((held, -close))
+    def __init__(self, points: np.ndarray, width: int):
+        self.points, self.width = points, width
+        # Lists grow a little beyond the width and are pruned now and then, not every time.
+        self.links = np.full((len(points), width + width // 2), -1, np.int32)
+        self.held = np.zeros(len(points), np.int32)
+
+    def _choose(self, node: int, near: np.ndarray, most: int) -> list[int]:
+        vectors = self.points[near]
+        close = vectors @ self.points[node]
+        order = np.lexsort((near, -close))
         vectors = vectors[order]
-        return _diverse(held[order], close[order], vectors @ vectors.T, width)
-
-    for begin in range(0, n, 256):
-        end = min(n, begin + 256)
-        sims = points[begin:end] @ points[:end].T
-        for node in range(max(begin, 1), end):
-            row = sims[node - begin, :node]
-            near = np.argpartition(-row, candidates)[:candidates] if node > candidates else np.arange(node)
-            near = near[np.lexsort((near, -row[near]))]
-            own = points[near]
-            links[node] = _diverse(near, row[near], own @ own.T, half)
-            for other in links[node]:
-                links[other].append(node)
-                if len(links[other]) > width + width // 2:  # pruned now and then, not every time
-                    links[other] = prune(other)
-    flat = np.full((n, width), -1, np.int32)
-    for node, held in enumerate(links):
-        if len(held) > width:
-            held = prune(node)
-        flat[node, : len(held)] = held
-    return flat
+        return _diverse(near[order], close[order], vectors @ vectors.T, most)
+
+    def _set(self, node: int, chosen: list[int]) -> None:
+        self.links[node] = -1
+        self.links[node, : len(chosen)] = chosen
+        self.held[node] = len(chosen)
+
+    def insert(self, node: int, near: np.ndarray) -> None:
+        """Link ``node`` and a diverse choice of ``near`` both ways."""
+        if not len(near):
+            return
+        self._set(node, self._choose(node, near, max(1, self.width // 2)))
+        for other in self.links[node, : self.held[node]].tolist():
+            if self.held[other] == self.links.shape[1]:
+                self._set(other, self._choose(other, self.links[other], self.width))
+            self.links[other, self.held[other]] = node
+            self.held[other] += 1
+
+    def flat(self) -> np.ndarray:
+        for node in np.flatnonzero(self.held > self.width).tolist():
+            self._set(node, self._choose(node, self.links[node, : self.held[node]], self.width))
+        return self.links[:, : self.width]
+
+
+def build_level(points: np.ndarray, width: int, candidates: int, begins: np.ndarray) -> np.ndarray:
+    """Neighbour array (n × width) of one level; nodes are inserted in the order of rows.
+
+    ``begins`` are the nodes where the walks begin.
+    """
+    level, n, done = Level(points, width), len(points), 0
+    while done < n:
+        batch = np.arange(done, min(n, done + max(1, min(BATCH, done // 8))))
+        between = points[batch] @ points[batch].T
+        if done:
+            queries = points[batch]
+            at = np.where(begins[batch] < done, begins[batch], 0)  # a node that is there already
+            sims = np.einsum("qd,qd->q", queries, points[at])
+            _, met = sweep(points, level.links, at, sims, queries, min(candidates, done))
+        for row, node in enumerate(batch.tolist()):
+            near = met[row][met[row] >= 0] if done else np.zeros(0, np.int64)
+            # Earlier nodes of the batch are candidates too, the nearest of them.
+            own = np.argsort(-between[row, :row], kind="stable")[:candidates]
+            level.insert(node, np.concatenate([near, batch[own]]))
+        done = int(batch[-1]) + 1
+    return level.flat()
 
 
 def build_graph(ids: np.ndarray, matrix: np.ndarray, links: int = LINKS, candidates: int = CANDIDATES):
@@ -104,13 +134,24 @@ def build_graph(ids: np.ndarray, matrix: np.ndarray, links: int = LINKS, candida
     spread ^= spread >> np.uint64(32)
     draw = ((spread * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(11)).astype(np.float64) / 2**53
     level = np.floor(-np.log(np.maximum(draw, 1e-300)) / np.log(links)).astype(int)
+    # Nodes of higher levels come first in every level: walks from above begin at nodes
+    # that are there already.
+    order = np.argsort(-level, kind="stable")
     members, neighbours = [], []
-    for step in range(level.max() + 1):
-        held = np.flatnonzero(level >= step).astype(np.int32)
-        flat = build_level(points[held], 2 * links if step == 0 else links, candidates)
-        members.append(held)
-        neighbours.append(np.where(flat >= 0, held[np.maximum(flat, 0)], -1).astype(np.int32))
-    return int(members[-1][0]), [len(m) for m in members], members, neighbours
+    for step in range(level.max(), -1, -1):
+        held = order[: int((level >= step).sum())].astype(np.int32)
+        place = np.full(len(points), -1)
+        place[held] = np.arange(len(held))
+        if members:
+            begins = place[descend(points, int(order[0]), members[::-1], neighbours[::-1], points[held], 0)[0]]
+        else:
+            begins = np.zeros(len(held), np.int64)
+        flat = build_level(points[held], 2 * links if step == 0 else links, candidates, begins)
+        by_node = np.argsort(held)  # level 0 is looked up by node
+        members.append(held[by_node])
+        neighbours.append(np.where(flat >= 0, held[np.maximum(flat, 0)], -1).astype(np.int32)[by_node])
+    members, neighbours = members[::-1], neighbours[::-1]
+    return int(order[0]), [len(m) for m in members], members, neighbours
 
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -129,13 +170,13 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return run_units(pack(vectors, "shard", shard_rows, "float64"), grow, INDEX)
 
 
-def search_graph(points, entry, members, neighbours, queries, ef: int) -> tuple[np.ndarray, np.ndarray]:
-    """(similarities, nodes), ``ef`` per query, nearest first; -inf where fewer were met."""
+def descend(points, entry, members, neighbours, queries, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, similarity) per query: greedily from the entry through the levels down to ``last``."""
     n, asked = len(points), len(queries)
     everyone = np.arange(asked)
     at = np.full(asked, entry)
     sims = queries @ points[entry]
-    for step in range(len(members) - 1, 0, -1):
+    for step in range(len(members) - 1, last - 1, -1):
         place = np.full(n, -1)
         place[members[step]] = np.arange(len(members[step]))
         moving = everyone
@@ -148,6 +189,16 @@ def search_graph(points, entry, members, neighbours, queries, ef: int) -> tuple[
             moving, to, around, close = moving[nearer], to[nearer], around[nearer], close[nearer]
             rows = np.arange(len(moving))
             at[moving], sims[moving] = around[rows, to], close[rows, to]
+    return at, sims
+
+
+def sweep(points, links, at, sims, queries, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """(similarities, nodes), ``ef`` per query, nearest first; -inf and -1 where fewer were met.
+
+    The beams begin at the nodes ``at`` (with similarities ``sims``) and follow ``links``.
+    """
+    n, asked = len(points), len(queries)
+    everyone = np.arange(asked)
     beam = np.full((asked, ef), -1)
     score = np.full((asked, ef), -np.inf)
     done = np.ones((asked, ef), bool)
@@ -163,7 +214,7 @@ def search_graph(points, entry, members, neighbours, queries, ef: int) -> tuple[
         if not len(moving):
             break
         done[moving, pick] = True
-        around = neighbours[0][beam[moving, pick]]
+        around = links[beam[moving, pick]]
         fresh = (around >= 0) & ~visited[moving[:, None], np.maximum(around, 0)]
         rows, cols = np.nonzero(fresh)
         visited[moving[rows], around[rows, cols]] = True
@@ -181,7 +232,14 @@ def search_graph(points, entry, members, neighbours, queries, ef: int) -> tuple[
         beam[who] = np.take_along_axis(all_nodes, order, 1)
         done[who] = np.take_along_axis(all_done, order, 1) | (score[who] == -np.inf)
     order = np.lexsort((beam, -score), axis=1)
-    return np.take_along_axis(score, order, 1), np.take_along_axis(beam, order, 1)
+    score, beam = np.take_along_axis(score, order, 1), np.take_along_axis(beam, order, 1)
+    return score, np.where(score > -np.inf, beam, -1)
+
+
+def search_graph(points, entry, members, neighbours, queries, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """(similarities, nodes), ``ef`` per query, nearest first."""
+    at, sims = descend(points, entry, members, neighbours, queries, 1)
+    return sweep(points, neighbours[0], at, sims, queries, ef)
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlake.llm.ball_tree import top_k, whole_numbers
-from pairlake.llm.hnsw import directions, nearest
+from pairlake.llm.ball_tree import NONE, Tree, build_tree, search_tree, top_k, whole_numbers
+from pairlake.llm.hnsw import LINKS, build_graph, directions, nearest, search_graph
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 ODD = [
@@ -40,6 +40,37 @@ def test_top_k_is_exact(spark, kind):
     assert [f for f in found if f[0] != 905] == want
 
 
+def test_subtrees_below_the_known_score_are_not_looked_at():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(16, 6)) * 1000
+    points = np.floor(centres[np.arange(4096) % 16] + rng.normal(size=(4096, 6))).astype(np.int64)
+    order, *tree = build_tree(points)
+    names = ["centres", "radii", "parents", "leaf_nodes", "leaf_starts"]
+    row = {n: np.ascontiguousarray(x).tobytes() for n, x in zip(names, tree, strict=True)}
+    index = Tree(row | {"ids": order.tobytes(), "matrix": points[order].tobytes()})
+    q_ids = np.arange(0, 4096, 64)
+    nothing = np.full(len(q_ids), NONE)
+    scores, found, bounded = search_tree(index, q_ids, points[q_ids], nothing, 5)
+    every = points[q_ids] @ points.T
+    every[np.arange(len(q_ids)), q_ids] = np.iinfo(np.int64).min
+    assert (scores == np.sort(every, axis=1)[:, ::-1][:, :5]).all()
+    assert bounded < 0.5 * len(q_ids) * len(index.radii)
+    # With the k-th score from elsewhere still less is opened, and nothing at all above the best.
+    again, _, fewer = search_tree(index, q_ids, points[q_ids], scores[:, -1].copy(), 5)
+    assert (again == scores).all() and fewer <= bounded
+    none, _, least = search_tree(index, q_ids, points[q_ids], np.full(len(q_ids), 2**62), 5)
+    assert (none == NONE).all() and least == len(q_ids)
+
+
+def test_scores_beyond_64_bits(spark):
+    rows = [(0, [1e17, 1.0], 0), (1, [1e17, 2.0], 0), (2, [-1e17, 0.0], 0), (3, [1e30, 0.0], 0), (4, [2.0, 3.0], 0)]
+    df = whole_numbers(spark.createDataFrame(rows, SCHEMA), 1.0)
+    got = [tuple(r)[2:] for r in sorted(top_k(df, df.filter("vec_id = 0"), 20, shard_rows=2).collect())]
+    top, low = 2**63 - 1, -(2**63) + 1
+    big = int(np.float64(np.float32(1e17)))
+    assert got == [(1, top), (3, top), (4, 2 * big + 3), (2, low)]
+
+
 def test_fewer_candidates_than_k(spark):
     df = whole_numbers(table(spark, np.eye(3, 2)), 1.0)
     got = sorted(map(tuple, top_k(df, df.filter("vec_id = 0"), 20).collect()))
@@ -81,6 +112,24 @@ def test_recall_of_the_graph(spark, kind):
     assert hits / total >= 0.95
 
 
+def test_graph_grows_by_walking():
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(1200, 12))
+    points /= np.sqrt((points**2).sum(axis=1, keepdims=True))
+    entry, sizes, members, neighbours = build_graph(np.arange(1200), points)
+    assert sizes[0] == 1200 and sizes == sorted(sizes, reverse=True) and entry in members[-1]
+    for level, (held, links) in enumerate(zip(members, neighbours, strict=True)):
+        assert links.shape == (len(held), 2 * LINKS if level == 0 else LINKS)
+        known = set(held.tolist())
+        for node, row in zip(held.tolist(), links.tolist(), strict=True):
+            there = [x for x in row if x >= 0]
+            assert node not in there and len(set(there)) == len(there) and set(there) <= known
+            assert there or len(held) == 1
+    sims, nodes = search_graph(points, entry, members, neighbours, points[:200], 96)
+    best = np.argsort(-(points[:200] @ points.T), axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b[:5])) / 5 for a, b in zip(best.tolist(), nodes.tolist(), strict=True)]) > 0.97
+
+
 def test_nothing_to_find(spark):
     d = directions(table(spark, np.eye(2)))
     assert nearest(d, d.filter(F.lit(False)), 5).collect() == []
