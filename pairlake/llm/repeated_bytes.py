@@ -13,7 +13,8 @@ bytes. So:
    one bucket is sorted at a time; of every tie the first document counts.
 
 Order is that of 64-bit keys of the bytes (a fixed order: ties are what is asked for, not
-the alphabet), so comparisons never run along long copies. Documents are cut into chunks by
+the alphabet), so comparisons never run along long copies; ties of keys are taken for ties of
+bytes and not compared once more. Documents are cut into chunks by
 ascending id, so the first document of a tie is found from chunk numbers alone. What moves:
 the compressed texts once, and the sorted keys of each (chunk, bucket), distinct and
 difference-coded: about one byte per byte of sample and of repeated text. Answers are one
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 
 from pairlake.llm.digests import digest
 from pairlake.llm.hashing import Windows
+from pairlake.operators.positions import with_running_total
 from pairlake.session import cut
 
 # A difference cover modulo 21 (fixed values): every residue is a difference of two of them.
@@ -354,10 +356,12 @@ def remove_repeats(
     total = digests.agg(F.sum("size").alias("n")).first()["n"] or 0
     chunks = max(1, -(-total // chunk_bytes))
     bounds = np.zeros(0, np.int64)
-    if chunks > 1:  # one number per chunk
-        shares = [k / chunks for k in range(1, chunks)]
-        cuts = digests.agg(F.percentile_approx("id", shares, 10 * chunks).alias("c")).first()["c"]
-        bounds = np.unique(np.array(cuts, np.int64))
+    if chunks > 1:  # the first id of every chunk but one: 8 bytes for each, 2 for a MB of text
+        sizes = digests.groupBy("id").agg(F.sum("size").alias("size"))
+        upto = with_running_total(sizes, [], ["id"], "size", "upto")
+        begins = F.floor((F.col("upto") - F.col("size")) / chunk_bytes)
+        opens = upto.filter((F.floor(F.col("upto") / chunk_bytes) > begins) & (F.col("upto") < total))
+        bounds = np.sort(np.array([r["id"] for r in opens.select("id").collect()], np.int64)) + 1
     plan = Plan(total, length, bucket_keys)
     first = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count_distinct("id").alias("ids"))
     twice = digests.groupBy("id").agg(F.count_distinct("digest").alias("texts")).filter("texts > 1")
