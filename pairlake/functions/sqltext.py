@@ -15,15 +15,17 @@ from pyspark.sql import functions as F
 _SILENT = r"(?s)'[^']*+'|--[^\n]*+|/\*.*?\*/"
 _MARKS = r"\border\s+by\b|\b(?:limit|select|from|union|intersect|except)\b|[(),]"
 _NAME = r'(?:"[^"]++"|[a-z_][a-z0-9_$]*+)(?:\.(?:"[^"]++"|[a-z_][a-z0-9_$]*+))*+'
-_NOT_ALIAS = (
-    r"(?!(?:where|group|order|limit|having|join|inner|left|right|full|cross|natural|on|using|"
-    r"union|intersect|except|qualify|window|offset|asof|positional)\b)"
+# What decides where tables stand: parentheses, FROM and JOIN with the name that follows,
+# commas with theirs, and the words that end a FROM clause or begin a join's condition.
+_STEPS = (
+    r"\b(?:extract|trim|substring|overlay|position)\s*\(|[()]|\bdistinct\s+from\b"
+    rf"|\b(?:from|join)\b(?:\s+(?:lateral\s+)?(?!lateral\b|select\b){_NAME})?|,(?:\s*(?!lateral\b|select\b){_NAME})?"
+    r"|\b(?:where|group|order|having|limit|offset|qualify|window|union|intersect|except|select|on|using)\b"
 )
-_TABLE = rf"{_NAME}(?:\s+(?:as\s+)?{_NOT_ALIAS}{_NAME})?+"
-_FROM_LIST = rf"\bfrom\s+{_TABLE}(?:\s*,\s*{_TABLE})*+"
-_GROUP, _DERIVED = r"\(([^()]*+)\)", "_derived_"
-# Parentheses inside each other that are looked into; what is nested deeper is not seen.
-_NESTED = 6
+# Where a reader of a query is: elsewhere, before a table, after one, in a join's condition,
+# among arguments in which FROM names no table.
+_ELSEWHERE, _BEFORE, _AFTER, _JOINING, _ARGUMENTS = range(5)
+_READER = "struct<at:int,outer:array<int>,names:array<string>,joins:int>"
 # Aggregate functions that count as such in the reports.
 AGGREGATES = (
     "count", "sum", "avg", "mean", "min", "max", "median", "mode", "stddev", "stddev_pop",
@@ -114,19 +116,46 @@ def tie_broken(sql: str, columns: int, descending: bool) -> str | None:
     return f"{sql[:end]}\n, {keys}\n{sql[end:]}"
 
 
-def _from_lists(text: Column) -> Column:
-    """The FROM lists of a query and its subqueries, innermost first. What a pair of
-    parentheses held is replaced by one name, so a derived table is a table of its list."""
-    # EXTRACT(year FROM x) and its like hold a FROM that names no table.
-    no_arguments = F.regexp_replace(
-        text, r"\b(extract|trim|substring)\s*\(([^()]*?)\bfrom\b", "$1($2 "
+def _sources(text: Column) -> Column:
+    """(names, joins): the tables named in FROM clauses, and the joins and commas between
+    them, of a query and its subqueries however deep, read once with a stack."""
+    steps = F.regexp_extract_all(text, F.lit(_STEPS), F.lit(0))
+    start = F.struct(
+        F.lit(_ELSEWHERE).alias("at"),
+        F.array().cast("array<int>").alias("outer"),
+        F.array().cast("array<string>").alias("names"),
+        F.lit(0).alias("joins"),
     )
-    left, lists = no_arguments, []
-    for _ in range(_NESTED):
-        inner = F.array_join(F.regexp_extract_all(left, F.lit(_GROUP), F.lit(1)), " ; ")
-        lists.append(F.regexp_extract_all(inner, F.lit(_FROM_LIST), F.lit(0)))
-        left = F.regexp_replace(left, _GROUP, f" {_DERIVED} ")
-    return F.concat(*lists, F.regexp_extract_all(left, F.lit(_FROM_LIST), F.lit(0)))
+
+    def step(acc: Column, m: Column) -> Column:
+        at, outer = acc["at"], acc["outer"]
+        opens, closes = m.endswith("("), m == ")"
+        distinct = m.startswith("distinct")
+        begins = m.startswith("from") & (at != _ARGUMENTS)
+        comma = m.startswith(",") & at.isin(_AFTER, _JOINING)
+        join = m.startswith("join") & (at != _ARGUMENTS)
+        table = begins | join | comma
+        name = F.regexp_extract(m, rf"^(?:(?:from|join)\s+(?:lateral\s+)?|,\s*)({_NAME})$", 1)
+        condition = m.isin("on", "using") & at.isin(_AFTER, _JOINING)
+        moved = (
+            F.when(opens & (m != "("), _ARGUMENTS)
+            .when(opens, _ELSEWHERE)
+            .when(closes, F.coalesce(F.try_element_at(outer, F.lit(-1)), F.lit(_ELSEWHERE)))
+            .when(table, F.when(name == "", _BEFORE).otherwise(_AFTER))
+            .when(condition, _JOINING)
+            .when(distinct | m.startswith(",") | m.startswith("from") | (at == _ARGUMENTS), at)
+            .otherwise(_ELSEWHERE)
+        )
+        # A derived table is a table of its list: after it, a comma brings another one.
+        kept = F.when(opens, F.concat(outer, F.array(F.when(at == _BEFORE, _AFTER).otherwise(at))))
+        return F.struct(
+            moved.alias("at"),
+            kept.when(closes, F.slice(outer, F.lit(1), F.greatest(F.size(outer) - 1, F.lit(0)))).otherwise(outer).alias("outer"),
+            F.when(table & (name != ""), F.concat(acc["names"], F.array(name))).otherwise(acc["names"]).alias("names"),
+            (acc["joins"] + (join | comma).cast("int")).alias("joins"),
+        ).cast(_READER)
+
+    return F.aggregate(steps, start.cast(_READER), step)
 
 
 def _strip_quotes(name: Column) -> Column:
@@ -134,35 +163,13 @@ def _strip_quotes(name: Column) -> Column:
     return F.regexp_replace(last, '"', "")
 
 
-def _tables(text: Column, from_lists: Column) -> Column:
-    listed = F.flatten(
-        F.transform(
-            from_lists,
-            lambda f: F.transform(
-                F.split(F.regexp_replace(f, r"^from\s+", ""), ","),
-                lambda t: F.regexp_extract(F.trim(t), _NAME, 0),
-            ),
-        )
-    )
-    joined = F.transform(
-        F.regexp_extract_all(text, F.lit(rf"\bjoin\s+{_NAME}"), F.lit(0)),
-        lambda j: F.regexp_replace(j, r"^join\s+", ""),
-    )
-    cte = r'(?:\bwith\s+(?:recursive\s+)?|,\s*)("[^"]+"|[a-z_][a-z0-9_]*)\s+as\s*\('
+def _tables(text: Column, names: Column) -> Column:
+    cte = r'(?:\bwith\s+(?:recursive\s+)?|,\s*)("[^"]+"|[a-z_][a-z0-9_]*)\s*(?:\([^()]*\)\s*)?as\s*\('
     ctes = F.when(
         text.rlike(r"^\s*with\b"), F.regexp_extract_all(text, F.lit(cte), F.lit(1))
     ).otherwise(F.array().cast("array<string>"))
-    names = F.transform(F.filter(F.concat(listed, joined), lambda n: ~n.isin("", _DERIVED)), _strip_quotes)
-    return F.array_sort(F.array_distinct(F.array_except(names, F.transform(ctes, _strip_quotes))))
-
-
-def _joins(text: Column, from_lists: Column) -> Column:
-    commas = F.aggregate(
-        F.transform(from_lists, lambda f: F.regexp_count(f, F.lit(","))),
-        F.lit(0),
-        lambda a, b: a + b,
-    )
-    return F.regexp_count(text, F.lit(r"\bjoin\b")) + commas
+    told = F.transform(names, _strip_quotes)
+    return F.array_sort(F.array_distinct(F.array_except(told, F.transform(ctes, _strip_quotes))))
 
 
 def _known(calls: Column, names: Sequence[str]) -> Column:
@@ -173,8 +180,8 @@ def _known(calls: Column, names: Sequence[str]) -> Column:
 def query_shape(sql: Column) -> Column:
     """What reports compare about a query, each text pass made once:
 
-    ``tables`` (after FROM and JOIN, without CTEs), ``joins`` (JOIN words and commas between
-    tables), ``aggregates``, ``grouped``, ``dates`` (date functions), and ``columns`` of the
+    ``tables`` (after FROM and JOIN at any depth, without CTEs), ``joins`` (JOIN words and
+    commas between tables), ``aggregates``, ``grouped``, ``dates`` (date functions), and ``columns`` of the
     outer SELECT list (NULL when the text is no SELECT).
     """
 
@@ -183,8 +190,8 @@ def query_shape(sql: Column) -> Column:
             v["text"].rlike(r"\bcurrent_date\b"), F.array(F.lit("current_date"))
         ).otherwise(F.array().cast("array<string>"))
         return F.struct(
-            _tables(v["text"], v["lists"]).alias("tables"),
-            _joins(v["text"], v["lists"]).alias("joins"),
+            _tables(v["text"], v["sources"]["names"]).alias("tables"),
+            v["sources"]["joins"].alias("joins"),
             _known(v["calls"], AGGREGATES).alias("aggregates"),
             v["text"].rlike(r"\bgroup\s+by\b").alias("grouped"),
             F.array_distinct(F.concat(_known(v["calls"], DATE_FUNCTIONS), current)).alias("dates"),
@@ -195,7 +202,7 @@ def query_shape(sql: Column) -> Column:
         calls = F.regexp_extract_all(text, F.lit(r"\b([a-z_][a-z0-9_]*)\s*\("), F.lit(1))
         return F.struct(
             text.alias("text"),
-            _from_lists(text).alias("lists"),
+            _sources(text).alias("sources"),
             calls.alias("calls"),
             _outer(text).alias("outer"),
         )

@@ -48,6 +48,31 @@ def test_query_shape(one, sql, tables, joins, columns):
     assert one(sqltext.output_columns, sql) == columns
 
 
+@pytest.mark.parametrize("depth", [1, 7, 20])
+def test_tables_are_seen_at_any_depth(one, depth):
+    sql = "SELECT a FROM inner_one i, inner_two JOIN x USING (k)"
+    for level in range(depth):
+        sql = f"SELECT f((1 + (2))), b FROM ({sql}) d, t{level % 3} WHERE z IN (SELECT k FROM u{level} y, v WHERE (1) = 1)"
+    names = {"inner_one", "inner_two", "x", "v", *(f"t{i % 3}" for i in range(depth)), *(f"u{i}" for i in range(depth))}
+    assert one(sqltext.table_names, sql) == sorted(names)
+    assert one(sqltext.join_count, sql) == 2 + 2 * depth
+    assert one(sqltext.output_columns, sql) == 2
+
+
+@pytest.mark.parametrize(
+    ("sql", "tables", "joins"),
+    [
+        ("SELECT 1 FROM a JOIN b ON a.x = b.x, c WHERE f(1, d) > 2 ORDER BY e, g", ["a", "b", "c"], 2),
+        ("SELECT 1 FROM a WHERE x IS DISTINCT FROM y AND extract(year FROM (SELECT max(d) FROM b)) > 1", ["a", "b"], 0),
+        ("SELECT 1 FROM a, LATERAL (SELECT 1 FROM b) l LEFT JOIN (SELECT 2, 3 FROM c) m USING (k), d", ["a", "b", "c", "d"], 3),
+        ("WITH r(n, m) AS (SELECT 1, 2), s AS (SELECT 1 FROM a) SELECT n FROM r, s JOIN b USING (n)", ["a", "b"], 2),
+        ("SELECT 1 FROM a UNION SELECT b, c FROM d GROUP BY e, f) g, h", ["a", "d"], 0),
+    ],
+)
+def test_where_tables_stand(one, sql, tables, joins):
+    assert (one(sqltext.table_names, sql), one(sqltext.join_count, sql)) == (tables, joins)
+
+
 def star(tables=("lineitem", "orders"), select="l_partkey", extra=""):
     """A query over the star schema: joins its tables on one key each."""
     first, *rest = tables
