@@ -71,6 +71,10 @@ def test_mix_repeats_whole_rows(stages):
     assert set(after) <= set(before) and max(map(after.count, set(after))) <= cp.EPOCHS
 
 
+def test_the_whole_is_its_stages(spark, stages):
+    assert sorted(map(str, cp.run(spark, SAMPLE).collect())) == sorted(map(str, stages[-1].collect()))
+
+
 def test_copies_draw_samples_of_their_own(spark):
     text = "a few words that can be cut in very many ways"
     docs = spark.createDataFrame(
