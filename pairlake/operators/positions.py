@@ -18,6 +18,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from pairlake.session import cut
 
+# Fixed value: the most rows per group that Spark keeps before a shuffle (its default setting).
+GROUP_LIMIT = 1000
 _MID, _TASK, _LOCAL, _BEFORE = "_mid", "_task", "_local", "_before"
 
 
@@ -206,7 +208,16 @@ def with_previous(
 def first_per_group(
     df: DataFrame, groups: Sequence[str], orders: Sequence[Column | str], n: int
 ) -> DataFrame:
-    """The first ``n`` rows of each group, by positions: the same plan for every ``n``."""
+    """The first ``n`` rows of each group.
+
+    Up to ``GROUP_LIMIT``, Spark cuts every task's part of a group to ``n`` rows before they
+    move, so a group brings at most ``n`` rows per task together. Above, where it would not,
+    rows are numbered where they are sorted.
+    """
+    if n <= GROUP_LIMIT:
+        by = [F.col(o) if isinstance(o, str) else o for o in orders]
+        rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*by))
+        return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
     ranked = with_positions(df, groups, orders, "_rank")
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
 

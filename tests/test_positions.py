@@ -99,6 +99,16 @@ def test_first_per_group(spark):
         assert got == {r[2] for rs in grouped(data).values() for r in rs[:n]}
 
 
+def test_rows_are_cut_before_they_move(spark, monkeypatch):
+    _, df = rows(spark)
+    few = P.first_per_group(df, ["g"], ["v", "id"], 3)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    monkeypatch.setattr(P, "GROUP_LIMIT", 2)
+    many = P.first_per_group(df, ["g"], ["v", "id"], 3)
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+
+
 def test_copies_get_their_own_positions(spark):
     rnd = random.Random(8)
     data = [("hot", 5)] * 700 + [(rnd.choice("xyz"), rnd.randint(0, 9)) for _ in range(300)]
