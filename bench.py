@@ -40,11 +40,22 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores, partitions=int(cores) if cores.isdigit() else 8)
     spark.read.parquet(f"{folder}/nation.parquet").count()  # start the engine outside the clock
-    seconds = {}
+
+    def control() -> float:
+        """A fixed piece of plain Spark work: what the machine is worth at the moment."""
+        start = time.perf_counter()
+        lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+        lines.groupBy("l_orderkey").agg({"l_extendedprice": "sum"}).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    control()
+    controls, seconds = [control()], {}
     for name in HEADLINES:
         start = time.perf_counter()
         QUERIES[name](Tables(spark, folder)).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    controls.append(control())
+    unit = sum(controls) / len(controls)
     print(
         json.dumps(
             {
@@ -52,6 +63,8 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "control": round(unit, 3),
+                "value_in_controls": round(sum(seconds.values()) / unit, 1),
                 "sf": folder.rstrip("/").split("sf")[-1],
             }
         )

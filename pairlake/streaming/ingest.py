@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pairlake.operators.merge import upsert
 from pairlake.operators.similarity import find_leaks, index_tests
 from pairlake.session import cut, scratch_scope
 from pairlake.sources.files import LOG_ORDER, PREDICTION_FIELDS, PREDICTIONS, numbered, read_log_lines
@@ -122,8 +121,3 @@ def latest_report(spark: SparkSession, report: str) -> DataFrame | None:
     """Per database the line of the last batch that brought it pairs."""
     found = _report(spark, report).latest()
     return found if found is None else found.select("db_id", "pairs", "leaks")
-
-
-def refresh_report(report: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Fresh lines replace the report's lines of the same database."""
-    return upsert(report, fresh, ["db_id"])
