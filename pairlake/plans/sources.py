@@ -194,8 +194,9 @@ def text_digests(t: Tables) -> DataFrame:
     """One file per language, written as text: digests of small files whole, of large ones in pieces."""
     folder = scratch(t.spark, "texts")
     line = F.concat(F.sha2("text", 256), F.lit(" "), F.col("doc_id").cast("string")).alias("value")
-    lines = t.documents.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", line)
-    lines.write.partitionBy("lang").text(folder)
+    # Only the lines go to their file's task, not the texts behind them.
+    lines = t.documents.select("lang", "doc_id", line).repartition("lang").sortWithinPartitions("lang", "doc_id")
+    lines.select("lang", "value").write.partitionBy("lang").text(folder)
     found = files.file_digests(t.spark, folder, "part-*", whole=40_000)
     return found.select(F.regexp_extract("file", "lang=([^/]*)/", 1).alias("lang"), "length", "sha256")
 

@@ -241,3 +241,25 @@ def test_not_in_follows_sql(spark):
         want = spark.sql("SELECT k FROM not_in_left WHERE k NOT IN (SELECT v FROM not_in_right)")
         got = not_in(df, "k", other, "v")
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_only_lines_go_to_the_file_of_a_language(spark, monkeypatch):
+    """The texts behind the digests are not moved with them."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from pairlake.plans import QUERIES, Tables
+
+    moved, repartition = [], DataFrame.repartition
+
+    def noted(df, *args):
+        moved.append(set(df.columns))
+        return repartition(df, *args)
+
+    monkeypatch.setattr(DataFrame, "repartition", noted)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    found = {r["lang"]: r["length"] for r in QUERIES["s7_text_digests"](t).collect()}
+    want = {}
+    for r in t.documents.select("lang", "doc_id").collect():
+        want[r["lang"]] = want.get(r["lang"], 0) + 64 + 1 + len(str(r["doc_id"])) + 1
+    assert found == want
+    assert moved and not any("text" in columns for columns in moved)
