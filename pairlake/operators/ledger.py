@@ -89,7 +89,7 @@ class Ledger:
     def rows(self, digests: DataFrame) -> DataFrame:
         """(digest, row_ix, cells) of the texts in ``digests`` that ended without an error."""
         sound = self._table("runs", RUNS).filter(F.col("error").isNull()).select("digest")
-        asked = digests.select("digest").distinct().join(sound, "digest")
+        asked = cut(digests.select("digest").distinct().join(sound, "digest"))
         return read_rows(self.spark, f"{self.folder}/rows").join(asked, "digest")
 
     def _reversed(self) -> Mapping[str, str]:
@@ -147,17 +147,19 @@ class Ledger:
         errors = {r["digest"]: back[r["digest"]].error for r in texts}
         for (d, _), sql in ties.items():
             errors[d] = errors[d] or tied[digest_of(sql)].error
-        asked = spark.createDataFrame(
+        # The lists of texts are written, so that Spark knows them to be small: rows stay in
+        # place where they meet them.
+        asked = cut(spark.createDataFrame(
             [(r["digest"], errors[r["digest"]], r["ordered"], r["limit_without_order"]) for r in texts],
             "digest string, error string, ordered boolean, limit_without_order boolean",
-        )
+        ))
         own = read_rows(spark, f"{self.folder}/rows").join(asked.select("digest"), "digest")
         again = read_rows(spark, behind)
         # The two orders of a text are the sides of one comparison; its name is the text's.
-        sides = spark.createDataFrame(
+        sides = cut(spark.createDataFrame(
             [(digest_of(s), d, "b" if down else "a") for (d, down), s in ties.items()],
             "digest string, owner string, side string",
-        )
+        ))
         both = read_rows(spark, broken).join(sides, "digest")
 
         def lines(rows: DataFrame, name, side) -> DataFrame:
@@ -172,6 +174,7 @@ class Ledger:
         queries = asked.select(plain.alias("query_id"), "ordered").unionByName(
             sides.select(F.concat(F.lit("t"), F.col("owner")).alias("query_id"), F.lit(True).alias("ordered")).distinct()
         )
+        queries = cut(queries)
         numbered = cut(dense(everything, queries))
         same = results_match(numbered, queries)
         forward = numbered.filter((F.col("side") == "a") & F.col("query_id").startswith("d"))

@@ -11,12 +11,11 @@ from dataclasses import dataclass
 from typing import NamedTuple
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlake.functions.cells import CELL, row_cells
-from pairlake.operators.positions import with_positions
-from pairlake.session import exists, scratch
+from pairlake.session import cut, exists, scratch
 
 TIMEOUT_S = 10.0
 ROWS = f"digest string, row_ix bigint, cells array<{CELL}>"
@@ -207,11 +206,25 @@ def read_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def dense(lines: DataFrame, asked: DataFrame) -> DataFrame:
     """``lines`` of a results table, with rows numbered 0, 1, 2, … where ``asked`` (query_id,
-    ordered) says that order counts."""
+    ordered) says that order counts.
+
+    ``row_ix`` is as ``run_texts`` writes it: the task above bit 33, and below it 0, 1, 2, …
+    inside the task. So rows are not sorted again; what a task needs is how many rows the
+    tasks before it wrote.
+    """
     told = lines.join(asked.select("query_id", "ordered"), "query_id")
-    sorted_ = with_positions(told.filter("ordered"), ["query_id", "side"], ["row_ix"], "_pos")
-    numbered = sorted_.withColumn("row_ix", F.col("_pos") - 1).drop("_pos")
-    return told.filter(~F.col("ordered")).unionByName(numbered).drop("ordered").select(*lines.columns)
+    task = F.shiftright("row_ix", 33)
+    place = ["query_id", "side", "_task"]
+    sizes = told.filter("ordered").groupBy("query_id", "side", task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("query_id", "side").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(sizes.select(*place, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")))
+    ordered = told.filter("ordered").withColumn("_task", task).join(starts, place)
+    numbered = ordered.withColumn("row_ix", F.col("_start") + F.col("row_ix").bitwiseAND(F.lit((1 << 33) - 1)))
+    return (
+        told.filter(~F.col("ordered"))
+        .select(*lines.columns)
+        .unionByName(numbered.select(*lines.columns))
+    )
 
 
 def run_batch(
@@ -232,11 +245,11 @@ def run_batch(
     ends = run_texts(spark, texts, folder, timeout, parallel, views)
     told = [(q.query_id, q.side, q.ordered, digest_of(q.sql)) for q in queries]
     failed = [(i, side, ends[d].error) for i, side, _, d in told if ends[d].error is not None]
-    asked = spark.createDataFrame(
+    asked = cut(spark.createDataFrame(
         [t for t in told if ends[t[3]].error is None],
         "query_id string, side string, ordered boolean, digest string",
-    )
+    ))
     # A failed text may have left rows behind; they meet no query.
     lines = read_rows(spark, folder).join(asked, "digest").select("query_id", "side", "row_ix", "cells")
-    orders = asked.groupBy("query_id").agg(F.max("ordered").alias("ordered"))
+    orders = cut(asked.groupBy("query_id").agg(F.max("ordered").alias("ordered")))
     return dense(lines, orders), spark.createDataFrame(failed, ERRORS)
