@@ -230,3 +230,24 @@ def test_answers_may_have_no_text(spark, tables):
     got = {r["id"]: r for r in score(spark, tables, [("max", None), ("old", "")]).outcomes.collect()}
     assert not got["max"]["missing"] and not got["max"]["valid"] and got["max"]["tag"] == "formatting"
     assert score(spark, tables, [("unknown", "SELECT 1")]).outcomes.filter(F.col("ex")).count() == 0
+
+
+def test_rows_are_numbered_without_a_sort(spark, monkeypatch):
+    """Two tasks wrote an ordered result: its rows follow on, and nothing is sorted again."""
+    from pairlake.operators import positions, runner
+
+    def no_sort(*args):
+        raise AssertionError("rows were sorted again")
+
+    monkeypatch.setattr(positions, "_sorted", no_sort)
+    lines = [("q", s, (task << 33) + i, f"{task}{i}") for s in "ab" for task, n in ((0, 3), (2, 2), (5, 4)) for i in range(n)]
+    lines += [("free", "a", (7 << 33) + 1, "x")]
+    rows = spark.createDataFrame(lines, "query_id string, side string, row_ix bigint, cells string")
+    asked = spark.createDataFrame([("q", True), ("free", False)], "query_id string, ordered boolean")
+    got = {}
+    for r in runner.dense(rows, asked).collect():
+        got.setdefault((r["query_id"], r["side"]), []).append((r["row_ix"], r["cells"]))
+    order = ["00", "01", "02", "20", "21", "50", "51", "52", "53"]
+    for side in "ab":
+        assert sorted(got["q", side]) == list(enumerate(order))
+    assert got["free", "a"] == [((7 << 33) + 1, "x")]
