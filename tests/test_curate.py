@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pairlake.operators import consensus as V
 from pairlake.operators import curate as K
+from pairlake.operators import similarity as S
 
 RECORD = (
     "id string, seq bigint, db_id string, question string, sql string, result_hash string, "
@@ -43,6 +44,20 @@ def test_finalize_funnel(spark):
     assert ids[0]["new_id"] == "synth_db_0001"
 
 
+def test_finalize_normalises_every_text_once(spark, monkeypatch):
+    """The leak check goes on with the words that the dedupe has found."""
+    questions = [f"how many lakes lie in country {n}" for n in range(30)]
+    records = spark.createDataFrame(
+        [(f"c{n}", n, "db", q, f"SELECT {n};", "h", "agreed", "easy") for n, q in enumerate(questions)], RECORD
+    )
+    tests = spark.createDataFrame([("t", "db", "How many lakes lie in country 7?", "SELECT x;", "g")], TESTS)
+    calls, known = [], S.token_sets
+    monkeypatch.setattr(S, "token_sets", lambda rows, *a: calls.append(1) or known(rows, *a))
+    kept, _ = K.finalize(records, tests, 100)
+    assert {r["id"] for r in kept.collect()} == {f"c{n}" for n in range(30)} - {"c7"}
+    assert len(calls) == 2  # the records and the tests
+
+
 def test_hold_out_includes_the_crossing_database(spark):
     sizes = {"a": 5, "b": 10, "c": 20, "d": 40, "e": 3}
     rows = [(db, "spider") for db, n in sizes.items() for _ in range(n)] + [("f", "other")] * 60
