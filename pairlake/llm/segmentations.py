@@ -69,6 +69,33 @@ class CodeHash:
         return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
 
 
+class Lookup:
+    """Values by hash. A key's slot is told by its first bits; slots are eight times the keys,
+    so few keys share one, and a key is found without a search."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        order = np.argsort(hashes)
+        bits = max(len(hashes) * 8, 2).bit_length()
+        self.shift = np.uint64(64 - bits)
+        slots = (hashes[order] >> self.shift).astype(np.int64)
+        self.begin = np.searchsorted(slots, np.arange(2**bits)).astype(np.int32)
+        self.longest = int(np.bincount(slots).max())
+        # Places after the last key are looked at too: no key is at home there.
+        self.keys = np.append(hashes[order], np.full(self.longest, hashes[order[0]], np.uint64))
+        self.values = np.append(values[order], np.full(self.longest, values[order[0]], np.int32))
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the places of ``asked`` that have a value, the values)"""
+        at = self.begin[(asked >> self.shift).astype(np.int64)]
+        hit = self.keys[at] == asked
+        for _ in range(1, self.longest):
+            rest = np.flatnonzero(~hit)
+            at[rest] += 1
+            hit[rest] = self.keys[at[rest]] == asked[rest]
+        found = np.flatnonzero(hit)
+        return found, self.values[at[found]]
+
+
 class Vocabulary:
     """Pieces of a SentencePiece model as tables."""
 
@@ -106,8 +133,7 @@ class Vocabulary:
             codes = np.array([[ord(c) for c in p] for p in held], np.uint32)
             at = np.arange(len(held)) * length
             hashes = CodeHash(codes.ravel()).between(at, at + length)
-            order = np.argsort(hashes)
-            self.tables.append((hashes[order], np.array(list(held.values()), np.int32)[order]))
+            self.tables.append(Lookup(hashes, np.array(list(held.values()), np.int32)))
         # By code point: the piece of one character, -1 if none; and whether any piece has it.
         self.single = np.full(0x110002, -1, np.int32)
         for piece, i in beginnings[1].items():
@@ -177,15 +203,13 @@ class Lattices:
         hashes, at = CodeHash(self.codes), np.arange(n)
         lone = np.ones(n, bool)
         starts, ends, ids = [], [], []
-        for length, (table, pieces) in enumerate(v.tables, 1):
+        for length, table in enumerate(v.tables, 1):
             if length == 1:
                 at = np.flatnonzero(v.known[self.codes])
                 piece = v.single[self.codes[at]]
             else:
-                asked = hashes.between(at, at + length)
-                place = np.minimum(np.searchsorted(table, asked), len(table) - 1)
-                begun = table[place] == asked
-                at, piece = at[begun], pieces[place[begun]]
+                begun, piece = table.find(hashes.between(at, at + length))
+                at = at[begun]
             whole = piece >= 0
             starts.append(at[whole])
             ends.append(at[whole] + length)
@@ -217,7 +241,7 @@ class Lattices:
             spread = _ragged(self.id_at[as_bytes], self.n_ids[as_bytes])
             self.ids[spread] = v.byte_ids[np.frombuffer(b"".join(written), np.uint8)]
         self.log_p = np.where(as_bytes, self.n_ids * v.byte_log_p, v.log_p[np.maximum(piece, 0)])
-        self.first = np.searchsorted(self.start, np.arange(n + 1))
+        self.first = np.append(0, np.cumsum(np.bincount(self.start, minlength=n)))
 
     def _chances(self) -> None:
         """Probability of each edge among those of its node, given all that can follow."""

@@ -10,7 +10,7 @@ import pytest
 from helpers import documents
 from pyspark.sql import functions as F
 
-from pairlake.llm.segmentations import Vocabulary, decode, encode_samples, sample_batch
+from pairlake.llm.segmentations import Lookup, Vocabulary, decode, encode_samples, sample_batch
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -87,3 +87,17 @@ def test_round_trip_and_edges(spark):
     again = decode(encode_samples(docs.repartition(7), MODEL, k=4, sharpness=0.5), MODEL).drop("text")
     assert sorted(map(str, again.collect())) == sorted(map(str, sampled.drop("ids").collect()))
     assert encode_samples(docs.filter(F.lit(False)), MODEL).collect() == []
+
+
+def test_lookup_finds_every_key_and_no_other():
+    rnd = np.random.default_rng(3)
+    for size in (1, 2, 50, 5000):
+        keys = np.unique(np.append(rnd.integers(0, 2**64, size, np.uint64), np.uint64(2**64 - 1)))
+        if size == 50:
+            keys = keys >> np.uint64(40)  # all of them share one slot
+        values = rnd.permutation(len(keys)).astype(np.int32)
+        asked = np.concatenate([keys[::2], rnd.integers(0, 2**64, 3000, np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        known = dict(zip(keys.tolist(), values.tolist()))
+        places, found = Lookup(keys[::-1], values[::-1]).find(asked)
+        assert places.tolist() == [i for i, a in enumerate(asked.tolist()) if a in known]
+        assert found.tolist() == [known[a] for a in asked[places].tolist()]
