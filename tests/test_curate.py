@@ -212,3 +212,37 @@ def test_agreed_pairs_replace_the_old_synthetic_rows(spark):
     assert stats == {"db": (3, 2, 1, 1), "x": (1, 1, 0, 1)}
     assert {r["reason"]: r["n"] for r in out.drops.collect()} == {"duplicate_question": 1}
     assert out.review.count() == 2
+
+
+def test_finalize_signs_every_set_once(spark, monkeypatch):
+    """The leak check goes on with the sets and keys that the dedupe has made."""
+    records = spark.createDataFrame(
+        [(f"c{n}", n, "db", f"how many lakes lie in country {n}", f"SELECT {n};", "h", "agreed", "easy") for n in range(9)],
+        RECORD,
+    )
+    tests = spark.createDataFrame([("t", "db", "Country 7: how many lakes lie in?", "SELECT x;", "g")], TESTS)
+    calls, known = [], S.signed
+    monkeypatch.setattr(S, "signed", lambda *a: calls.append(1) or known(*a))
+    kept, drops = K.finalize(records, tests, 100)
+    assert {r["id"] for r in kept.collect()} == {f"c{n}" for n in range(9)} - {"c7"}
+    assert [(r["reason"], r["n"]) for r in drops.collect()] == [("test_leakage_text", 1)]
+    assert len(calls) == 2  # the records and the tests
+
+
+def test_finalize_looks_up_the_texts_of_marked_records(spark):
+    """Rows of one id and order stay apart, as without marks; marks do not come out."""
+    rows = [
+        ("a", 1, "db", "First lake?", "SELECT 1;", "h", "agreed", "easy"),
+        ("b", 2, "db", "Second river?", "SELECT 2;", "h", "agreed", "easy"),
+        ("b", 2, "db", "Third hill?", "SELECT 3;", "h", "agreed", "easy"),
+        ("c", 3, "db", "first lake", "SELECT 4;", "h", "agreed", "easy"),
+        (None, 4, None, "Fourth town?", "SELECT 5;", "h", "agreed", "easy"),
+    ]
+    records = spark.createDataFrame(rows, RECORD)
+    tests = spark.createDataFrame([("t", "db", "None?", "SELECT x;", "g")], TESTS)
+    plain, _ = K.finalize(records, tests, 3)
+    looked_up, _ = K.finalize(S.marked(records), tests, 3)
+    assert set(looked_up.columns) == set(records.columns)
+    assert sorted(plain.select(records.columns).collect(), key=str) == sorted(
+        looked_up.select(records.columns).collect(), key=str
+    )
