@@ -50,23 +50,34 @@ RESULT = (
 _BASE = 0x9E3779B97F4A7C15
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    grown = np.full(n, base, np.uint64)
-    grown[:1] = 1
+@lru_cache(maxsize=2)
+def _power_table(base: int, bits: int) -> np.ndarray:
+    grown = np.full(2**bits, base, np.uint64)
+    grown[0] = 1
     return np.multiply.accumulate(grown)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return _power_table(base, max(n.bit_length(), 20))[:n]
+
+
+@lru_cache(maxsize=1)
+def _mixed_codes() -> np.ndarray:
+    """A random number of every code point."""
+    return mix(np.arange(1, LITERAL + 2, dtype=np.uint64))
+
+
 class CodeHash:
-    """Hashes of windows of code points."""
+    """Hashes of windows of code points: the numbers of their code points times powers of the base."""
 
     def __init__(self, codes: np.ndarray):
         n = len(codes)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), dtype=np.uint64, out=self.sums[1:])
+        np.cumsum(_mixed_codes()[codes] * _powers(_BASE, n), out=self.sums[1:])
         self.back = _powers(pow(_BASE, -1, 2**64), n + 1)
 
     def between(self, starts, ends):
-        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
+        return (self.sums[ends] - self.sums[starts]) * self.back[starts]
 
 
 class Lookup:
@@ -77,23 +88,24 @@ class Lookup:
         order = np.argsort(hashes)
         bits = max(len(hashes) * 8, 2).bit_length()
         self.shift = np.uint64(64 - bits)
-        slots = (hashes[order] >> self.shift).astype(np.int64)
-        self.begin = np.searchsorted(slots, np.arange(2**bits)).astype(np.int32)
-        self.longest = int(np.bincount(slots).max())
-        # Places after the last key are looked at too: no key is at home there.
-        self.keys = np.append(hashes[order], np.full(self.longest, hashes[order[0]], np.uint64))
-        self.values = np.append(values[order], np.full(self.longest, values[order[0]], np.int32))
+        self.keys, self.values = hashes[order], values[order]
+        slots = (self.keys >> self.shift).astype(np.int64)
+        self.begin = np.searchsorted(slots, np.arange(2**bits + 1)).astype(np.int32)
 
     def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the places of ``asked`` that have a value, the values)"""
-        at = self.begin[(asked >> self.shift).astype(np.int64)]
-        hit = self.keys[at] == asked
-        for _ in range(1, self.longest):
-            rest = np.flatnonzero(~hit)
+        slot = (asked >> self.shift).view(np.int64)
+        at, stop = self.begin[slot], self.begin[slot + 1]
+        places = np.flatnonzero(at < stop)
+        at, stop = at[places].astype(np.int64), stop[places]
+        hit = self.keys[at] == asked[places]
+        rest = np.flatnonzero(~hit & (at + 1 < stop))
+        while len(rest):
             at[rest] += 1
-            hit[rest] = self.keys[at[rest]] == asked[rest]
+            hit[rest] = self.keys[at[rest]] == asked[places[rest]]
+            rest = rest[~hit[rest] & (at[rest] + 1 < stop[rest])]
         found = np.flatnonzero(hit)
-        return found, self.values[at[found]]
+        return places[found], self.values[at[found]]
 
 
 class Vocabulary:
@@ -166,7 +178,12 @@ def _ragged(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """The word lattices of a batch of texts, equal words once."""
+    """The word lattices of a batch of texts, equal words once.
+
+    A node is a character of a distinct word. Nodes go by the number of characters that are
+    left, most first, and within that by word, longest first: what a node's chances need comes
+    after it, and the nodes of one step of a recursion stand together. The end of all words is
+    one node, the last."""
 
     def __init__(self, vocabulary: Vocabulary, texts: list[np.ndarray]):
         self.vocabulary = vocabulary
@@ -185,114 +202,139 @@ class Lattices:
         new = np.ones(len(names), bool)
         new[1:] = names[order[1:]] != names[order[:-1]]
         first = order[new]
+        sizes = (ends - starts)[first]
+        longest = np.argsort(-sizes, kind="stable")
+        rank = np.empty(len(first), np.int64)
+        rank[longest] = np.arange(len(first))
         self.word_of = np.empty(len(names), np.int64)
-        self.word_of[order] = np.cumsum(new) - 1
-        self.word_begin = starts  # place of every word in the batch
+        self.word_of[order] = rank[np.cumsum(new) - 1]
+        self.word_begin, self.word_end = starts, ends  # places of every word in the batch
         self.first_word = np.searchsorted(starts, begins)  # of every text, and the end
         self.text_begin = begins
-        # The distinct words, one after the other: a node for each of their characters.
-        sizes = (ends - starts)[first]
-        self.node = np.concatenate([[0], np.cumsum(sizes)])
-        self.codes = codes[_ragged(starts[first], sizes)]
-        self.stop = np.repeat(self.node[1:], sizes)  # the end of a node's word
+        first, sizes = first[longest], sizes[longest]
+        # By characters left: how many words have that many, and where their nodes begin.
+        having = np.cumsum(np.bincount(sizes, minlength=1)[::-1])[::-1]
+        having[:1] = 0
+        n = int(having.sum())
+        self.level = n - np.cumsum(having)
+        node = np.arange(n)
+        self.left = np.append(np.repeat(np.arange(len(having))[::-1], having[::-1]), 0)
+        left = self.left[:-1]
+        self.codes = codes[ends[first[node - self.level[left]]] - left]
+        self.next = np.minimum(node + having[left], n)
+        self.node = np.append(self.level[sizes] + np.arange(len(sizes)), n)  # of every word, and the end
         self._edges()
         self._chances()
 
     def _edges(self) -> None:
         v, n = self.vocabulary, len(self.codes)
-        hashes, at = CodeHash(self.codes), np.arange(n)
+        numbers = _mixed_codes()[self.codes]
         lone = np.ones(n, bool)
-        starts, ends, ids = [], [], []
+        count = np.zeros(n, np.int64)
+        found = []
+        at = np.flatnonzero(v.known[self.codes])
+        piece, hashes, place = v.single[self.codes[at]], numbers[at], at
+        lone[at[piece >= 0]] = False
         for length, table in enumerate(v.tables, 1):
-            if length == 1:
-                at = np.flatnonzero(v.known[self.codes])
-                piece = v.single[self.codes[at]]
-            else:
-                begun, piece = table.find(hashes.between(at, at + length))
-                at = at[begun]
-            whole = piece >= 0
-            starts.append(at[whole])
-            ends.append(at[whole] + length)
-            ids.append(piece[whole])
-            if length == 1:
-                lone[at[whole]] = False
-            at = at[at + length < self.stop[at]]  # room for one more character
-            if not len(at):
+            # Here ``at`` begins what some piece begins with, and ``place`` is its last character.
+            if length > 1:
+                begun, piece = table.find(hashes)
+                at, place, hashes = at[begun], place[begun], hashes[begun]
+            place = self.next[place]
+            whole = np.flatnonzero(piece >= 0)
+            start = at[whole]
+            found.append((start, count[start], place[whole], piece[whole], length))
+            count[start] += 1
+            room = np.flatnonzero(place < n)
+            if not len(room):
                 break
+            at, place = at[room], place[room]
+            hashes = hashes[room] + numbers[place] * _powers(_BASE, length + 1)[length]
         lone = np.flatnonzero(lone)
-        starts.append(lone)
-        ends.append(lone + 1)
-        ids.append(np.full(len(lone), -1, np.int32))
-        start, end, piece = map(np.concatenate, (starts, ends, ids))
-        order = np.argsort(start, kind="stable")
-        self.start, self.end, piece = (x[order].astype(np.int32) for x in (start, end, piece))
+        found.append((lone, count[lone], self.next[lone], np.full(len(lone), -1, np.int32), 1))
+        count[lone] += 1
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        self.start = np.repeat(np.arange(n), count)
+        self.only = np.repeat(count == 1, count)  # no other edge leaves the node
+        self.end, piece, self.length = (np.empty(self.first[-1], t) for t in (np.int64, np.int32, np.int64))
+        for start, before, end, what, length in found:
+            edge = self.first[start] + before
+            self.end[edge], piece[edge], self.length[edge] = end, what, length
         # Ids of an edge: a piece, or the bytes of a character.
-        as_bytes = piece < 0
+        as_bytes = np.flatnonzero(piece < 0)
         written = [
             chr(BLANK if c == LITERAL else c).encode("utf-8", "surrogatepass")
             for c in self.codes[self.start[as_bytes]].tolist()
         ]
         self.n_ids = np.ones(len(piece), np.int32)
         self.n_ids[as_bytes] = [len(w) for w in written]
-        self.id_at = (np.cumsum(self.n_ids) - self.n_ids).astype(np.int32)
-        self.ids = np.zeros(int(self.n_ids.sum()), np.int32)
-        self.ids[self.id_at[~as_bytes]] = piece[~as_bytes]
+        self.log_p = v.log_p[piece]
+        self.log_p[as_bytes] = self.n_ids[as_bytes] * v.byte_log_p
+        self.piece = piece
+        # Of edges that are bytes, the first id stands in ``piece`` and all of them from ``id_at`` on.
+        self.id_at, self.byte_edges = np.zeros(len(as_bytes), np.int64), as_bytes
+        self.byte_ids = v.byte_ids[np.frombuffer(b"".join(written), np.uint8)]
         if len(written):
-            spread = _ragged(self.id_at[as_bytes], self.n_ids[as_bytes])
-            self.ids[spread] = v.byte_ids[np.frombuffer(b"".join(written), np.uint8)]
-        self.log_p = np.where(as_bytes, self.n_ids * v.byte_log_p, v.log_p[np.maximum(piece, 0)])
-        self.first = np.append(0, np.cumsum(np.bincount(self.start, minlength=n)))
+            self.id_at[1:] = np.cumsum(self.n_ids[as_bytes])[:-1]
+            piece[as_bytes] = self.byte_ids[self.id_at]
+
+    def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each of ``edges``, all ids in order)"""
+        counts = self.n_ids[edges]
+        ids = self.piece[edges]
+        many = np.flatnonzero(counts > 1)
+        if len(many):
+            begin = (np.cumsum(counts) - counts)[many]
+            ids = np.repeat(ids, counts)
+            source = self.id_at[np.searchsorted(self.byte_edges, edges[many])]
+            ids[_ragged(begin, counts[many])] = self.byte_ids[_ragged(source, counts[many])]
+        return counts, ids
 
     def _chances(self) -> None:
         """Probability of each edge among those of its node, given all that can follow."""
-        left = self.stop - np.arange(len(self.codes))
         ahead = np.zeros(len(self.codes) + 1)
-        last = self.end == self.stop[self.start]
-        if left.max(initial=0) < 2**16:
-            left = left.astype(np.uint16)  # short integers are sorted by counting
-        order = np.argsort(left[self.start], kind="stable")
-        ranked = left[self.start[order]].astype(np.int64)
-        cuts = np.flatnonzero(np.diff(ranked)) + 1
-        for group in np.split(order, cuts) if len(order) else ():
-            value = self.log_p[group] + np.where(last[group], 0.0, ahead[self.end[group]])
-            nodes = self.start[group]
-            begin = np.flatnonzero(np.diff(nodes, prepend=-1))
-            top = np.maximum.reduceat(value, begin)
-            size = np.diff(np.append(begin, len(group)))
-            ahead[nodes[begin]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, size)), begin))
-        value = self.log_p + np.where(last, 0.0, ahead[self.end]) - ahead[self.start]
-        chance = np.exp(value)
-        self.log_chance = value
-        total = np.cumsum(chance)
-        before = total - chance
-        self.upto = total - np.repeat(before[self.first[:-1]], np.diff(self.first))
+        self.log_chance, self.upto = np.empty(len(self.end)), np.empty(len(self.end))
+        stop = len(self.codes)
+        for begin in self.level[1:].tolist():
+            edges = slice(self.first[begin], self.first[stop])
+            first = self.first[begin:stop] - self.first[begin]
+            of = self.start[edges] - begin
+            value = self.log_p[edges] + ahead[self.end[edges]]
+            top = np.maximum.reduceat(value, first)
+            chance = np.exp(value - top[of])
+            total = np.add.reduceat(chance, first)
+            ahead[begin:stop] = whole = top + np.log(total)
+            np.subtract(value, whole[of], out=self.log_chance[edges])
+            chance /= total[of]
+            upto = np.cumsum(chance)
+            np.subtract(upto, (upto - chance)[first][of], out=self.upto[edges])
+            stop = begin
         self.upto[self.first[1:] - 1] = 2.0
-        only = np.diff(self.first) == 1
-        self.log_other = np.log1p(-np.minimum(chance, 1.0 - 1e-16))
-        self.log_other[self.first[:-1][only]] = -np.inf
 
-    def walk(self, words: np.ndarray, nodes: np.ndarray, keys: np.ndarray, places: np.ndarray):
-        """(number of steps of each word, all edges in order) of random walks from ``nodes``
-        to the ends of ``words``. ``keys`` are the noise keys of the words' texts, ``places``
+    def walk(self, nodes: np.ndarray, keys: np.ndarray, places: np.ndarray):
+        """(number of steps of each walk, all edges in order) of random walks from ``nodes``
+        to the ends of their words. ``keys`` are the noise keys of the words' texts, ``places``
         the nodes' places in their texts."""
-        ends = self.node[self.word_of[words] + 1]
-        at, place = nodes.copy(), places.copy()
-        active = np.flatnonzero(at < ends)
-        steps = np.zeros(len(words), np.int64)
+        end = len(self.codes)
+        active = np.flatnonzero(nodes < end)
+        at, key, place = nodes[active], keys[active], places[active]
+        steps = np.zeros(len(nodes), np.int64)
         taken = []
         while len(active):
-            node = at[active]
-            draw = uniform(keys[active], place[active])
-            edge = self.first[node]
+            draw = uniform(key, place)
+            edge = self.first[at]
             more = np.flatnonzero(draw > self.upto[edge])
+            draw = draw[more]
             while len(more):
                 edge[more] += 1
-                more = more[draw[more] > self.upto[edge[more]]]
+                still = np.flatnonzero(draw > self.upto[edge[more]])
+                more, draw = more[still], draw[still]
             taken.append((active, edge))
             steps[active] += 1
-            place[active] += self.end[edge] - node
-            at[active] = self.end[edge]
-            active = active[at[active] < ends[active]]
+            at = self.end[edge]
+            on = np.flatnonzero(at < end)
+            place = place[on] + self.length[edge[on]]
+            active, at, key = active[on], at[on], key[on]
         begin = np.concatenate([[0], np.cumsum(steps)])
         edges = np.empty(begin[-1], np.int64)
         for step, (who, edge) in enumerate(taken):
@@ -303,7 +345,10 @@ class Lattices:
 def uniform(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from a key and a counter."""
     mixed = mix(keys ^ (places.astype(np.uint64) * np.uint64(_BASE) + np.uint64(1)))
-    return ((mixed >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+    drawn = (mixed >> np.uint64(11)).astype(np.float64)
+    drawn += 0.5
+    drawn *= 2.0**-53
+    return drawn
 
 
 def _truncated(location, bound, draw):
@@ -315,40 +360,22 @@ def _truncated(location, bound, draw):
 
 
 class Path:
-    """A sampled segmentation of one text, and the subtrees its walk passed from ``since`` on."""
-
-    def __init__(self, lattices, edges, since, perturbed, key, k):
-        self.edges, self.perturbed = edges, perturbed
-        log_chance = lattices.log_chance[edges]
-        upto = np.cumsum(log_chance)
-        self.log_prob = float(upto[-1]) if len(upto) else 0.0
-        self.prefix = upto - log_chance
-        location = self.prefix[since:] + lattices.log_other[edges[since:]]
-        # Noise lies between -4 and 38. Where more than k subtrees are within 50 of the best
-        # location, one that is 100 below it cannot win, and needs no noise.
-        most = location.max(initial=-np.inf)
-        if (location >= most - 50).sum() > k:
-            location = location[: int(np.flatnonzero(location >= most - 100)[-1]) + 1]
-        noise = uniform(np.full(len(location), key), np.arange(since, since + len(location)))
-        self.value = np.full(since + len(location), -np.inf)
-        self.value[since:] = _truncated(location, perturbed, noise)
+    """A sampled segmentation of one text. ``lost`` has the log-probability of what comes before
+    each of its edges, its sign turned, and ``value`` the noise of the subtrees its walk passed
+    from ``since`` on, as far as one of them can win."""
+
+    def __init__(self, edges, lost, log_prob, since, value, perturbed):
+        self.edges, self.lost, self.log_prob = edges, lost, log_prob
+        self.since, self.value, self.perturbed = since, value, perturbed
         self.out: dict[int, list[int]] = {}  # edges that are gone from a passed subtree
 
 
 class Search:
     """The A-star search of one text."""
 
-    def __init__(self, lattices: Lattices, key: int, k: int):
-        self.lattices, self.key, self.k = lattices, key, k
+    def __init__(self):
         self.paths: list[Path] = []
 
-    def noise_key(self, sample: int) -> np.uint64:
-        return noise_keys(np.array([self.key], np.int64), sample)[0]
-
-    def add(self, edges: np.ndarray, since: int, perturbed: float) -> None:
-        key = self.noise_key(1000 + len(self.paths))
-        self.paths.append(Path(self.lattices, edges, since, perturbed, key, self.k))
-
     def best(self) -> tuple[float, int, int]:
         """(value, path, step) of the best subtree that is left."""
         top = (-np.inf, -1, -1)
@@ -356,76 +383,115 @@ class Search:
             if len(path.value):
                 step = int(path.value.argmax())
                 if path.value[step] > top[0]:
-                    top = (float(path.value[step]), number, step)
+                    top = (float(path.value[step]), number, path.since + step)
         return top
 
-    def branch(self, value: float, number: int, step: int) -> int:
-        """Takes the best subtree out; its first edge, drawn by chance, is returned."""
-        path, m = self.paths[number], self.lattices
+    def branch(self, lattices: Lattices, number: int, step: int, draw: float) -> tuple[int, float]:
+        """Takes an edge, drawn by chance, out of a subtree. (the edge, log of what is left)"""
+        path, m = self.paths[number], lattices
         gone = path.out.setdefault(step, [int(path.edges[step])])
-        node = m.start[path.edges[step]]
-        edges = np.arange(m.first[node], m.first[node + 1])
-        open_ = edges[~np.isin(edges, gone)]
+        node = m.start[gone[0]]
+        open_ = [e for e in range(int(m.first[node]), int(m.first[node + 1])) if e not in gone]
         chance = np.exp(m.log_chance[open_])
-        sample = len(self.paths)
-        draws = uniform(np.full(2, self.noise_key(2000 + sample)), np.array([step, LONE - 1 - step], np.uint64))
-        chosen = min(int(np.searchsorted(np.cumsum(chance), draws[0] * chance.sum())), len(open_) - 1)
-        gone.append(int(open_[chosen]))
-        rest = chance.sum() - chance[chosen]
-        if len(open_) > 1 and rest > 0:
-            path.value[step] = _truncated(path.prefix[step] + np.log(rest), value, draws[1])
-        else:
-            path.value[step] = -np.inf
-        return int(open_[chosen])
+        whole = chance.sum()
+        chosen = min(int(chance.cumsum().searchsorted(draw * whole)), len(open_) - 1)
+        gone.append(open_[chosen])
+        rest = whole - chance[chosen]
+        return open_[chosen], np.log(rest) if len(open_) > 1 and rest > 0 else -np.inf
 
 
 def noise_keys(keys: np.ndarray, sample: int) -> np.ndarray:
     return mix(mix(keys.astype(np.int64).view(np.uint64)) + np.uint64(sample * 7919 + 17))
 
 
+# Noise lies between -4 and 38. Where more than k subtrees are within NEAR of the best location,
+# one that is FAR below it cannot win, and needs no noise.
+NEAR, FAR = 50.0, 100.0
+
+
+def _add_paths(m: Lattices, searches: list[Search], keys, edges, ends, since, perturbed, k: int) -> None:
+    """Gives every search a path: its part of ``edges``, with the noise of what it passed."""
+    log_chance = m.log_chance[edges]
+    lost = np.empty(len(edges))
+    begin, first, stop = ends[:-1], ends[:-1] + since, ends[1:].copy()
+    for i, (a, f, b) in enumerate(zip(begin.tolist(), first.tolist(), ends[1:].tolist(), strict=True)):
+        part = lost[a:b]
+        np.cumsum(log_chance[a:b], out=part)  # text by text, so that a sum is the same in any batch
+        log_prob = float(part[-1]) if a < b else 0.0
+        np.subtract(log_chance[a:b], part, out=part)
+        if f < b:
+            stop[i] = f + part[f - a :].searchsorted(part[f - a] + NEAR + FAR)
+        searches[i].paths.append(Path(edges[a:b], part, log_prob, int(since[i]), part[:0], float(perturbed[i])))
+    full = ends[1:]
+    for _ in range(2):
+        counts = stop - first
+        at = _ragged(first, counts)
+        chance = np.minimum(np.exp(log_chance[at]), 1.0 - 1e-16)
+        location = np.where(m.only[edges[at]], -np.inf, np.log1p(-chance)) - lost[at]
+        some = np.flatnonzero(counts)
+        where = (np.cumsum(counts) - counts)[some]
+        if not len(some):
+            return
+        most = np.maximum.reduceat(location, where)
+        near = np.add.reduceat(location >= np.repeat(most - NEAR, counts[some]), where, dtype=np.int64)
+        short = some[((near <= k) | (most < -lost[first[some]] - NEAR)) & (stop[some] < full[some])]
+        if not len(short):
+            break
+        stop[short] = full[short]  # the rest of these paths counts too
+    noise = uniform(np.repeat(keys, counts), at - np.repeat(begin, counts))
+    value = _truncated(location, np.repeat(perturbed, counts), noise)
+    for i, a, n in zip(some.tolist(), where.tolist(), counts[some].tolist(), strict=True):
+        searches[i].paths[-1].value = value[a : a + n]
+
+
 def sample_batch(vocabulary: Vocabulary, keys: np.ndarray, texts: list[str], k: int):
-    """Per text a list of (edges, log_prob, perturbed), best first, and kappa; the lattices."""
+    """Per text a search with its paths, best first; the lattices."""
     m = Lattices(vocabulary, [_codes(t) if t else np.zeros(0, np.uint32) for t in texts])
-    counts = np.diff(m.first_word)
-    searches = [Search(m, int(key), k) for key in keys]
+    searches = [Search() for _ in texts]
     root = -np.log(-np.log(uniform(noise_keys(keys, 0), np.zeros(len(keys), np.int64))))
 
     def walk(texts_: np.ndarray, words: np.ndarray, nodes: np.ndarray, sample: int):
         """Walks for words that belong to ``texts_`` (one entry per word)."""
-        key = noise_keys(keys, 1 + sample)[texts_]
-        place = m.word_begin[words] + (nodes - m.node[m.word_of[words]]) - m.text_begin[texts_]
-        return m.walk(words, nodes, key, place)
+        place = m.word_end[words] - m.left[nodes] - m.text_begin[texts_]
+        return m.walk(nodes, noise_keys(keys, 1 + sample)[texts_], place)
 
-    owner = np.repeat(np.arange(len(texts)), counts)
-    words = np.arange(len(owner))
-    steps, edges = walk(owner, words, m.node[m.word_of], 0)
+    owner = np.repeat(np.arange(len(texts)), np.diff(m.first_word))
+    steps, edges = walk(owner, np.arange(len(owner)), m.node[m.word_of], 0)
     ends = np.concatenate([[0], np.cumsum(steps)])[m.first_word]
-    for t, s in enumerate(searches):
-        s.add(edges[ends[t] : ends[t + 1]], 0, float(root[t]))
+    _add_paths(m, searches, noise_keys(keys, 1000), edges, ends, np.zeros(len(texts), np.int64), root, k)
     for sample in range(1, k):
-        todo = []
-        for t, s in enumerate(searches):
-            value, number, step = s.best() if len(s.paths) == sample else (-np.inf, -1, -1)
-            if value > -np.inf:
-                first = s.branch(value, number, step)
-                prefix = s.paths[number].edges[:step]
-                begin = m.text_begin[t] + int((m.end[prefix] - m.start[prefix]).sum())
-                word = int(np.searchsorted(m.word_begin, begin, side="right")) - 1
-                todo.append((t, value, step, prefix, first, word))
-        if not todo:
+        tops = [s.best() if len(s.paths) == sample else (-np.inf, -1, -1) for s in searches]
+        whose = np.flatnonzero([value > -np.inf for value, _, _ in tops])
+        if not len(whose):
             break
-        whose = np.array([x[0] for x in todo])
-        word = np.array([x[5] for x in todo])
+        value, number, step = map(np.array, zip(*(tops[t] for t in whose), strict=True))
+        key = noise_keys(keys, 2000 + sample)[whose]
+        draw, again = uniform(key, step), uniform(key, np.uint64(LONE - 1) - step.astype(np.uint64))
+        going = [searches[t] for t in whose]
+        asked = list(zip(going, number.tolist(), step.tolist(), strict=True))
+        drawn = [s.branch(m, i, at, d) for (s, i, at), d in zip(asked, draw.tolist(), strict=True)]
+        first, rest = map(np.array, zip(*drawn, strict=True))
+        before = np.array([s.paths[i].lost[at] for s, i, at in asked])
+        prefixes = []
+        for (s, i, at), left in zip(asked, _truncated(rest - before, value, again), strict=True):
+            path = s.paths[i]
+            path.value[at - path.since] = left
+            prefixes.append(path.edges[:at])
+        along = np.array([int(m.length[p].sum()) for p in prefixes]) + m.text_begin[whose]
+        word = np.searchsorted(m.word_begin, along, side="right") - 1
         count = m.first_word[whose + 1] - word
         words = _ragged(word, count)
         nodes = m.node[m.word_of[words]]
         begin = np.cumsum(count) - count
-        nodes[begin] = m.end[[x[4] for x in todo]]
+        nodes[begin] = m.end[first]
         steps, edges = walk(np.repeat(whose, count), words, nodes, sample)
-        ends = np.concatenate([[0], np.cumsum(steps)])
-        for (t, value, step, prefix, first, _), b, n in zip(todo, begin, count, strict=True):
-            rest = edges[ends[b] : ends[b + n]]
-            searches[t].add(np.concatenate([prefix, [first], rest]), step + 1, value)
+        cuts = np.concatenate([[0], np.cumsum(steps)])[np.append(begin, len(words))]
+        parts = []
+        for i, prefix in enumerate(prefixes):
+            parts += [prefix, first[i : i + 1], edges[cuts[i] : cuts[i + 1]]]
+        ends = np.concatenate([[0], np.cumsum(step + 1 + np.diff(cuts))])
+        key = noise_keys(keys, 1000 + sample)[whose]
+        _add_paths(m, going, key, np.concatenate(parts), ends, step + 1, value, k)
     return m, searches
 
 
@@ -446,26 +512,22 @@ def encode_samples(
     def rows_of(keys: list, texts: list[str], rest: list[pa.Array]) -> pa.RecordBatch:
         plain = np.array([0 if x is None else x for x in keys], np.int64)
         m, searches = sample_batch(_vocabulary(model, sharpness), plain, texts, k)
-        out, paths, which = [], [], []
-        for number, (key, s) in enumerate(zip(keys, searches, strict=True)):
-            which += [number] * len(s.paths)
-            kappa = s.best()[0]
-            for rank, p in enumerate(s.paths, 1):
-                with np.errstate(over="ignore", divide="ignore"):
-                    gap = np.exp(p.log_prob - kappa) if kappa > -np.inf else np.inf
-                    inclusion = float(np.log(-np.expm1(-gap))) if gap > 1e-12 else p.log_prob - kappa
-                out.append((key, rank, p.log_prob, p.perturbed, inclusion))
-                paths.append(p.edges)
-        edges = np.concatenate(paths).astype(np.int64)
-        counts = m.n_ids[edges]
-        ids = m.ids[_ragged(m.id_at[edges], counts)]
-        lengths = np.array([len(p) for p in paths])
-        pieces = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(lengths)])]
-        column = list(zip(*out, strict=True))
+        counts = np.array([len(s.paths) for s in searches])
+        paths = [p for s in searches for p in s.paths]
+        which = pa.array(np.repeat(np.arange(len(searches)), counts))
+        rank = _ragged(np.ones(len(searches), np.int64), counts)
+        log_prob, perturbed = np.array([(p.log_prob, p.perturbed) for p in paths]).T.copy()
+        behind = log_prob - np.array([s.best()[0] for s in searches])[which.to_numpy()]
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            gap = np.exp(behind)  # of rows with nothing left: infinite
+            inclusion = np.where(gap > 1e-12, np.log(-np.expm1(-gap)), behind)
+        n_ids, ids = m.ids(np.concatenate([p.edges for p in paths]))
+        lengths = np.array([len(p.edges) for p in paths])
+        pieces = np.concatenate([[0], np.cumsum(n_ids)])[np.concatenate([[0], np.cumsum(lengths)])]
         lists = pa.ListArray.from_arrays(pa.array(pieces, pa.int32()), pa.array(ids, pa.int32()))
         arrays = [
-            pa.array(column[0], pa.int64()), pa.array(column[1], pa.int32()), pa.array(np.diff(pieces), pa.int64()),
-            *[pa.array(column[c], pa.float64()) for c in (2, 3, 4)], lists, *[a.take(pa.array(which)) for a in rest],
+            pa.array(keys, pa.int64()).take(which), pa.array(rank, pa.int32()), pa.array(np.diff(pieces), pa.int64()),
+            *[pa.array(c, pa.float64()) for c in (log_prob, perturbed, inclusion)], lists, *[a.take(which) for a in rest],
         ]
         return pa.RecordBatch.from_arrays(arrays, names=[*[f.split()[0] for f in RESULT.split(", ")], *keep])
 

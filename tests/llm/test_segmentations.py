@@ -10,6 +10,7 @@ import pytest
 from helpers import documents
 from pyspark.sql import functions as F
 
+from pairlake.llm import segmentations
 from pairlake.llm.segmentations import Lookup, Vocabulary, decode, encode_samples, sample_batch
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -101,3 +102,55 @@ def test_lookup_finds_every_key_and_no_other():
         places, found = Lookup(keys[::-1], values[::-1]).find(asked)
         assert places.tolist() == [i for i, a in enumerate(asked.tolist()) if a in known]
         assert found.tolist() == [known[a] for a in asked[places].tolist()]
+
+
+def test_noise_is_drawn_for_all_texts_of_a_batch_at_once(vocabulary, monkeypatch):
+    calls = []
+    for name in ("uniform", "_truncated", "noise_keys"):
+        def counted(*args, f=getattr(segmentations, name)):
+            calls.append(name)
+            return f(*args)
+
+        monkeypatch.setattr(segmentations, name, counted)
+    made = []
+    for n in (5, 500):
+        calls.clear()
+        _, searches = sample_batch(vocabulary, np.arange(n), ["some words then"] * n, 2)
+        assert all(len(s.paths) == 2 for s in searches)
+        made.append(len(calls))
+    assert made[1] <= made[0] + 10
+
+
+def test_subtrees_left_without_noise_cannot_win(vocabulary, monkeypatch):
+    texts = ["then", "word " * 800, "y" * 3000, "😀" * 800 + " then and then", "😀" * 50, "", "a b c " * 300]
+    keys = np.arange(len(texts))
+
+    def found():
+        m, searches = sample_batch(vocabulary, keys, texts, 4)
+        paths = [[(p.edges.tolist(), p.log_prob, p.perturbed) for p in s.paths] for s in searches]
+        return paths, [s.best() for s in searches], sum(len(p.value) for s in searches for p in s.paths)
+
+    paths, best, few = found()
+    monkeypatch.setattr(segmentations, "FAR", 1e12)
+    every_path, every_best, many = found()
+    assert (paths, best) == (every_path, every_best) and few < many
+
+
+def test_lattices_hold_every_way_to_write_a_word(vocabulary):
+    texts = ["then a  then", "😀x", "", "an then"]
+    m = segmentations.Lattices(vocabulary, [segmentations._codes(t) if t else np.zeros(0, np.uint32) for t in texts])
+    pieces = {b.decode(): i for i, b in enumerate(vocabulary.bytes_of) if b and i not in vocabulary.byte_ids}
+    for word in range(len(m.word_of)):
+        text = "".join(f" {t}" for t in texts if t)[m.word_begin[word] : m.word_end[word]]
+        node = m.node[m.word_of[word]]
+        for at in range(len(text)):
+            edges = np.arange(m.first[node], m.first[node + 1])
+            held = {(int(m.length[e]), tuple(m.ids(np.array([e]))[1].tolist())) for e in edges}
+            begun = [text[at:end] for end in range(at + 1, len(text) + 1)]
+            want = {(len(b), (pieces[b],)) for b in begun if b in pieces}
+            if text[at] not in pieces:
+                want.add((1, tuple(vocabulary.byte_ids[list(text[at].encode())].tolist())))
+            assert held == want
+            assert np.exp(m.log_chance[edges]).sum() == pytest.approx(1.0)
+            node = m.next[node]
+        assert node == m.node[-1]
