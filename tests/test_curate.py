@@ -246,3 +246,33 @@ def test_finalize_looks_up_the_texts_of_marked_records(spark):
     assert sorted(plain.select(records.columns).collect(), key=str) == sorted(
         looked_up.select(records.columns).collect(), key=str
     )
+
+
+def test_keys_of_agreed_pairs_carry_numbers(spark, monkeypatch):
+    """What is joined by many keys names sets by 8 bytes; copies in another word order still meet."""
+    from pairlake.operators import flows
+
+    written, cut = [], S.cut
+
+    def watched(df):
+        written.append(dict(df.dtypes))
+        return cut(df)
+
+    monkeypatch.setattr(S, "cut", watched)
+    texts = ["how deep is the lake", "is the lake how deep", "who owns the old mill", "the lake", None]
+    questions = spark.createDataFrame(
+        [(f"q{n}", f"c{n}", n, "db", q, "easy") for n, q in enumerate(texts)],
+        "question_id string, id string, seq bigint, db_id string, question string, difficulty string",
+    )
+    candidates = spark.createDataFrame(
+        [(f"q{n}", i, f"S{n};", None, 1, False, True, False, False, False, f"h{n}") for n in range(5) for i in range(2)],
+        "question_id string, cand_ix int, sql string, error string, n_rows int, all_null boolean, "
+        "deterministic boolean, ties boolean, limit_without_order boolean, ordered boolean, hash string",
+    )
+    tests = spark.createDataFrame([("t", "db", "Mill: the old who owns?", "zzz", None)], TESTS)
+    train = spark.createDataFrame([], "id string, db_id string, question string, sql string, source string, difficulty string")
+    stats = flows.add_agreed_pairs(questions, candidates, tests, train, 5, ("db",), "seed").stats.collect()
+    assert [(r["questions"], r["agreed"], r["bad_item"], r["kept"]) for r in stats] == [(5, 4, 1, 2)]
+    named = [t for t in written if "set_id" in t and ("sig" in t or "sigs" in t or "key" in t)]
+    assert len(named) > 4 and {t["set_id"] for t in named} == {"bigint"}
+    assert {t[c] for t in written for c in ("left_id", "right_id") if c in t} == {"bigint"}
