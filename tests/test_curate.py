@@ -276,3 +276,21 @@ def test_keys_of_agreed_pairs_carry_numbers(spark, monkeypatch):
     named = [t for t in written if "set_id" in t and ("sig" in t or "sigs" in t or "key" in t)]
     assert len(named) > 4 and {t["set_id"] for t in named} == {"bigint"}
     assert {t[c] for t in written for c in ("left_id", "right_id") if c in t} == {"bigint"}
+
+
+def test_finalize_writes_tokens_once(spark, monkeypatch):
+    """One table of tokens for the records and one for the tests; copies are left out by number."""
+    written, cut = [], S.cut
+
+    def watched(df):
+        written.append(df.columns)
+        return cut(df)
+
+    monkeypatch.setattr(S, "cut", watched)
+    rows = [(f"c{n}", n, "db", f"which hill of land {n // 2} is high", f"SELECT {n};", "h", "agreed", "easy") for n in range(12)]
+    tests = spark.createDataFrame([("t", "db", "Land 4: is which hill of high?", "SELECT x;", "g")], TESTS)
+    _, drops = K.finalize(spark.createDataFrame(rows, RECORD), tests, 3)
+    assert {r["reason"]: r["n"] for r in drops.collect()} == {
+        "duplicate_question": 6, "test_leakage_text": 1, "over_target": 2
+    }
+    assert sum("tokens" in columns for columns in written) == 2
